@@ -13,6 +13,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -103,7 +104,7 @@ def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterable[p
 
 def utf8(column: pa.Array) -> list[bytes]:
     """The texts as bytes; null is empty."""
-    return pa.compute.fill_null(column.cast(pa.binary()), b"").to_pylist()
+    return pc.fill_null(column.cast(pa.binary()), b"").to_pylist()
 
 
 # ---------------------------------------------------------------- grouping by signature
