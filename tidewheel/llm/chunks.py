@@ -41,7 +41,7 @@ def listed(found: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
 class ChunkMemo:
     """ids of lists of chunks; encode_new(chunks) gives (sizes, ids) of chunks, each encoded alone."""
 
-    def __init__(self, encode_new: Callable[[list], tuple[np.ndarray, np.ndarray]], limit: int = 400_000):
+    def __init__(self, encode_new: Callable[[list], tuple[np.ndarray, np.ndarray]], limit: int = 250_000):
         self.encode_new, self.limit = encode_new, limit
         self.clear()
 

@@ -29,6 +29,8 @@ from .common import map_arrow
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
+#: Chunks that are encoded in one string, and strings in one batch.
+TOGETHER = 256
 
 
 def fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -130,11 +132,12 @@ class Codec:
         if spec.kind == UNIGRAM:
             model = models.Unigram([(p, s) for p, s, _ in spec.pieces], spec.unk_id, byte_fallback=spec.byte_fallback)
         else:
-            model = models.BPE(ids, self._merges(ids), unk_token=spec.pieces[spec.unk_id][0], fuse_unk=True, byte_fallback=spec.byte_fallback)
+            model = models.BPE(ids, self._merges(ids), unk_token=spec.pieces[spec.unk_id][0], fuse_unk=True, byte_fallback=spec.byte_fallback, cache_capacity=0)
         self.tokenizer = Tokenizer(model)
         joined = any(MARK in p.lstrip(MARK) for p, _, k in spec.pieces if k in (NORMAL, USER_DEFINED))
         self.cut = spec.escape and not joined and MARK in ids
-        self.memo = ChunkMemo(lambda chunks: listed([e.ids for e in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]))
+        self.memo = ChunkMemo(self._encode_new)
+        self.opens = np.array([p.startswith(MARK) for p, _, _ in spec.pieces], bool)
         self._table()
 
     def _merges(self, ids: dict[str, int]) -> list[tuple[str, str]]:
@@ -160,6 +163,24 @@ class Codec:
         self.sizes = np.array([len(x) for x in out], np.int64)
         self.starts = np.cumsum(self.sizes) - self.sizes
 
+    def _ids(self, texts: list[str]) -> list[list[int]]:
+        out = []
+        for k in range(0, len(texts), TOGETHER):
+            out += [e.ids for e in self.tokenizer.encode_batch_fast(texts[k : k + TOGETHER], add_special_tokens=False)]
+        return out
+
+    def _encode_new(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(sizes, ids). Chunks behind one marker are encoded many in a string: each begins at a piece with a marker."""
+        plain = [self.cut and c[0] == MARK and c[1:2] != MARK for c in chunks]
+        own = [c for c, ok in zip(chunks, plain) if ok]
+        groups = [own[k : k + TOGETHER] for k in range(0, len(own), TOGETHER)]
+        lists: list = []
+        for group, ids in zip(groups, map(np.array, self._ids(["".join(g) for g in groups]))):
+            cut = np.flatnonzero(self.opens[ids])
+            lists += np.split(ids, cut[1:]) if len(cut) == len(group) else self._ids(group)
+        found, others = iter(lists), iter(self._ids([c for c, ok in zip(chunks, plain) if not ok]))
+        return listed([next(found if ok else others) for ok in plain])
+
     def chunks(self, text: str) -> list[str]:
         text = self.normalizer.normalize_str(text) if text else ""
         if not text:
