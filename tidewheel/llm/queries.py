@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, quality_rules, sentencepiece_codec
+from . import credentials, packing, quality_gbdt, quality_rules, sentencepiece_codec, warc
 from .common import parquet_table
 
 
@@ -20,18 +20,30 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_codec.digest(parquet_table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
 
 
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_gbdt.classify(parquet_table(spark, sf_dir, "documents"), parquet_table(spark, sf_dir, "labels"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality_rules.apply_rules(parquet_table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(parquet_table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(parquet_table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"), with_ids=False)
 
 
+def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return credentials.digest(credentials.scan(parquet_table(spark, sf_dir, "documents")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sentencepiece, op7_quality_rules, op9_best_fit_packing)}
+    return {f.__name__: f for f in (op1_sentencepiece, op6_quality_classifier, op7_quality_rules, op8_warc, op9_best_fit_packing, op10_secret_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_quality_rules": quality_rules.oracle()}
+    return {"op7_quality_rules": quality_rules.oracle(), "op8_warc": warc.oracle()}
