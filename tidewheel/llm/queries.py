@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import credentials, packing, quality_gbdt, quality_rules, sentencepiece_codec, warc
+from . import ann, credentials, packing, quality_gbdt, quality_rules, sentencepiece_codec, warc
 from .common import parquet_table
 
 
@@ -20,6 +21,10 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_codec.digest(parquet_table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
 
 
+def op3_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(parquet_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_gbdt.classify(parquet_table(spark, sf_dir, "documents"), parquet_table(spark, sf_dir, "labels"))
 
@@ -42,7 +47,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sentencepiece, op6_quality_classifier, op7_quality_rules, op8_warc, op9_best_fit_packing, op10_secret_scan)}
+    return {f.__name__: f for f in (op1_sentencepiece, op3_nearest_neighbours, op6_quality_classifier, op7_quality_rules, op8_warc, op9_best_fit_packing, op10_secret_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
