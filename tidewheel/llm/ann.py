@@ -27,12 +27,12 @@ from pyspark.sql.window import Window
 
 from .common import Scratch, map_arrow
 
-SAMPLE = 20_000
+SAMPLE = 10_000
 MAX_CELLS = 1024
 SUBSPACES = 16
 CODES = 256
 #: Rows of a block, queries of a block, share of cells probed (at least LEAST_PROBES), rows reranked for each neighbour.
-ROWS, QUERIES, PROBED, LEAST_PROBES, RERANK = 4096, 256, 0.6, 16, 25
+ROWS, QUERIES, PROBED, LEAST_PROBES, RERANK = 4096, 256, 0.6, 32, 25
 
 
 def kmeans(x: np.ndarray, k: int, rounds: int = 12, seed: int = 0) -> np.ndarray:
@@ -104,7 +104,7 @@ def search(rows: DataFrame, is_query: Column, k: int = 10, vector: str = "embedd
     total = rows.count()
     if not total:
         return empty
-    points = np.array([r["v"] for r in rows.select("v", F.xxhash64("vec_id").alias("h"), "vec_id").orderBy("h", "vec_id").limit(sample).collect()])
+    points = _matrix(rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("v").toArrow().column(0).combine_chunks())
     coder = Quantiser.fit(points, int(min(MAX_CELLS, max(1, math.sqrt(total)))))
 
     # Of equal vectors the k + 1 smallest ids are enough; the window's limit is taken before the shuffle as well.

@@ -117,7 +117,11 @@ PACKED = "bucket int, sigs binary, ids binary"
 
 
 class Dealer:
-    """Gathers (signature, id) and deals them out as packed arrays: a row a bucket instead of a row a signature."""
+    """Gathers (signature, id) and deals them out as packed arrays: a row a bucket instead of a row a signature.
+
+    A signature travels as its upper 48 bits, ids as differences, which compress well. Signatures that agree by chance
+    only make a pair that is compared in vain.
+    """
 
     def __init__(self, buckets: int):
         self.buckets, self.sigs, self.ids, self.n = buckets, [], [], 0
@@ -140,7 +144,27 @@ class Dealer:
         at, sigs, ids = at[order], sigs[order], ids[order]
         cut = np.flatnonzero(np.diff(at, prepend=-1))
         ends = np.append(cut[1:], len(at))
-        return [int(at[a]) for a in cut], [sigs[a:b].tobytes() for a, b in zip(cut, ends)], [ids[a:b].tobytes() for a, b in zip(cut, ends)]
+        low = (sigs >> U64(16)).astype("<u4")
+        high = (sigs >> U64(48)).astype("<u2")
+        return (
+            [int(at[a]) for a in cut],
+            [high[a:b].tobytes() + low[a:b].tobytes() for a, b in zip(cut, ends)],
+            [np.diff(ids[a:b], prepend=np.int64(0)).tobytes() for a, b in zip(cut, ends)],
+        )
+
+
+def unpack(rows: list[bytes]) -> np.ndarray:
+    out = []
+    for x in rows:
+        n = len(x) // 6
+        high, low = np.frombuffer(x, "<u2", n), np.frombuffer(x, "<u4", n, 2 * n)
+        out.append((high.astype(np.uint64) << U64(32)) | low)
+    return np.concatenate(out)
+
+
+def packed_rows(dealer: Dealer) -> pa.RecordBatch:
+    k, s, i = dealer.flush()
+    return pa.RecordBatch.from_arrays([pa.array(k, pa.int32()), pa.array(s, pa.binary()), pa.array(i, pa.binary())], ["bucket", "sigs", "ids"])
 
 
 def groups_of(sigs: np.ndarray, ids: np.ndarray) -> Iterator[tuple[np.uint64, np.ndarray]]:
@@ -174,7 +198,7 @@ def link_candidates(packed: DataFrame, buckets: int, small: int = SMALL_GROUP) -
                 got[1].append(i)
         for k in list(rows):
             s, i = rows.pop(k)
-            sigs, ids = np.frombuffer(b"".join(s), np.uint64), np.frombuffer(b"".join(i), np.int64)
+            sigs, ids = unpack(s), np.concatenate([np.cumsum(np.frombuffer(x, np.int64)) for x in i])
             firsts, seconds, hot = [], [], []
             for sig, group in groups_of(sigs, ids):
                 if len(group) <= small:
@@ -312,8 +336,8 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(e.select("v", "v").distinct())
 
 
-def similarity_components(packed: DataFrame, buckets: int, sets_of: Callable[[DataFrame], DataFrame], num: int, den: int, scratch: Scratch) -> DataFrame:
-    """(node, component) of the ids that verified links join.
+def similarity_components(packed: DataFrame, buckets: int, sets_of: Callable[[DataFrame], DataFrame], num: int, den: int, scratch: Scratch, known: DataFrame | None = None) -> DataFrame:
+    """(node, component) of the ids that verified links, and the known links (a, b), join.
 
     packed: signatures from ``Dealer``; sets_of(ids: DataFrame of id) returns (id, items) for them.
     """
@@ -323,11 +347,14 @@ def similarity_components(packed: DataFrame, buckets: int, sets_of: Callable[[Da
     hot = found.where("kind = 1").select("a", "b")
     nodes = found.where("kind = 0").select(F.explode(F.array("a", "b")).alias("id")).distinct()
     sets = scratch.keep(sets_of(nodes))
+    scratch.sweep()
     links = scratch.keep(verified(pairs, sets, num, den))
-    labels = scratch.keep(components(links, scratch))
+    scratch.sweep()
+    every = links if known is None else links.union(known)
+    labels = scratch.keep(components(every, scratch))
     if not hot.isEmpty():
         more = scratch.keep(block_links(hot, sets, labels, num, den))
         if not more.isEmpty():
-            labels = scratch.keep(components(links.union(more), scratch))
+            labels = scratch.keep(components(every.union(more), scratch))
     scratch.drop(found, sets)
     return labels

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, credentials, packing, quality_gbdt, quality_rules, sentencepiece_codec, warc
+from . import ann, credentials, jaccard, packing, quality_gbdt, quality_rules, sentencepiece_codec, warc
 from .common import parquet_table
 
 
@@ -21,6 +21,10 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_codec.digest(parquet_table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
 
 
+def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.link_components(parquet_table(spark, sf_dir, "documents"))
+
+
 def op3_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(parquet_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
@@ -47,8 +51,8 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sentencepiece, op3_nearest_neighbours, op6_quality_classifier, op7_quality_rules, op8_warc, op9_best_fit_packing, op10_secret_scan)}
+    return {f.__name__: f for f in (op1_sentencepiece, op2_ngram_jaccard_join, op3_nearest_neighbours, op6_quality_classifier, op7_quality_rules, op8_warc, op9_best_fit_packing, op10_secret_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_quality_rules": quality_rules.oracle(), "op8_warc": warc.oracle()}
+    return {"op2_ngram_jaccard_join": jaccard.oracle(), "op7_quality_rules": quality_rules.oracle(), "op8_warc": warc.oracle()}
