@@ -17,8 +17,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of an Arrow batch: documents may be long, so a batch stays at some MB.
-BATCH_ROWS = 1000
+#: Rows and bytes of an Arrow batch: documents may be long, so a batch stays at some MB.
+BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
 
 U64 = np.uint64
 _M1, _M2 = U64(0xBF58476D1CE4E5B9), U64(0x94D049BB133111EB)
@@ -65,9 +65,10 @@ class Scratch:
     def new(self) -> str:
         return f"{self.root}/{uuid.uuid4().hex}"
 
-    def keep(self, df: DataFrame) -> DataFrame:
-        """Write df, read it again."""
+    def keep(self, df: DataFrame, small: bool = False) -> DataFrame:
+        """Write df, read it again. A table that is small beside the input goes to an eighth of the files."""
         path = self.new()
+        df = df.coalesce(max(8, partitions(self.spark) // 8)) if small else df
         df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch = path
@@ -87,6 +88,7 @@ class Scratch:
 
 def arrow(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def partitions(spark: SparkSession) -> int:
@@ -112,7 +114,7 @@ def utf8(column: pa.Array) -> list[bytes]:
 #: Up to so many members, a group of equal signatures gives all its pairs; beyond, a star and an exact block join.
 SMALL_GROUP = 24
 #: Signatures that a map task gathers before it deals them out.
-FLUSH = 1_500_000
+FLUSH = 400_000
 PACKED = "bucket int, sigs binary, ids binary"
 
 
@@ -184,7 +186,7 @@ def link_candidates(packed: DataFrame, buckets: int, small: int = SMALL_GROUP) -
     """Candidates out of packed signatures: (kind, a, b).
 
     kind 0: a pair a < b to compare. A group of up to ``small`` ids gives all its pairs; a larger one a star around
-    its smallest id. kind 1: (signature, id) of the larger groups, for ``block_links``, which compares what the star
+    its smallest id. kind 1: (signature, id) of the larger groups, for ``open_pairs``, which compares what the star
     leaves open; so no pair is lost, and no group is expanded into all its pairs.
     """
     spark = packed.sparkSession
@@ -234,79 +236,108 @@ def jaccard_at_least(x: np.ndarray, y: np.ndarray, num: int, den: int) -> bool:
     return den * both >= num * (len(x) + len(y) - both)
 
 
+def sketch(items: np.ndarray) -> np.ndarray:
+    """How many items fall into each of some buckets, one for about two items; a count stops at 255."""
+    bits = min(max(int(len(items) - 1).bit_length() - 1, 5), 12)
+    return np.minimum(np.bincount((items >> U64(64 - bits)).astype(np.int64), minlength=1 << bits), 255).astype(np.uint8)
+
+
+def folded(x: np.ndarray, size: int) -> np.ndarray:
+    """A sketch with fewer buckets."""
+    return x if len(x) == size else np.minimum(x.reshape(size, -1).sum(axis=1), 255).astype(np.uint8)
+
+
+def may_reach(x: np.ndarray, y: np.ndarray, n: int, m: np.ndarray | int, num: int, den: int):
+    """Whether sets of n and m items can be num/den alike: their sketches differ by no more than they may themselves.
+
+    y may be a matrix of sketches. Sets that are so much alike are never turned away.
+    """
+    apart = np.abs(y.astype(np.int16) - x.astype(np.int16)).sum(axis=-1, dtype=np.int64)
+    return (apart * (den + num) <= (den - num) * (n + m)) & (den * np.minimum(n, m) >= num * np.maximum(n, m))
+
+
+def with_sketch(batch: pa.RecordBatch, column: str = "items") -> pa.RecordBatch:
+    """(id, items, size, sketch) of (id, items)."""
+    items = [np.frombuffer(x, np.uint64) for x in batch.column(column).to_pylist()]
+    return pa.RecordBatch.from_arrays(
+        [batch.column("id"), batch.column(column), pa.array([len(x) for x in items], pa.int64()), pa.array([sketch(x).tobytes() for x in items], pa.binary())], ["id", "items", "size", "sketch"]
+    )
+
+
+SETS = "id long, items binary, size long, sketch binary"
+
+
+def paired(pairs: DataFrame, sets: DataFrame, *columns: str) -> DataFrame:
+    """pairs (a, b) with columns of sets for each side, named a_x and b_x."""
+    for side in ("a", "b"):
+        pairs = pairs.join(sets.select(F.col("id").alias(side), *(F.col(c).alias(f"{side}_{c}") for c in columns)), side)
+    return pairs.select("a", "b", *(f"{side}_{c}" for c in columns for side in ("a", "b")))
+
+
 def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) whose sets (id, items: sorted distinct 64-bit words as binary) are at least num/den alike."""
-    left = pairs.join(sets.select(F.col("id").alias("a"), F.col("items").alias("x")), "a")
-    both = left.join(sets.select(F.col("id").alias("b"), F.col("items").alias("y")), "b").select("a", "b", "x", "y")
+    """The pairs (a, b) whose sets are at least num/den alike. Sketches go first, so few whole sets are moved."""
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def rough(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = [c.to_pylist() for c in batch.columns]
+            ok = []
+            for n, m, x, y in zip(*columns[2:]):
+                x, y = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
+                k = min(len(x), len(y))
+                ok.append(bool(may_reach(folded(x, k), folded(y, k), n, m, num, den)))
+            ok = pa.array(ok, pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(ok), batch.column(1).filter(ok)], ["a", "b"])
+
+    def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             xs, ys = batch.column(2).to_pylist(), batch.column(3).to_pylist()
             ok = pa.array([jaccard_at_least(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), num, den) for x, y in zip(xs, ys)], pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(ok), batch.column(1).filter(ok)], ["a", "b"])
 
-    return map_arrow(both, compare, "a long, b long")
+    some = map_arrow(paired(pairs, sets, "size", "sketch"), rough, "a long, b long")
+    return map_arrow(paired(some, sets, "items"), exact, "a long, b long")
 
 
-#: Words of all sets that a block of a large group holds.
-BLOCK_WORDS = 400_000
+#: Members of a block of a large group.
+BLOCK = 1024
 
 
-def block_links(hot: DataFrame, sets: DataFrame, labels: DataFrame, num: int, den: int) -> DataFrame:
-    """Links (a, b) inside large signature groups that the components so far do not join.
+def open_pairs(hot: DataFrame, sets: DataFrame, labels: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs (a, b) inside large signature groups that the components so far do not join and that may be alike.
 
     hot: (a: signature, b: id); labels: (node, component). Groups within one component are done. The others are cut
-    into blocks of bounded size, and each pair of blocks is compared in a task of its own, which returns a forest of
-    verified links instead of all of them.
+    into blocks of bounded size, and each pair of blocks is compared by sketches in a task of its own; only pairs of
+    different components whose sketches allow a link come out.
     """
     members = hot.join(labels, hot.b == labels.node, "left").select("a", "b", F.coalesce("component", "b").alias("c"))
-    open_groups = members.groupBy("a").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("m")).where("lo <> hi").select("a", "m")
-    rows = members.join(open_groups, "a").join(sets.withColumnRenamed("id", "b"), "b")
-    words = rows.groupBy("a").agg((F.sum(F.length("items")) / 8).alias("words"))
-    rows = rows.join(words, "a").withColumn("n", F.ceil(F.col("words") / BLOCK_WORDS).cast("int"))
+    undone = members.groupBy("a").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("m")).where("lo <> hi")
+    rows = members.join(undone.select("a", F.ceil(F.col("m") / BLOCK).cast("int").alias("n")), "a")
+    rows = rows.join(sets.select(F.col("id").alias("b"), "size", "sketch"), "b")
     rows = rows.withColumn("k", F.pmod(F.xxhash64("b"), F.col("n")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
-    rows = rows.select("a", F.least("k", "other").alias("i"), F.greatest("k", "other").alias("j"), "k", "b", "c", "items")
-
-    def compare(key, frame):
-        import pandas as pd
-
-        i, j = key[1], key[2]
-        frame = frame.sort_values("b").drop_duplicates("b")
-        ids, comps, blocks = frame["b"].to_numpy(), frame["c"].to_numpy(), frame["k"].to_numpy()
-        sets_ = [np.frombuffer(x, np.uint64) for x in frame["items"]]
-        sizes = np.array([len(s) for s in sets_])
-        words = np.concatenate(sets_) if sets_ else np.empty(0, np.uint64)
-        owner = np.repeat(np.arange(len(sets_)), sizes)
-        order = np.argsort(words, kind="stable")
-        words, owner = words[order], owner[order]
-        parent = {}
-
-        def find(x):
-            while parent.get(x, x) != x:
-                parent[x] = parent.get(parent[x], parent[x])
-                x = parent[x]
-            return x
-
-        links = []
-        for x, own in enumerate(sets_):
-            if i != j and blocks[x] != i:
-                continue
-            lo, hi = np.searchsorted(words, own, "left"), np.searchsorted(words, own, "right")
-            n = hi - lo
-            at = np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-            both = np.bincount(owner[at], minlength=len(sets_))
-            good = den * both >= num * (sizes + len(own) - both)
-            good &= (blocks == j) & (ids != ids[x]) & (sizes > 0)
-            for y in np.flatnonzero(good):
-                p, q = find(int(comps[x])), find(int(comps[y]))
-                if p != q:
-                    parent[max(p, q)] = min(p, q)
-                    links.append((min(ids[x], ids[y]), max(ids[x], ids[y])))
-        return pd.DataFrame(links, columns=["a", "b"], dtype="int64")
-
-    arrow(hot.sparkSession)
-    return rows.groupBy("a", "i", "j").applyInPandas(compare, "a long, b long")
+    blocks = rows.groupBy("a", F.least("k", "other").alias("i"), F.greatest("k", "other").alias("j")).agg(F.collect_list(F.struct("b", "c", "k", "size", "sketch")).alias("rows"))
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in range(batch.num_rows):
+                i, j, rows = batch.column(0)[r].as_py(), batch.column(1)[r].as_py(), batch.column(2)[r].values
+                ids, comps, blocks, sizes = (rows.field(f).to_numpy() for f in ("b", "c", "k", "size"))
+                sketches = [np.frombuffer(x, np.uint8) for x in rows.field("sketch").to_pylist()]
+                width = min(map(len, sketches))
+                table = np.stack([folded(x, width) for x in sketches])
+                right = np.flatnonzero(blocks == j)
+                firsts, seconds = [], []
+                for x in np.flatnonzero(blocks == i):
+                    y = right[(comps[right] != comps[x]) & ((ids[right] > ids[x]) | (i != j))]
+                    if len(y):
+                        y = y[may_reach(table[x], table[y], sizes[x], sizes[y], num, den)]
+                        firsts.append(np.full(len(y), ids[x]))
+                        seconds.append(ids[y])
+                if firsts:
+                    f, s = np.concatenate(firsts), np.concatenate(seconds)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(f, s)), pa.array(np.maximum(f, s))], ["a", "b"])
+
+    return map_arrow(blocks.select("i", "j", "rows"), compare, "a long, b long").distinct()
 
 
 # ---------------------------------------------------------------- components
@@ -318,7 +349,7 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     Distributed union-find by alternating large stars and small stars; each round's edges are a written table, so
     neither edges nor labels reach the driver and lineage stays short. Rounds grow with the logarithm of the longest chain.
     """
-    e = scratch.keep(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    e = scratch.keep(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), True)
     seen = None
     while True:
         both = e.union(e.select("v", "u"))
@@ -326,7 +357,7 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        new = scratch.keep(small.union(low).where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+        new = scratch.keep(small.union(low).where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), True)
         state = tuple(new.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         scratch.drop(e)
         e = new
@@ -339,7 +370,7 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
 def similarity_components(packed: DataFrame, buckets: int, sets_of: Callable[[DataFrame], DataFrame], num: int, den: int, scratch: Scratch, known: DataFrame | None = None) -> DataFrame:
     """(node, component) of the ids that verified links, and the known links (a, b), join.
 
-    packed: signatures from ``Dealer``; sets_of(ids: DataFrame of id) returns (id, items) for them.
+    packed: signatures from ``Dealer``; sets_of(ids: DataFrame of id) returns SETS for them: sorted distinct 64-bit words as binary, their number and sketch.
     """
     found = scratch.keep(link_candidates(packed, buckets))
     scratch.sweep()
@@ -351,10 +382,10 @@ def similarity_components(packed: DataFrame, buckets: int, sets_of: Callable[[Da
     links = scratch.keep(verified(pairs, sets, num, den))
     scratch.sweep()
     every = links if known is None else links.union(known)
-    labels = scratch.keep(components(every, scratch))
+    labels = scratch.keep(components(every, scratch), True)
     if not hot.isEmpty():
-        more = scratch.keep(block_links(hot, sets, labels, num, den))
+        more = scratch.keep(verified(open_pairs(hot, sets, labels, num, den), sets, num, den))
         if not more.isEmpty():
-            labels = scratch.keep(components(every.union(more), scratch))
+            labels = scratch.keep(components(every.union(more), scratch), True)
     scratch.drop(found, sets)
     return labels

@@ -7,7 +7,7 @@ set's elements within a part is a signature that they share. A set whose element
 agreeing part could be an empty one repeats this with a further hash, until k + 1 parts hold elements; two similar sets
 share a signature of the first hash at which either stops. So no link is missed, whatever the texts.
 
-Sets that share signatures are compared exactly (``common.verified``, ``common.block_links``), and links become
+Sets that share signatures are compared exactly (``common.verified``, ``common.open_pairs``), and links become
 components. Copies within a task's rows are joined before any signature is made.
 
 Edge cases: null and empty texts have the empty set and are linked with nothing; under ``words`` words the whole
@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import GOLDEN, PACKED, U64, Dealer, Scratch, map_arrow, mix, packed_rows, partitions, similarity_components, utf8
+from .common import GOLDEN, PACKED, SETS, U64, Dealer, Scratch, map_arrow, mix, packed_rows, partitions, similarity_components, utf8, with_sketch
 
 WORDS = 5
 #: The least similarity as a fraction.
@@ -108,9 +108,9 @@ class Bands:
         # |x or y| - |x and y| <= (den - num) / (den + num) * (|x| + |y|), and neither set exceeds the band.
         k = 2 * self.high[band] * (self.den - self.num) // (self.den + self.num)
         n = k + 1
-        for _ in range(4):
-            empty = n * math.exp(-self.low[band] / n) if n > 1 else 0
-            n = k + 1 + math.ceil(empty + math.sqrt(empty)) * (k > 0)
+        for _ in range(6):
+            empty = n * math.exp(-max(self.low[band - 1], 1) / n)  # expected in the smallest sets of the pair
+            n = k + 1 + math.ceil(empty + 2 * math.sqrt(empty)) * (k > 0)
         return n, k
 
 
@@ -175,10 +175,10 @@ def link_components(docs: DataFrame, words: int = WORDS, num: int = NUM, den: in
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             items = [x.tobytes() for x in shingle_sets(utf8(batch.column(1)), words)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(items, pa.binary())], ["id", "items"])
+            yield with_sketch(pa.RecordBatch.from_arrays([batch.column(0), pa.array(items, pa.binary())], ["id", "items"]))
 
     table = scratch.keep(map_arrow(docs, members, "doc_id long, n_shingles long, first long"))
-    sets_of = lambda ids: map_arrow(docs.join(ids.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi"), sets, "id long, items binary")
+    sets_of = lambda ids: map_arrow(docs.join(ids.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi"), sets, SETS)
     same = table.where("first <> doc_id").select(F.col("first").alias("a"), F.col("doc_id").alias("b"))
     labels = similarity_components(map_arrow(docs, packed, PACKED), buckets, sets_of, num, den, scratch, same)
     found = table.join(labels, table.doc_id == labels.node, "left")
