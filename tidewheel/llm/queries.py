@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, credentials, jaccard, lines, packing, quality_gbdt, quality_rules, sentencepiece_codec, warc
+from . import ann, credentials, jaccard, lines, packing, quality_gbdt, quality_rules, sentencepiece_codec, suffix, warc
 from .common import parquet_table
 
 
@@ -33,6 +33,10 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.digest(lines.dedupe(parquet_table(spark, sf_dir, "documents")))
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.dedupe(parquet_table(spark, sf_dir, "documents"), with_kept=False)
+
+
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_gbdt.classify(parquet_table(spark, sf_dir, "documents"), parquet_table(spark, sf_dir, "labels"))
 
@@ -55,7 +59,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sentencepiece, op2_ngram_jaccard_join, op3_nearest_neighbours, op4_line_dedup, op6_quality_classifier, op7_quality_rules, op8_warc, op9_best_fit_packing, op10_secret_scan)}
+    return {f.__name__: f for f in (op1_sentencepiece, op2_ngram_jaccard_join, op3_nearest_neighbours, op4_line_dedup, op5_suffix_dedup, op6_quality_classifier, op7_quality_rules, op8_warc, op9_best_fit_packing, op10_secret_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
