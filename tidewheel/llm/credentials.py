@@ -234,6 +234,24 @@ def mask(text: str | None, spans: list[tuple[int, int]]) -> str | None:
     return "".join([*parts, text[at:]])
 
 
+def mask_documents(docs: DataFrame, automata: dict[str, Automaton] | None = None) -> DataFrame:
+    """docs with every found span of text replaced by MASK; other columns as they are."""
+    automata = learn(docs) if automata is None else automata
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for text in batch.column(at).to_pylist():
+                spans = base_spans(text) if text else []
+                out.append(mask(text, [(a, b) for a, b, *_ in spans] + added_spans(text, spans, automata)) if text else text)
+            columns = list(batch.columns)
+            columns[at] = pa.array(out, columns[at].type)
+            yield pa.RecordBatch.from_arrays(columns, batch.schema.names)
+
+    return map_arrow(docs, run, docs.schema)
+
+
 def digest(found: DataFrame) -> DataFrame:
     """(doc_id, n_assign, n_access, n_hex, base_sha256, spans) of ``scan``."""
     count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
