@@ -256,11 +256,15 @@ def may_reach(x: np.ndarray, y: np.ndarray, n: int, m: np.ndarray | int, num: in
     return (apart * (den + num) <= (den - num) * (n + m)) & (den * np.minimum(n, m) >= num * np.maximum(n, m))
 
 
-def with_sketch(batch: pa.RecordBatch, column: str = "items") -> pa.RecordBatch:
-    """(id, items, size, sketch) of (id, items)."""
-    items = [np.frombuffer(x, np.uint64) for x in batch.column(column).to_pylist()]
+def words_of(data: bytes) -> np.ndarray:
+    return np.frombuffer(data, np.uint64)
+
+
+def with_sketch(batch: pa.RecordBatch, unpack: Callable[[bytes], np.ndarray] = words_of) -> pa.RecordBatch:
+    """SETS of (id, items); unpack gives the sorted distinct words of an item's bytes."""
+    items = [unpack(x) for x in batch.column("items").to_pylist()]
     return pa.RecordBatch.from_arrays(
-        [batch.column("id"), batch.column(column), pa.array([len(x) for x in items], pa.int64()), pa.array([sketch(x).tobytes() for x in items], pa.binary())], ["id", "items", "size", "sketch"]
+        [batch.column("id"), batch.column("items"), pa.array([len(x) for x in items], pa.int64()), pa.array([sketch(x).tobytes() for x in items], pa.binary())], ["id", "items", "size", "sketch"]
     )
 
 
@@ -274,7 +278,7 @@ def paired(pairs: DataFrame, sets: DataFrame, *columns: str) -> DataFrame:
     return pairs.select("a", "b", *(f"{side}_{c}" for c in columns for side in ("a", "b")))
 
 
-def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int, unpack: Callable[[bytes], np.ndarray] = words_of) -> DataFrame:
     """The pairs (a, b) whose sets are at least num/den alike. Sketches go first, so few whole sets are moved."""
 
     def rough(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -291,7 +295,7 @@ def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             xs, ys = batch.column(2).to_pylist(), batch.column(3).to_pylist()
-            ok = pa.array([jaccard_at_least(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), num, den) for x, y in zip(xs, ys)], pa.bool_())
+            ok = pa.array([jaccard_at_least(unpack(x), unpack(y), num, den) for x, y in zip(xs, ys)], pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(ok), batch.column(1).filter(ok)], ["a", "b"])
 
     some = map_arrow(paired(pairs, sets, "size", "sketch"), rough, "a long, b long")
@@ -367,10 +371,11 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(e.select("v", "v").distinct())
 
 
-def similarity_components(packed: DataFrame, buckets: int, sets_of: Callable[[DataFrame], DataFrame], num: int, den: int, scratch: Scratch, known: DataFrame | None = None) -> DataFrame:
+def similarity_components(packed: DataFrame, buckets: int, sets_of: Callable[[DataFrame], DataFrame], num: int, den: int, scratch: Scratch, known: DataFrame | None = None, unpack: Callable[[bytes], np.ndarray] = words_of) -> DataFrame:
     """(node, component) of the ids that verified links, and the known links (a, b), join.
 
-    packed: signatures from ``Dealer``; sets_of(ids: DataFrame of id) returns SETS for them: sorted distinct 64-bit words as binary, their number and sketch.
+    packed: signatures from ``Dealer``; sets_of(ids: DataFrame of id) returns SETS for them: an item's bytes, of which unpack makes
+    sorted distinct 64-bit words, their number and sketch.
     """
     found = scratch.keep(link_candidates(packed, buckets))
     scratch.sweep()
@@ -379,12 +384,12 @@ def similarity_components(packed: DataFrame, buckets: int, sets_of: Callable[[Da
     nodes = found.where("kind = 0").select(F.explode(F.array("a", "b")).alias("id")).distinct()
     sets = scratch.keep(sets_of(nodes))
     scratch.sweep()
-    links = scratch.keep(verified(pairs, sets, num, den))
+    links = scratch.keep(verified(pairs, sets, num, den, unpack))
     scratch.sweep()
     every = links if known is None else links.union(known)
     labels = scratch.keep(components(every, scratch), True)
     if not hot.isEmpty():
-        more = scratch.keep(verified(open_pairs(hot, sets, labels, num, den), sets, num, den))
+        more = scratch.keep(verified(open_pairs(hot, sets, labels, num, den), sets, num, den, unpack))
         if not more.isEmpty():
             labels = scratch.keep(components(every.union(more), scratch), True)
     scratch.drop(found, sets)

@@ -93,6 +93,11 @@ def band_signatures(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(sigs), np.concatenate(owners)
 
 
+def shingles(line: bytes) -> np.ndarray:
+    """The set of a line."""
+    return np.unique(grams_of([line.decode()])[0])
+
+
 def lines_of(text: str | None) -> list[str]:
     return [x for x in (text or "").split("\n") if x.strip(SPACE_CHARS)]
 
@@ -130,7 +135,7 @@ def _packed(docs: DataFrame, buckets: int) -> DataFrame:
 
 
 def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """The shingle sets of wanted lines (id, doc, row, no): one row a line says where it stands."""
+    """SETS of wanted lines (id, doc, row, no): one row a line says where it stands. Copies of a row give it again."""
     places = wanted.groupBy("doc", "row").agg(F.collect_list(F.struct("id", "no")).alias("lines"))
     both = docs.join(places, (docs.doc_id.eqNullSafe(places.doc)) & (docs.row == places.row)).select("text", "lines")
 
@@ -141,10 +146,10 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 lines = text.split("\n")
                 for place in places:
                     ids.append(place["id"])
-                    items.append(np.unique(grams_of([lines[place["no"]]])[0]).tobytes())
-            yield with_sketch(pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(items, pa.binary())], ["id", "items"]))
+                    items.append(lines[place["no"]].encode())
+            yield with_sketch(pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(items, pa.binary())], ["id", "items"]), shingles)
 
-    return map_arrow(both, run, SETS).dropDuplicates(["id"])
+    return map_arrow(both, run, SETS)
 
 
 def dedupe(docs: DataFrame, num: int = NUM, den: int = DEN) -> DataFrame:
@@ -158,7 +163,7 @@ def dedupe(docs: DataFrame, num: int = NUM, den: int = DEN) -> DataFrame:
     lines = scratch.keep(split.select(F.xxhash64("line").alias("id"), F.struct(F.col("doc_id").alias("doc"), "row", "no").alias("at")))
     exact = scratch.keep(lines.groupBy("id").agg(F.min("at").alias("first"), F.count("*").alias("n")))
     sets_of = lambda ids: _sets(texts, exact.join(ids, "id").select("id", "first.*"))
-    labels = similarity_components(_packed(texts, buckets), buckets, sets_of, num, den, scratch)
+    labels = similarity_components(_packed(texts, buckets), buckets, sets_of, num, den, scratch, unpack=shingles)
     classes = exact.join(labels, exact.id == labels.node, "left").select("id", "first", "n", F.coalesce("component", "id").alias("c"))
     keepers = classes.groupBy("c").agg(F.min("first").alias("keeper"), F.sum("n").alias("total")).where("total > 1").select("c", "keeper")
     repeated = scratch.keep(classes.join(keepers, "c").select("id", "keeper"))
