@@ -1 +1,125 @@
+"""Searches: whole plans from observations to periodograms and best models."""
 
+from __future__ import annotations
+
+from dataclasses import dataclass
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..operators import fit as fits
+from ..operators.grid import autofrequency, grid_shape, user_grid
+from ..operators.prepare import series_stats
+from ..operators.templates import Template
+
+
+@dataclass
+class TemplateModel:
+    """The fit of a template to every series: params (series_id, freq, a, b, c, sgn)."""
+
+    template: Template
+    params: DataFrame
+
+    def __post_init__(self):
+        if not isinstance(self.template, Template):
+            raise TypeError("template must be a Template")
+        if not isinstance(self.params, DataFrame):
+            raise TypeError("params must be a DataFrame")
+
+    def __call__(self, obs: DataFrame) -> DataFrame:
+        return fits.predict(obs, self.params, self.template)
+
+
+class MultiTemplateSearch:
+    """Searches all series of a table for the period at which the best of some templates fits best."""
+
+    def __init__(self, templates: list[Template] | None = None, allow_negative_amplitudes: bool = True):
+        self.templates, self.allow_negative = templates, allow_negative_amplitudes
+        self.obs = self.stats = self.best_model = None
+
+    def fit(self, obs: DataFrame) -> MultiTemplateSearch:
+        """obs: (series_id, t, y, dy). An earlier best model stays until a better one is found."""
+        self.obs, self.stats = obs, series_stats(obs)
+        return self
+
+    def _ready(self) -> None:
+        if self.obs is None:
+            raise ValueError("call fit first")
+        if not self.templates or not all(isinstance(t, Template) for t in self.templates):
+            raise ValueError("templates must be Templates, one at least")
+
+    def autofrequency(self, **options) -> DataFrame:
+        if self.obs is None:
+            raise ValueError("call fit first")
+        return autofrequency(self.stats, **options)
+
+    def _fits(self, grid: DataFrame, save: bool) -> DataFrame:
+        found = fits.exact_power(self.obs, grid, self.templates, self.allow_negative, self.stats)
+        if save:
+            new = fits.best(found)
+            self.best_model = new if self.best_model is None else merge_best(self.best_model, new, self.obs, self.stats, self.templates)
+        return found
+
+    def autopower(self, save_best_model: bool = True, **options) -> DataFrame:
+        """(series_id, k, freq, power) on the automatic grid."""
+        self._ready()
+        return fits.best_template(self._fits(grid_shape(self.stats, **options), save_best_model))
+
+    def power(self, freqs: list[float], save_best_model: bool = True) -> DataFrame:
+        self._ready()
+        return fits.best_template(self._fits(user_grid(self.obs.sparkSession, freqs), save_best_model))
+
+    def power_from_single_template(self, freqs: list[float], template: Template) -> DataFrame:
+        return MultiTemplateSearch([template], self.allow_negative).fit(self.obs).power(freqs, save_best_model=False)
+
+    def fit_model(self, freq: float) -> DataFrame:
+        """The best template's parameters of each series at one frequency."""
+        self._ready()
+        if not isinstance(freq, float):
+            raise ValueError("freq must be a float")
+        return fits.best(self._fits(user_grid(self.obs.sparkSession, [freq]), False))
+
+
+class TemplateSearch(MultiTemplateSearch):
+    """The search with one template."""
+
+    def __init__(self, template: Template | None = None, allow_negative_amplitudes: bool = True):
+        super().__init__(None if template is None else [template], allow_negative_amplitudes)
+
+    def fit_model(self, freq: float) -> TemplateModel:
+        return TemplateModel(self.templates[0], super().fit_model(float(freq))) if self.templates else super().fit_model(float(freq))
+
+
+class GridTemplateSearch:
+    """The plain search on a grid of phases, with unweighted linear fits; for comparison."""
+
+    def __init__(self, template: Template, phases: int = 20):
+        self.template, self.phases, self.obs = template, phases, None
+
+    def fit(self, obs: DataFrame) -> GridTemplateSearch:
+        self.obs, self.stats = obs, series_stats(obs)
+        return self
+
+    def power(self, freqs: list[float]) -> DataFrame:
+        if self.obs is None:
+            raise ValueError("call fit first")
+        return fits.slow_power(self.obs, user_grid(self.obs.sparkSession, freqs), self.template, self.stats, self.phases)
+
+
+def merge_best(old: DataFrame, new: DataFrame, obs: DataFrame, stats: DataFrame, templates: list[Template]) -> DataFrame:
+    """Of each series the old best model, unless the new one explains strictly more of the present data."""
+
+    def scored(models: DataFrame) -> DataFrame:
+        parts = None
+        for k, t in enumerate(templates):
+            own = models.where(F.col("ordinal") == k)
+            part = fits.power_from_fit(fits.predict(obs, own, t), stats)
+            parts = part if parts is None else parts.union(part)
+        return models.join(parts.withColumnRenamed("power", "now"), "series_id", "left")
+
+    a, b = scored(old).withColumn("age", F.lit(0)), scored(new).withColumn("age", F.lit(1))
+    both = a.unionByName(b)
+    from pyspark.sql.window import Window
+
+    rank = F.row_number().over(Window.partitionBy("series_id").orderBy(F.desc_nulls_last("now"), "age"))
+    return both.withColumn("rank", rank).where("rank = 1").select(*new.columns)
