@@ -278,8 +278,8 @@ def paired(pairs: DataFrame, sets: DataFrame, *columns: str) -> DataFrame:
     return pairs.select("a", "b", *(f"{side}_{c}" for c in columns for side in ("a", "b")))
 
 
-def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int, unpack: Callable[[bytes], np.ndarray] = words_of) -> DataFrame:
-    """The pairs (a, b) whose sets are at least num/den alike. Sketches go first, so few whole sets are moved."""
+def plausible(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs (a, b) that sketches allow, so that few whole sets are moved."""
 
     def rough(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -292,14 +292,19 @@ def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int, unpack: Call
             ok = pa.array(ok, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(ok), batch.column(1).filter(ok)], ["a", "b"])
 
+    return map_arrow(paired(pairs, sets, "size", "sketch"), rough, "a long, b long")
+
+
+def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int, unpack: Callable[[bytes], np.ndarray] = words_of) -> DataFrame:
+    """The pairs (a, b) whose sets are at least num/den alike."""
+
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             xs, ys = batch.column(2).to_pylist(), batch.column(3).to_pylist()
             ok = pa.array([jaccard_at_least(unpack(x), unpack(y), num, den) for x, y in zip(xs, ys)], pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(ok), batch.column(1).filter(ok)], ["a", "b"])
 
-    some = map_arrow(paired(pairs, sets, "size", "sketch"), rough, "a long, b long")
-    return map_arrow(paired(some, sets, "items"), exact, "a long, b long")
+    return map_arrow(paired(pairs, sets, "items"), exact, "a long, b long")
 
 
 #: Members of a block of a large group.
@@ -381,16 +386,22 @@ def similarity_components(packed: DataFrame, buckets: int, sets_of: Callable[[Da
     scratch.sweep()
     pairs = found.where("kind = 0").select("a", "b").distinct()
     hot = found.where("kind = 1").select("a", "b")
-    nodes = found.where("kind = 0").select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    sets = scratch.keep(sets_of(nodes))
-    scratch.sweep()
-    links = scratch.keep(verified(pairs, sets, num, den, unpack))
+    ends = lambda p: p.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    sketches = scratch.keep(sets_of(ends(found.where("kind = 0"))).drop("items"))
     scratch.sweep()
-    every = links if known is None else links.union(known)
-    labels = scratch.keep(components(every, scratch), True)
+
+    def links_of(some: DataFrame) -> DataFrame:
+        sets = scratch.keep(sets_of(ends(some)).select("id", "items"))
+        scratch.sweep()
+        links = scratch.keep(verified(some, sets, num, den, unpack))
+        scratch.drop(sets, some)
+        return links
+
+    links = links_of(scratch.keep(plausible(pairs, sketches, num, den)))
+    labels = scratch.keep(components(links if known is None else links.union(known), scratch), True)
     if not hot.isEmpty():
-        more = scratch.keep(verified(open_pairs(hot, sets, labels, num, den), sets, num, den, unpack))
+        more = links_of(scratch.keep(open_pairs(hot, sketches, labels, num, den)))
         if not more.isEmpty():
-            labels = scratch.keep(components(every.union(more), scratch), True)
-    scratch.drop(found, sets)
+            labels = scratch.keep(components(labels.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more), scratch), True)
+    scratch.drop(found, sketches)
     return labels
