@@ -32,6 +32,12 @@ def gather(flat: np.ndarray, first: np.ndarray, sizes: np.ndarray) -> np.ndarray
     return flat[np.repeat(first - (ends - sizes), sizes) + np.arange(total)]
 
 
+def split(sizes: np.ndarray, flat: np.ndarray) -> list[np.ndarray]:
+    """The runs of flat, of the given sizes."""
+    ends = np.cumsum(sizes)
+    return [flat[a:b] for a, b in zip(ends - sizes, ends)]
+
+
 def listed(found: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
     """(sizes, ids one after the other)."""
     sizes = np.fromiter(map(len, found), np.int64, len(found))
@@ -47,7 +53,7 @@ class ChunkMemo:
 
     def clear(self) -> None:
         self.at = _Numbers()
-        self.flat = np.empty(1 << 16, np.uint32)
+        self.flat_ids = np.empty(1 << 16, np.uint32)
         self.starts = np.zeros(1 << 14, np.int64)
         self.known = 0
 
@@ -57,14 +63,14 @@ class ChunkMemo:
         base = int(self.starts[self.known])
         while self.known + len(chunks) + 1 > len(self.starts):
             self.starts = np.concatenate([self.starts, np.zeros_like(self.starts)])
-        while base + len(new) > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        self.flat[base : base + len(new)] = new
+        while base + len(new) > len(self.flat_ids):
+            self.flat_ids = np.concatenate([self.flat_ids, np.zeros_like(self.flat_ids)])
+        self.flat_ids[base : base + len(new)] = new
         self.starts[self.known + 1 : self.known + 1 + len(chunks)] = base + np.cumsum(sizes)
         self.known += len(chunks)
 
-    def encode(self, texts: list[list]) -> list[np.ndarray]:
-        """The ids of each text, which is given as its chunks."""
+    def flat(self, texts: list[list]) -> tuple[np.ndarray, np.ndarray]:
+        """(number of ids of each text, ids one after the other); a text is given as its chunks."""
         if len(self.at) > self.limit:
             self.clear()
         counts = np.fromiter(map(len, texts), np.int64, len(texts))
@@ -73,6 +79,9 @@ class ChunkMemo:
             self._learn()
         first = self.starts[at]
         sizes = self.starts[at + 1] - first
-        ids = gather(self.flat, first, sizes)
-        cut = np.concatenate([[0], np.cumsum(sizes)])[np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)]
-        return [ids[a:b] for a, b in zip(cut[:-1], cut[1:])]
+        upto = np.concatenate([[0], np.cumsum(sizes)])[np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)]
+        return np.diff(upto), gather(self.flat_ids, first, sizes)
+
+    def encode(self, texts: list[list]) -> list[np.ndarray]:
+        """The ids of each text, which is given as its chunks."""
+        return split(*self.flat(texts))

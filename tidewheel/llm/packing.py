@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -22,67 +23,94 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .chunks import ChunkMemo, listed
+from .chunks import ChunkMemo, gather, listed, split
 from .common import Scratch, map_arrow, utf8
 
 CAPACITY = 4096
 END_ID = 1
 #: Plain words that are encoded in one string.
 TOGETHER = 512
+#: Different chunks, and words within them, that a worker remembers.
+CHUNKS, STEMS = 600_000, 600_000
+#: What may follow a plain word and is cut from it: ASCII marks but the apostrophe, which can begin a suffix.
+MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+LATIN = [chr(c) for c in range(0x80, 0x100) if chr(c).isalpha()]
 
 
 class WordTokenizer:
-    """Encodes chunks between white space, for a tokenizer that drops white space and marks where words end.
+    """Encodes chunks between white space, for a tokenizer that drops white space, lower-cases and marks where words end.
 
-    Words of letters only are encoded many at a time, as each ends in a marked token; a full stop or comma after an
-    ASCII letter at a chunk's end is a token of its own, so the stem is encoded as a plain word. Other chunks are
-    encoded one by one.
+    A chunk of Latin letters and marks after them is two pieces to the tokenizer, so the word is encoded in lower case
+    and apart from its marks. Plain words are encoded many at a time, as each ends in a marked token, and by the model
+    alone, as normalising leaves them as they are; ``_plain_agrees`` tells whether it does. Other chunks are encoded one by one.
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         vocab = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         self.ends[[k for w, k in vocab.items() if w.endswith("</w>")]] = True
-        self.tails = {t: np.array(self._ids([t])[0], np.uint32) for t in (".", ",")}
-        self.memo = ChunkMemo(self.encode_new)
-        self.stems = ChunkMemo(self.encode_stems)
+        level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.bytes = {ord(c): level.pre_tokenize_str(c)[0][0] for c in LATIN}
+        self.model = Tokenizer(self.tokenizer.model)
+        self.model.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        self.memo = ChunkMemo(self.encode_new, CHUNKS)
+        self.stems = ChunkMemo(self.encode_stems, STEMS)
+        self.plain = self._plain_agrees()
+
+    def _plain_agrees(self) -> bool:
+        """Whether words of letters, in either case and with marks, give what their lower-case pieces give."""
+        letters = [chr(c) for c in range(97, 123)] + [c.lower() for c in LATIN]
+        words = [x + y + "e" for x in letters for y in letters]
+        shown = [w.upper() if w.upper().lower() == w and "ß" not in w else w for w in words]
+        sizes, ids = listed(self._ids([w + " " + w + MARKS for w in shown]))
+        marks = self._ids([MARKS])[0]
+        expected = [x + x + marks for x in map(np.ndarray.tolist, split(*self._words(words)))]
+        return [x.tolist() for x in split(sizes, ids)] == expected
 
     def _ids(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def encode_stems(self, chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        texts = [c.decode() for c in chunks]
-        plain = [t.isalpha() for t in texts]
-        words = [t for t, ok in zip(texts, plain) if ok]
-        lists: list[list[int]] = []
+    def _words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        sizes, flat = [np.empty(0, np.int64)], [np.empty(0, np.uint32)]
         for k in range(0, len(words), TOGETHER):
             own = words[k : k + TOGETHER]
-            ids = np.array(self._ids([" ".join(own)])[0], np.uint32)
+            text = " ".join(own)
+            text = text if text.isascii() else text.translate(self.bytes)
+            ids = np.array(self.model.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
             cut = np.flatnonzero(self.ends[ids]) + 1
-            lists += np.split(ids, cut[:-1]) if len(cut) == len(own) and cut[-1] == len(ids) else self._ids(own)
-        found, others = iter(lists), iter(self._ids([t for t, ok in zip(texts, plain) if not ok]))
-        return listed([next(found if ok else others) for ok in plain])
+            n, ids = (np.diff(cut, prepend=0), ids) if len(cut) == len(own) and cut[-1] == len(ids) else listed(self._ids(own))
+            sizes.append(n)
+            flat.append(ids)
+        return np.concatenate(sizes), np.concatenate(flat)
+
+    def encode_stems(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        plain = np.array([self.plain and p.isalpha() and p == p.lower() and (p.isascii() or max(p) <= "\xff") for p in pieces], bool)
+        both = (self._words([p for p, ok in zip(pieces, plain) if ok]), listed(self._ids([p for p, ok in zip(pieces, plain) if not ok])))
+        sizes, flat = (np.concatenate(x) for x in zip(*both))
+        back = np.argsort(np.argsort(~plain, kind="stable"), kind="stable")
+        return sizes[back], gather(flat, (np.cumsum(sizes) - sizes)[back], sizes[back])
+
+    def pieces(self, chunk: bytes) -> list[str]:
+        text = chunk.decode()
+        word = text.rstrip(MARKS)
+        if self.plain and word.isalpha() and (word.isascii() or max(word) <= "\xff"):
+            return [word.lower(), text[len(word) :]] if len(word) < len(text) else [word.lower()]
+        return [text]
 
     def encode_new(self, chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        tails = [c[-1:].decode() if c[-1:] in (b".", b",") and c[-2:-1].isalpha() else "" for c in chunks]
-        stems = self.stems.encode([[c[:-1] if t else c for c, t in zip(chunks, tails)]])[0]
-        at = np.fromiter((self.stems.at[c[:-1] if t else c] for c, t in zip(chunks, tails)), np.int64, len(chunks))
-        sizes = self.stems.starts[at + 1] - self.stems.starts[at]
-        ends = np.cumsum(sizes)
-        return listed_with_tails(stems, ends, sizes, tails, self.tails)
+        return self.stems.flat([self.pieces(c) for c in chunks])
 
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
         return self.memo.encode([t.split() for t in texts])
 
 
-def listed_with_tails(ids: np.ndarray, ends: np.ndarray, sizes: np.ndarray, tails: list[str], of: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """(sizes, ids) with the tail's ids after each chunk's own."""
-    more = [of[t] if t else np.empty(0, np.uint32) for t in tails]
-    where = np.repeat(ends, [len(x) for x in more])
-    return sizes + np.array([len(x) for x in more], np.int64), np.insert(ids, where, np.concatenate(more)) if len(where) else ids
+@lru_cache(maxsize=1)
+def word_tokenizer(path: str) -> WordTokenizer:
+    """One a worker process, whose memo serves all its tasks."""
+    return WordTokenizer(path)
 
 
 def tokenize(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
@@ -94,7 +122,7 @@ def tokenize(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        words, part, seen = WordTokenizer(tokenizer_path), TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
+        words, part, seen = word_tokenizer(tokenizer_path), TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
         end = np.array([end_id], np.uint32)
         for batch in batches:
             ids = batch.column(0).to_pylist()
