@@ -17,6 +17,7 @@ import struct
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -202,13 +203,19 @@ class Codec:
         return text[1:] if self.spec.dummy_prefix and text.startswith(" ") else text
 
 
+@lru_cache(maxsize=1)
+def codec_of(data: bytes) -> Codec:
+    """One a worker process, whose memo serves all its tasks."""
+    return Codec(data)
+
+
 def encode_documents(docs: DataFrame, model_path: str, decode: bool = True) -> DataFrame:
     """(doc_id, ids array<int>, decoded): decoded is the text that the ids give back, null without ``decode``."""
     model = _model(docs, model_path)
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(model)
+        codec = codec_of(model)
         for batch in batches:
             found = codec.encode([t or "" for t in batch.column(1).to_pylist()])
             lists = pa.array([x.astype(np.int32) for x in found], pa.list_(pa.int32()))
@@ -224,7 +231,7 @@ def digest(docs: DataFrame, model_path: str) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(model)
+        codec = codec_of(model)
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]
             found = codec.encode(texts)
