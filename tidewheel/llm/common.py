@@ -256,13 +256,13 @@ def may_reach(x: np.ndarray, y: np.ndarray, n: int, m: np.ndarray | int, num: in
     return (apart * (den + num) <= (den - num) * (n + m)) & (den * np.minimum(n, m) >= num * np.maximum(n, m))
 
 
-def words_of(data: bytes) -> np.ndarray:
-    return np.frombuffer(data, np.uint64)
+def words_of(items: list[bytes]) -> list[np.ndarray]:
+    return [np.frombuffer(x, np.uint64) for x in items]
 
 
-def with_sketch(batch: pa.RecordBatch, unpack: Callable[[bytes], np.ndarray] = words_of) -> pa.RecordBatch:
-    """SETS of (id, items); unpack gives the sorted distinct words of an item's bytes."""
-    items = [unpack(x) for x in batch.column("items").to_pylist()]
+def with_sketch(batch: pa.RecordBatch, unpack: Callable[[list[bytes]], list[np.ndarray]] = words_of) -> pa.RecordBatch:
+    """SETS of (id, items); unpack gives the sorted distinct words of each item's bytes."""
+    items = unpack(batch.column("items").to_pylist())
     return pa.RecordBatch.from_arrays(
         [batch.column("id"), batch.column("items"), pa.array([len(x) for x in items], pa.int64()), pa.array([sketch(x).tobytes() for x in items], pa.binary())], ["id", "items", "size", "sketch"]
     )
@@ -295,13 +295,15 @@ def plausible(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFram
     return map_arrow(paired(pairs, sets, "size", "sketch"), rough, "a long, b long")
 
 
-def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int, unpack: Callable[[bytes], np.ndarray] = words_of) -> DataFrame:
+def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int, unpack: Callable[[list[bytes]], list[np.ndarray]] = words_of) -> DataFrame:
     """The pairs (a, b) whose sets are at least num/den alike."""
 
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             xs, ys = batch.column(2).to_pylist(), batch.column(3).to_pylist()
-            ok = pa.array([jaccard_at_least(unpack(x), unpack(y), num, den) for x, y in zip(xs, ys)], pa.bool_())
+            items = list(dict.fromkeys(xs + ys))
+            sets_by = dict(zip(items, unpack(items)))
+            ok = pa.array([jaccard_at_least(sets_by[x], sets_by[y], num, den) for x, y in zip(xs, ys)], pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(ok), batch.column(1).filter(ok)], ["a", "b"])
 
     return map_arrow(paired(pairs, sets, "items"), exact, "a long, b long")
@@ -376,7 +378,7 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(e.select("v", "v").distinct())
 
 
-def similarity_components(packed: DataFrame, buckets: int, sets_of: Callable[[DataFrame], DataFrame], num: int, den: int, scratch: Scratch, known: DataFrame | None = None, unpack: Callable[[bytes], np.ndarray] = words_of) -> DataFrame:
+def similarity_components(packed: DataFrame, buckets: int, sets_of: Callable[[DataFrame], DataFrame], num: int, den: int, scratch: Scratch, known: DataFrame | None = None, unpack: Callable[[list[bytes]], list[np.ndarray]] = words_of) -> DataFrame:
     """(node, component) of the ids that verified links, and the known links (a, b), join.
 
     packed: signatures from ``Dealer``; sets_of(ids: DataFrame of id) returns SETS for them: an item's bytes, of which unpack makes

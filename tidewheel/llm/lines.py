@@ -32,7 +32,8 @@ NUM, DEN = 80, 100
 BINS, BAND = 108, 6
 #: Lines of up to SHORT shingles are drawn several times; those from LONG on once.
 DRAWS, SHORT, LONG = 8, 160, 128
-CHUNK = 1 << 18
+#: Characters whose shingles are made at once: their arrays stay in a core's cache.
+CHUNK = 1 << 16
 
 _PLACE = mix(np.arange(100, 100 + SHINGLE, dtype=np.uint64)) | U64(1)
 _SALTS = mix(np.arange(1, DRAWS + 1, dtype=np.uint64) * GOLDEN)
@@ -66,7 +67,7 @@ def minhash(grams: np.ndarray, counts: np.ndarray, draws: int) -> np.ndarray:
     line = np.repeat(np.arange(len(counts)), counts) * BINS
     for salt in _SALTS[:draws]:
         h = mix(grams ^ salt) if draws > 1 else grams
-        np.minimum.at(out, line + ((h >> U64(40)) * U64(BINS) >> U64(24)).astype(np.int64), mix(h))
+        np.minimum.at(out, line + ((h >> U64(40)) * U64(BINS) >> U64(24)).astype(np.int64), h)
     out = out.reshape(-1, BINS)
     empty = out == ~U64(0)
     if empty.any():
@@ -93,9 +94,25 @@ def band_signatures(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(sigs), np.concatenate(owners)
 
 
+def line_sets(lines: list[bytes]) -> list[np.ndarray]:
+    """The set of each line; shingles are made for many lines at once."""
+    out, at = [], 0
+    while at < len(lines):
+        end, size = at, 0
+        while end < len(lines) and size < CHUNK:
+            size += len(lines[end])
+            end += 1
+        grams, counts = grams_of([x.decode() for x in lines[at:end]])
+        for stop, n in zip(np.cumsum(counts), counts):
+            own = np.sort(grams[stop - n : stop])
+            out.append(own[np.concatenate([[True], own[1:] != own[:-1]])])
+        at = end
+    return out
+
+
 def shingles(line: bytes) -> np.ndarray:
     """The set of a line."""
-    return np.unique(grams_of([line.decode()])[0])
+    return line_sets([line])[0]
 
 
 def lines_of(text: str | None) -> list[str]:
@@ -147,7 +164,7 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 for place in places:
                     ids.append(place["id"])
                     items.append(lines[place["no"]].encode())
-            yield with_sketch(pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(items, pa.binary())], ["id", "items"]), shingles)
+            yield with_sketch(pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(items, pa.binary())], ["id", "items"]), line_sets)
 
     return map_arrow(both, run, SETS)
 
@@ -163,7 +180,7 @@ def dedupe(docs: DataFrame, num: int = NUM, den: int = DEN) -> DataFrame:
     lines = scratch.keep(split.select(F.xxhash64("line").alias("id"), F.struct(F.col("doc_id").alias("doc"), "row", "no").alias("at")))
     exact = scratch.keep(lines.groupBy("id").agg(F.min("at").alias("first"), F.count("*").alias("n")))
     sets_of = lambda ids: _sets(texts, exact.join(ids, "id").select("id", "first.*"))
-    labels = similarity_components(_packed(texts, buckets), buckets, sets_of, num, den, scratch, unpack=shingles)
+    labels = similarity_components(_packed(texts, buckets), buckets, sets_of, num, den, scratch, unpack=line_sets)
     classes = exact.join(labels, exact.id == labels.node, "left").select("id", "first", "n", F.coalesce("component", "id").alias("c"))
     keepers = classes.groupBy("c").agg(F.min("first").alias("keeper"), F.sum("n").alias("total")).where("total > 1").select("c", "keeper")
     repeated = scratch.keep(classes.join(keepers, "c").select("id", "keeper"))
