@@ -290,6 +290,16 @@ def test_credentials(spark, edges, empty):
     assert credentials.mask_documents(edges).columns == edges.columns
 
 
+def test_credentials_find_a_common_bare_format(spark):
+    rng = np.random.default_rng(6)
+    keys = ["".join(rng.choice(list("0123456789abcdef"), 20)) for _ in range(200)]
+    rows = [(k, f"see {keys[k]} from bob@mail{k}.example.com", "x") for k in range(150)]
+    rows += [(k, f"password = {keys[k]} end", "x") for k in range(150, 200)]
+    docs = spark.createDataFrame(rows, DOCS)
+    got = {r["doc_id"]: r["spans"] for r in credentials.digest(credentials.scan(docs)).collect()}
+    assert all(got[k] == "inferred:4:24" for k in range(150)) and all(got[k] == "assign:0:31" for k in range(150, 200))
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline
 

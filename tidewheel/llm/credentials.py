@@ -2,9 +2,10 @@
 
 Base patterns find credentials that are named or have a known prefix. Their values are labelled examples from which
 probabilistic automata are inferred, one a label: a prefix tree over character classes whose statistically compatible
-states are merged. A further automaton is learned from ordinary tokens. Every candidate token is then scored by the
-likelihood of its format; one that a credential automaton explains clearly better than the ordinary one is added.
-Base spans always stay.
+states are merged. A further automaton is learned from ordinary tokens: the candidates that no credential automaton
+explains well, and whatever follows an @. So bare credentials do not become ordinary, however many they are; a token
+that merely looks like a labelled value is taken for one. Every candidate token is then scored by the likelihood of its
+format; one that a credential automaton explains clearly better than the ordinary one is added. Base spans always stay.
 
 Learning takes at most ``SAMPLE`` different values a label, those with the smallest hashes, of at most ``LONGEST``
 characters; scanning covers every whole text, and every candidate is scored at its whole length.
@@ -17,7 +18,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
@@ -153,26 +154,53 @@ def infer(words: list[str], alpha: float = ALPHA) -> Automaton:
 def learn(docs: DataFrame, sample: int = SAMPLE) -> dict[str, Automaton]:
     """An automaton for each kind that has examples, and one of ordinary tokens under ''."""
 
+    def labelled(text: str) -> set[tuple[str, str]]:
+        return {(KINDS[k], v) for _, _, k, v in base_spans(text) if len(v) <= LONGEST}
+
+    automata = {kind: infer(words) for kind, words in _examples(docs, labelled, KINDS, sample).items()}
+
+    def ordinary(text: str) -> set[tuple[str, str]]:
+        spans, rows = base_spans(text), set()
+        for m in CANDIDATE.finditer(text):
+            if len(m[0]) <= LONGEST and not _covered(m.span(), spans):
+                if text[max(m.start() - 1, 0)] == "@" or not _like_credential(m[0].translate(CLASSES), automata):
+                    rows.add(("", m[0]))
+        return rows
+
+    return automata | {kind: infer(words) for kind, words in _examples(docs, ordinary, ("",), sample).items()}
+
+
+def _examples(docs: DataFrame, values_of: Callable[[str], set[tuple[str, str]]], kinds: tuple[str, ...], sample: int) -> dict[str, list[str]]:
+    """In classes, the values of each kind with the smallest hashes; values_of gives the (kind, value) of a text."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = set()
-            for text in batch.column(0).to_pylist():
-                if text:
-                    spans = base_spans(text)
-                    rows |= {(KINDS[k], v) for _, _, k, v in spans if len(v) <= LONGEST}
-                    rows |= {("", m[0]) for m in CANDIDATE.finditer(text) if len(m[0]) <= LONGEST and not _covered(m.span(), spans)}
-            rows = sorted(rows)
+            rows = sorted(set().union(*(values_of(text) for text in batch.column(0).to_pylist() if text)))
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.string()) for k in (0, 1)], ["kind", "value"])
 
     values = map_arrow(docs.select("text"), run, "kind string, value string").distinct()
     found = None
-    for kind in (*KINDS, ""):
+    for kind in kinds:
         own = values.where(F.col("kind") == kind).orderBy(F.xxhash64("value"), "value").limit(sample)
         found = own if found is None else found.union(own)
     examples: dict[str, list[str]] = {}
     for kind, value in found.collect():
         examples.setdefault(kind, []).append(value.translate(CLASSES))
-    return {kind: infer(words) for kind, words in examples.items()}
+    return examples
+
+
+def _uniform(word: str) -> float:
+    return -(len(word) + 1) * math.log(ALPHABET + 1)
+
+
+def _best(word: str, automata: dict[str, Automaton]) -> float:
+    """The likelihood of word by the credential automaton that explains it best, if any does well enough."""
+    best = max((a.log_likelihood(word) for kind, a in automata.items() if kind), default=-math.inf)
+    return best if best >= LEAST * (len(word) + 1) else -math.inf
+
+
+def _like_credential(word: str, automata: dict[str, Automaton]) -> bool:
+    return _best(word, automata) - _uniform(word) >= MARGIN
 
 
 def _covered(span: tuple[int, int], spans: list[tuple[int, int, int, str]]) -> bool:
@@ -181,16 +209,14 @@ def _covered(span: tuple[int, int], spans: list[tuple[int, int, int, str]]) -> b
 
 def added_spans(text: str, spans: list[tuple[int, int, int, str]], automata: dict[str, Automaton]) -> list[tuple[int, int]]:
     """Candidates outside spans whose format a credential automaton explains clearly better than ordinary tokens."""
-    kinds = [a for kind, a in automata.items() if kind]
-    if not kinds:
+    if not any(automata):
         return []
     out = []
     for m in CANDIDATE.finditer(text):
         if not _covered(m.span(), spans):
             word = m[0].translate(CLASSES)
-            best = max(a.log_likelihood(word) for a in kinds)
-            plain = max(automata[""].log_likelihood(word) if "" in automata else -math.inf, -(len(word) + 1) * math.log(ALPHABET + 1))
-            if best >= LEAST * (len(word) + 1) and best - plain >= MARGIN:
+            plain = max(automata[""].log_likelihood(word) if "" in automata else -math.inf, _uniform(word))
+            if _best(word, automata) - plain >= MARGIN:
                 out.append(m.span())
     return out
 
