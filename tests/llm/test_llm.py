@@ -300,6 +300,19 @@ def test_credentials_find_a_common_bare_format(spark):
     assert all(got[k] == "inferred:4:24" for k in range(150)) and all(got[k] == "assign:0:31" for k in range(150, 200))
 
 
+def test_credentials_of_mixed_case_and_behind_names():
+    rng = np.random.default_rng(7)
+    chars = list("0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")
+    key = lambda n: "".join(rng.choice(chars, n))
+    automata = {"assign": credentials.labelled_automaton([key(n).translate(credentials.CLASSES) for n in (12, 20, 32, 40) for _ in range(50)])}
+    for n in (20, 32, 40):
+        for k in (key(n) for _ in range(50)):
+            for text, at in ((f"see {k} there", 4), (f"AWS_SECRET_ACCESS_KEY={k}", 22), (f"x https://a.b/{k}/c", 14), (f"It is {k}.", 6)):
+                assert (at, at + n) in credentials.added_spans(text, [], automata), text
+    assert credentials.added_spans("a B7xKq2LmZ9wT b", [], automata) == [(2, 14)] and credentials.added_spans("a bRtKqHLmZgwTpXcVnYsD b", [], automata) == [(2, 22)]
+    assert not credentials.added_spans("getElementsByClassName the-quick-brown-fox-2 4041894974608795 mail8.example.com", [], automata)
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline
 

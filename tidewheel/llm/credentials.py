@@ -3,9 +3,14 @@
 Base patterns find credentials that are named or have a known prefix. Their values are labelled examples from which
 probabilistic automata are inferred, one a label: a prefix tree over character classes whose statistically compatible
 states are merged. A further automaton is learned from ordinary tokens: the candidates that no credential automaton
-explains well, and whatever follows an @. So bare credentials do not become ordinary, however many they are; a token
+explains well, and whatever follows an @ or ://. So bare credentials do not become ordinary, however many they are; a token
 that merely looks like a labelled value is taken for one. Every candidate token is then scored by the likelihood of its
-format; one that a credential automaton explains clearly better than the ordinary one is added. Base spans always stay.
+format; one that a credential automaton explains clearly better than the ordinary one is added. How unlikely a value
+may be follows from how the halves of a label's examples explain each other. Base spans always stay.
+
+Candidates are runs of key characters with and without the dots at their end, what follows the first and the last '=' in a run, and the pieces between '=' and
+'/'. They have a letter and a digit and ``USUAL`` characters, or as few as the shortest example of the label; without
+a digit, both cases and a shape that words do not have. Letters of one case alone and digits alone are no candidates.
 
 Learning takes at most ``SAMPLE`` different values a label, those with the smallest hashes, of at most ``LONGEST``
 characters; scanning covers every whole text, and every candidate is scored at its whole length.
@@ -37,10 +42,16 @@ ADDED = "inferred"
 
 SAMPLE = 1000
 LONGEST = 256
-#: What may be a credential by itself: long enough, with a letter and a digit.
-CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_.=-])(?=[A-Za-z+/_.=-]*[0-9])(?=[0-9+/_.=-]*[A-Za-z])[A-Za-z0-9+/_.=-]{16,}")
-#: Confidence of a merge; nats by which the format must beat ordinary tokens; mean nats a character it must reach.
-ALPHA, MARGIN, LEAST = 0.05, 6.0, -1.3
+#: Where candidates are looked for: runs of key characters with a letter and a digit, or with small before capital.
+RUN = re.compile(r"(?<![A-Za-z0-9+/_.=-])(?:(?=[A-Za-z+/_.=-]*[0-9])(?=[0-9+/_.=-]*[A-Za-z])|(?=[A-Za-z+/_.=-]*[a-z][A-Z]))[A-Za-z0-9+/_.=-]{6,}")
+PIECE = re.compile(r"[^=/]+")
+LETTER, DIGIT, STEP = re.compile("[A-Za-z]"), re.compile("[0-9]"), re.compile("[a-z][A-Z]")
+#: Words in a row, as in CamelCase.
+WORDS = re.compile(r"[+/_.=-]*+(?:[A-Z]?[a-z]++[+/_.=-]*+)++")
+#: A candidate of so many characters need not be as long as the examples.
+USUAL = 16
+#: Confidence of a merge; nats by which the format must beat ordinary tokens; deviations that a value may be less likely than examples.
+ALPHA, MARGIN, BELOW = 0.05, 6.0, 4.0
 UNSEEN = -6.0
 
 #: Character classes: digits, letters that are hexadecimal or not by case; other characters stand for themselves.
@@ -66,6 +77,10 @@ class Automaton:
     total: list[int] = field(default_factory=lambda: [0])
     final: list[int] = field(default_factory=lambda: [0])
     edges: list[dict[str, list[int]]] = field(default_factory=lambda: [{}])  # symbol -> [state, count]
+    #: Of unseen examples, the mean nats a character and their deviation for one character; the shortest example.
+    mean: float = -math.inf
+    spread: float = 0.0
+    shortest: int = USUAL
 
     def add(self, word: str) -> None:
         at = 0
@@ -151,20 +166,56 @@ def infer(words: list[str], alpha: float = ALPHA) -> Automaton:
             _fold(x, red, blue)
 
 
+def labelled_automaton(words: list[str]) -> Automaton:
+    """The automaton of a label's examples, with what likelihoods to expect of further values."""
+    x = infer(words)
+    x.shortest = min(map(len, words))
+    words = sorted(words)
+    if len(words) > 1:
+        scores = [(half.log_likelihood(w), len(w) + 1) for k in (0, 1) for half in [infer(words[1 - k :: 2])] for w in words[k::2]]
+        x.mean = sum(s for s, _ in scores) / sum(n for _, n in scores)
+        x.spread = math.sqrt(sum((s - x.mean * n) ** 2 / n for s, n in scores) / len(scores))
+    return x
+
+
+def candidates(text: str, spans: list[tuple[int, int, int, str]], shortest: int) -> Iterator[tuple[int, int]]:
+    """(start, end) of the candidates outside spans with shortest characters at least, longer ones of a run first."""
+    for m in RUN.finditer(text):
+        start, end = m.span()
+        ends = dict.fromkeys((start + len(m[0].rstrip(".")), end))
+        found = {(start, e): None for e in ends}
+        if "=" in m[0] or "/" in m[0]:
+            first, last = m[0].find("="), m[0].rstrip("=").rfind("=")
+            found |= {(start + k + 1, e): None for k in (first, last) if k >= 0 for e in ends}
+            found |= {(start + p.start(), start + p.end()): None for p in PIECE.finditer(m[0].rstrip("."))}
+        for a, b in found:
+            if b - a >= shortest and not _covered((a, b), spans):
+                digit = DIGIT.search(text, a, b)
+                if digit and LETTER.search(text, a, b) or not digit and b - a >= USUAL and STEP.search(text, a, b) and not WORDS.fullmatch(text, a, b):
+                    yield a, b
+
+
+def _shortest(automata: dict[str, Automaton]) -> int:
+    return min([USUAL, *(a.shortest for kind, a in automata.items() if kind)])
+
+
 def learn(docs: DataFrame, sample: int = SAMPLE) -> dict[str, Automaton]:
     """An automaton for each kind that has examples, and one of ordinary tokens under ''."""
 
     def labelled(text: str) -> set[tuple[str, str]]:
         return {(KINDS[k], v) for _, _, k, v in base_spans(text) if len(v) <= LONGEST}
 
-    automata = {kind: infer(words) for kind, words in _examples(docs, labelled, KINDS, sample).items()}
+    automata = {kind: labelled_automaton(words) for kind, words in _examples(docs, labelled, KINDS, sample).items()}
+
+    shortest = _shortest(automata)
 
     def ordinary(text: str) -> set[tuple[str, str]]:
-        spans, rows = base_spans(text), set()
-        for m in CANDIDATE.finditer(text):
-            if len(m[0]) <= LONGEST and not _covered(m.span(), spans):
-                if text[max(m.start() - 1, 0)] == "@" or not _like_credential(m[0].translate(CLASSES), automata):
-                    rows.add(("", m[0]))
+        rows = set()
+        for a, b in candidates(text, base_spans(text), shortest):
+            if b - a <= LONGEST:
+                host = text[a - 1 : a] == "@" or text[max(a - 3, 0) : a] == "://"
+                if host or not _like_credential(text[a:b].translate(CLASSES), automata):
+                    rows.add(("", text[a:b]))
         return rows
 
     return automata | {kind: infer(words) for kind, words in _examples(docs, ordinary, ("",), sample).items()}
@@ -195,8 +246,13 @@ def _uniform(word: str) -> float:
 
 def _best(word: str, automata: dict[str, Automaton]) -> float:
     """The likelihood of word by the credential automaton that explains it best, if any does well enough."""
-    best = max((a.log_likelihood(word) for kind, a in automata.items() if kind), default=-math.inf)
-    return best if best >= LEAST * (len(word) + 1) else -math.inf
+    n, best = len(word) + 1, -math.inf
+    for kind, a in automata.items():
+        if kind and len(word) >= min(USUAL, a.shortest):
+            found = a.log_likelihood(word)
+            if found >= a.mean * n - BELOW * a.spread * math.sqrt(n):
+                best = max(best, found)
+    return best
 
 
 def _like_credential(word: str, automata: dict[str, Automaton]) -> bool:
@@ -211,13 +267,14 @@ def added_spans(text: str, spans: list[tuple[int, int, int, str]], automata: dic
     """Candidates outside spans whose format a credential automaton explains clearly better than ordinary tokens."""
     if not any(automata):
         return []
-    out = []
-    for m in CANDIDATE.finditer(text):
-        if not _covered(m.span(), spans):
-            word = m[0].translate(CLASSES)
+    out, held = [], (0, 0)
+    for a, b in candidates(text, spans, _shortest(automata)):
+        if not (a < held[1] and held[0] < b):
+            word = text[a:b].translate(CLASSES)
             plain = max(automata[""].log_likelihood(word) if "" in automata else -math.inf, _uniform(word))
             if _best(word, automata) - plain >= MARGIN:
-                out.append(m.span())
+                out.append((a, b))
+                held = max(held, (a, b), key=lambda s: s[1])
     return out
 
 
