@@ -190,6 +190,18 @@ def test_line_minhash_recall():
     assert seen > 200 and missed <= 0.02 * seen
 
 
+def test_line_signatures_of_repeated_text():
+    phrase = "all of this is said again and once more "
+    fill = [prose(k, 40) for k in range(3)]
+    for x, y in (("-" * 100, "-" * 200), ("=" * 130, "=" * 5000), (phrase * 3, phrase * 5), (phrase * 4, phrase * 40)):
+        both = len(np.intersect1d(lines.shingles(x.encode()), lines.shingles(y.encode())))
+        assert both == len(lines.shingles(x.encode())) == len(lines.shingles(y.encode()))
+        sigs, owner = lines.band_signatures([fill[0], x, fill[1], y, fill[2]])
+        assert set(sigs[owner == 1]) & set(sigs[owner == 3])
+        for k, line in enumerate((fill[0], x, fill[1], y, fill[2])):
+            assert set(sigs[owner == k]) == set(lines.band_signatures([line])[0])
+
+
 def test_suffix_dedup_against_brute_force(spark, empty):
     size = suffix.LENGTH
     shared = "".join(chr(97 + k % 26) + str(k) for k in range(200))

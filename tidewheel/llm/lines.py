@@ -30,7 +30,7 @@ from .quality_rules import SPACE_CHARS
 SHINGLE = 5
 NUM, DEN = 80, 100
 BINS, BAND = 108, 6
-#: Lines of up to SHORT shingles are drawn several times; those from LONG on once.
+#: Lines of up to SHORT different shingles are drawn several times; those from LONG on once.
 DRAWS, SHORT, LONG = 8, 160, 128
 #: Characters whose shingles are made at once: their arrays stay in a core's cache.
 CHUNK = 1 << 16
@@ -77,9 +77,23 @@ def minhash(grams: np.ndarray, counts: np.ndarray, draws: int) -> np.ndarray:
     return out
 
 
+def once(grams: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """grams_of without what repeats within lines of LONG shingles or more; others get the same signatures either way."""
+    if (counts < LONG).all():
+        return grams, counts
+    counts, parts, since = counts.copy(), [], 0
+    ends = np.cumsum(counts)
+    for k in np.flatnonzero(counts >= LONG):
+        at = ends[k] - counts[k]
+        own = np.unique(grams[at : ends[k]])
+        parts += [grams[since:at], own]
+        counts[k], since = len(own), ends[k]
+    return np.concatenate([*parts, grams[since:]]), counts
+
+
 def band_signatures(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(signatures, number of the line of each)."""
-    grams, counts = grams_of(lines)
+    """(signatures, number of the line of each). Which kinds a line gets depends on its different shingles."""
+    grams, counts = once(*grams_of(lines))
     ends = np.cumsum(counts)
     sigs, owners = [], []
     for draws, use in ((DRAWS, counts <= SHORT), (1, counts >= LONG)):
