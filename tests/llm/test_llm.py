@@ -190,6 +190,15 @@ def test_line_minhash_recall():
     assert seen > 200 and missed <= 0.02 * seen
 
 
+def test_line_minhash_misses_few_pairs_at_the_border():
+    rng = np.random.default_rng(9)
+    pairs = [(x, x[:76]) for x in ("".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz "), 94)) for _ in range(3000))]
+    assert all(100 * len(lines.shingles(y.encode())) >= 80 * len(lines.shingles(x.encode())) for x, y in pairs)
+    sigs, owner = lines.band_signatures([x for pair in pairs for x in pair])
+    per = np.split(sigs, np.flatnonzero(np.diff(owner)) + 1)
+    assert sum(not set(per[k]) & set(per[k + 1]) for k in range(0, len(per), 2)) <= 3
+
+
 def test_line_signatures_of_repeated_text():
     phrase = "all of this is said again and once more "
     fill = [prose(k, 40) for k in range(3)]

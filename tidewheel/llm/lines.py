@@ -5,9 +5,9 @@ one-permutation MinHash of its character shingles, cut into bands; lines that sh
 (Jaccard of shingle sets, at least NUM/DEN), and links become components by distributed union-find. Of each component
 the line that comes first by (doc_id, number) is kept, all others are removed from their documents.
 
-Short lines have too few shingles for 108 bins, so each shingle is drawn ``DRAWS`` times for them; lines near the border
-get signatures of both kinds. With 18 bands of 6 a pair at the
-least similarity is missed about once in 240, one of 0.85 once in 5,000.
+Short lines have too few shingles for 110 bins, so each shingle is drawn ``DRAWS`` times for them; lines near the border
+get signatures of both kinds. With 22 bands of 5 a pair at the
+least similarity is missed about once in 6,000, one of 0.85 once in 240,000.
 
 Edge cases: blank lines are never removed and never a reason to remove; a null text has no lines and stays null. Lines
 of fewer than ``SHINGLE`` characters are one shingle. Rows of one doc_id and one text count as one document, so copies
@@ -29,7 +29,7 @@ from .quality_rules import SPACE_CHARS
 
 SHINGLE = 5
 NUM, DEN = 80, 100
-BINS, BAND = 108, 6
+BINS, BAND = 110, 5
 #: Lines of up to SHORT different shingles are drawn several times; those from LONG on once.
 DRAWS, SHORT, LONG = 8, 160, 128
 #: Characters whose shingles are made at once: their arrays stay in a core's cache.
