@@ -345,3 +345,77 @@ def test_pipeline_stages(spark):
         if k < 4:
             assert docs.columns == columns
     assert counts[0] >= counts[1] >= counts[2] == counts[3] <= counts[4]
+
+
+def pipeline_rows():
+    """(doc_id, text), and the bare and named keys in them."""
+    rng = np.random.default_rng(11)
+    word = lambda: "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 6))
+    line = lambda: " ".join(["the", *(word() for _ in range(11))])
+    keys = ["".join(rng.choice(list("0123456789abcdef"), 20)) for _ in range(60)]
+    marks = [f"password = {x}" if k % 2 else x for k, x in enumerate(keys)]
+    rows = [(k, "\n".join([line(), line(), f"{line()} {marks[k]}", line()])) for k in range(60)]
+    texts = dict(rows)
+    first = texts[1].split("\n")[0]
+    rows += [(100, texts[0]), (101, "\n".join([f"{first[:30]}#{first[31:]}", line(), line(), line()])), (102, texts[2].replace("\n", " "))]
+    rows += [(103, "too short"), (104, "\n".join([line()] * 10)), (105, line() + " # $ % & * | < > # $\n" + line()), (106, None)]
+    return rows, marks
+
+
+def brute_quality(text):
+    words, rows = (text or "").split(), [x for x in (text or "").split("\n") if x.strip()]
+    windows = [tuple(words[i : i + 8]) for i in range(len(words) - 7)]
+    times = Counter(windows)
+    repeated = {i + j for i, w in enumerate(windows) if times[w] > 1 for j in range(8)}
+    stop = {w for ws in quality_rules.STOP_WORDS.values() for w in ws}
+    return (
+        len(words) >= 20 and len(repeated) <= 0.3 * len(words) and 1.5 <= sum(map(len, words)) / len(words) <= 25
+        and sum(text.count(c) for c in "#*$%&|<>") <= 0.2 * len(words) and sum(w.lower() in stop for w in words) >= 0.01 * len(words)
+        and len(rows) - len(set(rows)) <= 0.5 * len(rows)
+    )
+
+
+def brute_lines(rows):
+    at = [(d, k, x) for d, text in sorted(rows) for k, x in enumerate(text.split("\n"))]
+    sets = [{x[i : i + 5] for i in range(max(len(x) - 4, 1))} for _, _, x in at]
+    label = list(range(len(at)))
+    for j in range(len(at)):
+        for i in range(j):
+            if label[i] != label[j] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+                low, high = sorted((label[i], label[j]))
+                label = [low if x == high else x for x in label]
+    kept = {}
+    for k, (d, _, x) in enumerate(at):
+        if label[k] == k:
+            kept.setdefault(d, []).append(x)
+    return [(d, "\n".join(x)) for d, x in kept.items()]
+
+
+def test_pipeline_against_brute_force(spark, tmp_path):
+    import corpus_pipeline
+    from tokenizers import Tokenizer
+
+    rows, marks = pipeline_rows()
+    want = [[(d, t) for d, t in rows if brute_quality(t)]]
+    want.append(brute_lines(want[0]))
+    groups = brute_components(want[1])
+    want.append([(d, t) for d, t in want[1] if groups[d][1] == d])
+    masked = []
+    for d, t in want[2]:
+        for x in marks:
+            t = t.replace(x, credentials.MASK)
+        masked.append((d, t))
+    want.append(masked)
+    assert [len(x) for x in want] == [63, 62, 61, 61] and dict(want[1])[101].count("\n") == 2
+
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    spark.createDataFrame([(d, t, "en", "x", len(t or "")) for d, t in rows], schema).write.parquet(f"{tmp_path}/documents.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for (_, stage), rows_of in zip(corpus_pipeline.STAGES, want):
+        docs = stage(spark, docs, str(tmp_path)).cache()
+        assert sorted((r["doc_id"], r["text"], r["n_chars"]) for r in docs.collect()) == sorted((d, t, len(t)) for d, t in rows_of)
+    codec = Tokenizer.from_file(tokenizer_file("word_bpe_49k.json"))
+    ids = {d: [*codec.encode(t, add_special_tokens=False).ids, 1] for d, t in want[3]}
+    found = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    crc = lambda x: zlib.crc32(np.array(x, "<u4").tobytes())
+    assert sorted((r["doc_id"], r["piece"], r["length"], r["ids_crc32"]) for r in found) == sorted((d, 0, len(x), crc(x)) for d, x in ids.items())
