@@ -2,7 +2,8 @@
 
 The model's protobuf is read field by field; normaliser, metaspace marker, scores and byte fallback are rebuilt as a
 ``tokenizers`` model. Both kinds of model are supported: unigram (Viterbi over the scores) and BPE (merges rebuilt from
-pieces and scores). Batches are encoded by the library's threads. No piece but a run of markers has a marker after
+pieces and scores). Control, unknown, unused and byte pieces are never found in a text that spells their names;
+user-defined pieces always are. Batches are encoded by the library's threads. No piece but a run of markers has a marker after
 another character, so a text falls into chunks before each marker, which are encoded once each; where a vocabulary
 breaks that rule, whole texts are encoded.
 
@@ -114,7 +115,7 @@ class Codec:
     """Encodes and decodes batches of texts with the model at path."""
 
     def __init__(self, data: bytes):
-        from tokenizers import Regex, Tokenizer, models, normalizers
+        from tokenizers import AddedToken, Regex, Tokenizer, models, normalizers
 
         self.spec = spec = parse(data)
         if spec.kind not in (UNIGRAM, BPE):
@@ -130,22 +131,39 @@ class Codec:
             steps.append(normalizers.Replace(" ", MARK))
         self.normalizer = normalizers.Sequence(steps)
         ids = {p[0]: k for k, p in enumerate(spec.pieces)}
+        own = [p for p, _, k in spec.pieces if k == USER_DEFINED]
+        #: The byte pieces by value, for unigram models: theirs are no pieces that a text may spell out.
+        self.byte_ids = {int(p[3:5], 16): k for k, (p, _, kind) in enumerate(spec.pieces) if kind == BYTE} if spec.byte_fallback and spec.kind == UNIGRAM else {}
         if spec.kind == UNIGRAM:
-            model = models.Unigram([(p, s) for p, s, _ in spec.pieces], spec.unk_id, byte_fallback=spec.byte_fallback)
+            model = models.Unigram(self._unigram(), spec.unk_id, byte_fallback=False)
         else:
             model = models.BPE(ids, self._merges(ids), unk_token=spec.pieces[spec.unk_id][0], fuse_unk=True, byte_fallback=spec.byte_fallback, cache_capacity=0)
         self.tokenizer = Tokenizer(model)
+        if own and spec.kind == BPE:  # they are cut out before any merge
+            self.tokenizer.add_tokens([AddedToken(p, normalized=False) for p in own])
         joined = any(MARK in p.lstrip(MARK) for p, _, k in spec.pieces if k in (NORMAL, USER_DEFINED))
         self.cut = spec.escape and not joined and MARK in ids
         self.memo = ChunkMemo(self._encode_new)
         self.opens = np.array([p.startswith(MARK) for p, _, _ in spec.pieces], bool)
         self._table()
 
+    def _unigram(self) -> list[tuple[str, float]]:
+        """The pieces that a text may consist of, by id; others have a name that no text holds, and the best score, as the least one sets that of unknown characters."""
+        scores = [s for _, s, k in self.spec.pieces if k == NORMAL] or [0.0]
+        absent = " {}" if self.spec.escape else "\U0010ffff\ufffe\U0010fffe{}\U0010ffff"
+        out = []
+        for k, (piece, score, kind) in enumerate(self.spec.pieces):
+            if kind == USER_DEFINED:  # fixed by the format: longer than any path of other pieces is good
+                out.append((piece, len(piece.encode()) * max(scores) - 0.1))
+            else:
+                out.append((piece, score) if kind == NORMAL else (absent.format(k), max(scores)))
+        return out
+
     def _merges(self, ids: dict[str, int]) -> list[tuple[str, str]]:
         found = []
-        normal = {p for p, _, k in self.spec.pieces if k in (NORMAL, USER_DEFINED)}
+        normal = {p for p, _, k in self.spec.pieces if k == NORMAL}
         for piece, score, kind in self.spec.pieces:
-            if kind in (NORMAL, USER_DEFINED):
+            if kind == NORMAL:
                 found += [(-score, ids[piece[:k]], ids[piece[k:]], piece[:k], piece[k:]) for k in range(1, len(piece)) if piece[:k] in normal and piece[k:] in normal]
         return [x[3:] for x in sorted(found)]
 
@@ -168,6 +186,18 @@ class Codec:
         out = []
         for k in range(0, len(texts), TOGETHER):
             out += [e.ids for e in self.tokenizer.encode_batch_fast(texts[k : k + TOGETHER], add_special_tokens=False)]
+        if self.byte_ids:
+            for k, ids in enumerate(out):
+                if self.spec.unk_id in ids:
+                    out[k] = self._bytes(texts[k])
+        return out
+
+    def _bytes(self, text: str) -> list[int]:
+        """The ids of a text whose unknown characters become byte pieces."""
+        found, out = self.tokenizer.encode(text, add_special_tokens=False), []
+        for k, (a, b) in zip(found.ids, found.offsets):
+            own = [self.byte_ids.get(x) for x in text[a:b].encode()] if k == self.spec.unk_id else [k]
+            out += own if None not in own else [k]
         return out
 
     def _encode_new(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
