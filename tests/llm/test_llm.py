@@ -76,15 +76,37 @@ def message(*parts):
     return out
 
 
-def test_sentencepiece_parity_unigram():
+def model_file(pieces, kind, byte_fallback=True):
+    data = b"".join(message((1, message((1, p.encode()), (2, s), (3, k)))) for p, s, k in pieces)
+    return data + message((2, message((3, kind), (35, int(byte_fallback))))) + message((3, message((1, b"identity"), (3, 1), (4, 0), (5, 1))))
+
+
+SPECIAL = [("<unk>", 0.0, 2), ("<s>", 0.0, 3), ("</s>", 0.0, 3)]
+BYTES = [(f"<0x{k:02X}>", 0.0, 6) for k in range(256)]
+NAMES = ["a <s> the", "</s>", "<s></s><unk>", "<0x41>", "a<0x41>e", "<0x4", "the<s>the", "x <unk> y"]
+
+
+@pytest.mark.parametrize("byte_fallback", [True, False])
+def test_sentencepiece_parity_unigram(byte_fallback):
     import sentencepiece
 
-    pieces = [("<unk>", 0.0, 2), ("<s>", 0.0, 3), ("</s>", 0.0, 3)] + [("▁the", -2.0, 1), ("▁", -3.0, 1), ("th", -4.0, 1), ("e", -4.5, 1), ("t", -5.0, 1), ("h", -5.0, 1), ("a", -4.0, 1), ("▁a", -3.5, 1), ("at", -4.2, 1)]
-    pieces += [(f"<0x{k:02X}>", 0.0, 6) for k in range(256)]
-    data = b"".join(message((1, message((1, p.encode()), (2, s), (3, k)))) for p, s, k in pieces)
-    data += message((2, message((3, 1), (35, 1)))) + message((3, message((1, b"identity"), (3, 1), (4, 0), (5, 1))))
+    pieces = SPECIAL + [("▁the", -2.0, 1), ("▁", -3.0, 1), ("th", -4.0, 1), ("e", -4.5, 1), ("t", -5.0, 1), ("h", -5.0, 1), ("a", -4.0, 1), ("▁a", -3.5, 1), ("at", -4.2, 1)]
+    pieces += [(c, -6.0, 1) for c in "<s>0x/4"] + [("[sep]", 0.0, 4), ("hat", -1.0, 5)] + BYTES * byte_fallback
+    data = model_file(pieces, 1, byte_fallback)
+    own, codec = sentencepiece.SentencePieceProcessor(model_proto=data), sentencepiece_codec.Codec(data)
+    texts = ["the that hat", "a  the", "", "tea é x", " at", "the[sep]at [sep]", "q日本z", *NAMES]
+    assert [list(map(int, x)) for x in codec.encode(texts)] == own.encode(texts)
+    assert [codec.decode(x) for x in codec.encode(texts)] == own.decode(own.encode(texts))
+
+
+def test_sentencepiece_parity_bpe_with_own_pieces():
+    import sentencepiece
+
+    pieces = SPECIAL + BYTES + [("th", -1.0, 1), ("▁th", -2.0, 1), ("▁the", -3.0, 1), ("at", -4.0, 1), ("[sep]", 0.0, 4)]
+    pieces += [(c, -10.0 - k, 1) for k, c in enumerate("▁theas<>/0x41[]p")]
+    data = model_file(pieces, 2)
     own, codec = sentencepiece.SentencePieceProcessor(model_proto=data), sentencepiece_codec.Codec(data)
-    texts = ["the that hat", "a  the", "", "tea é x", " at"]
+    texts = ["the that hat", "a the[sep]the [sep] at", "[sep", "é the", *NAMES]
     assert [list(map(int, x)) for x in codec.encode(texts)] == own.encode(texts)
 
 
@@ -125,11 +147,11 @@ def test_jaccard_join_against_brute_force(spark, edges, empty, monkeypatch):
 
 
 def test_jaccard_large_groups_are_exact(spark):
-    import tidewheel.llm.common as common
+    from tidewheel.llm import links
 
     rows = [(k, prose(3, 40) + " " + prose(100 + k // 2, 40 if k % 4 < 2 else 3)) for k in range(60)]
     frame = spark.createDataFrame([(a, b, "x") for a, b in rows], DOCS)
-    assert len(rows) > common.SMALL_GROUP
+    assert len(rows) > links.SMALL_GROUP
     assert {r[0]: (r[1], r[2]) for r in jaccard.link_components(frame).collect()} == brute_components(rows)
 
 
@@ -255,7 +277,39 @@ def test_warc_splits_own_each_record_once(spark, tmp_path):
     path = f"file://{tmp_path}/archive"
     warc.write(pages, path)
     for size in (97, 1000, 1 << 20):
-        assert sorted(r[0] for r in warc.read(spark, path, split_bytes=size).select("page_id").collect()) == list(range(200))
+        assert sorted(r[0] for r in warc.read_pages(spark, path, split_bytes=size).select("page_id").collect()) == list(range(200))
+
+
+def test_warc_reads_archives_of_others(spark, tmp_path):
+    import base64
+    import gzip
+
+    def record(kind, block, *more):
+        head = ["WARC/1.0", f"WARC-Type: {kind}", "WARC-Record-ID: <urn:uuid:00000000-0000-0000-0000-000000000000>", *more, f"Content-Length: {len(block)}"]
+        return gzip.compress("\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n")
+
+    body, http = b"<p>page</p>", b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n\r\n"
+    sha1 = base64.b32encode(hashlib.sha1(body).digest()).decode()
+    message = "Content-Type: application/http; msgtype=response"
+    (tmp_path / "x.warc.gz").write_bytes(
+        record("warcinfo", b"software: x\r\n", "Content-Type: application/warc-fields")
+        + record("request", b"GET / HTTP/1.1\r\n\r\n", "WARC-Target-URI: http://a/", "Content-Type: application/http; msgtype=request")
+        + record("response", http + body, "WARC-Target-URI: http://a/", message, f"WARC-Payload-Digest: sha1:{sha1}")
+        + record("response", http + body, "warc-target-uri:http://b/\r\n  more", message, "WARC-Payload-Digest: sha1:AAAA")
+        + record("revisit", http, message, f"WARC-Payload-Digest: sha1:{sha1}", "WARC-Refers-To: <urn:uuid:1>")
+        + record("resource", body, "Content-Type: text/html", "WARC-Payload-Digest: blake3:00")
+    )
+    rows = warc.read(spark, f"file://{tmp_path}").collect()
+    assert sorted(r["record_type"] for r in rows) == ["request", "resource", "response", "response", "revisit", "warcinfo"]
+    by = {(r["record_type"], r["url"]): r for r in rows}
+    whole = hashlib.sha256(body).hexdigest()
+    first, second = by["response", "http://a/"], by["response", "http://b/ more"]
+    assert first["payload"] == second["payload"] == body and first["payload_digest"] == whole and first["intact"] and second["intact"] is False
+    again, resource = by["revisit", None], by["resource", None]
+    assert again["payload_digest"] == f"sha1:{sha1}" and again["refers_to"] == "<urn:uuid:1>" and again["payload_bytes"] is None
+    assert resource["payload"] == body and resource["intact"] is None and by["warcinfo", None]["payload_bytes"] == 13
+    pages = warc.read_pages(spark, f"file://{tmp_path}").where("record_type <> 'response'")
+    assert [r["page_id"] for r in pages.select("page_id").collect()] == [None] * 4
 
 
 def test_packing(spark, edges, empty):

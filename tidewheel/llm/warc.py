@@ -6,16 +6,19 @@ commit protocol survives lost executors and which writes to any store: every mem
 length), which the sink adds as its line end.
 
 Reading: tasks get byte ranges. Each scans its range for the gzip magic, takes a candidate only if it decodes to a WARC
-header, owns the records that start inside its range, and reads past its end to finish the last one. A response's
-digest is computed again and must match its header.
+header, owns the records that start inside its range, and reads past its end to finish the last one. ``read`` takes any
+archive of one gzip member a record, with records of every type, and computes digests again; ``read_pages`` takes what
+``write`` wrote, where each must match its header.
 
 Edge cases: a null html is an empty payload; a null url is an empty target; a null page_id may refer to others but is
 referred to by none. Repeated rows of one page_id are responses each. Payloads under the limit are always responses.
-An empty table gives an empty archive. Further columns are ignored.
+An empty table gives an empty archive. Further columns are ignored. Records without a header that ``read`` returns have null
+there; a header that is no UTF-8 is decoded with replacement characters.
 """
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import re
 import zlib
@@ -69,7 +72,7 @@ def write(pages: DataFrame, path: str) -> None:
     payload = F.coalesce("html", F.lit("")).cast("binary")
     rows = pages.select("page_id", "url", payload.alias("payload")).withColumn("digest", F.sha2("payload", 256))
     firsts = rows.where(F.length("payload") >= LEAST_REVISIT).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first")
-    rows = rows.join(firsts, "digest", "left")
+    rows = rows.join(Scratch(pages.sparkSession).keep(firsts, True), "digest", "left")
     refers = F.when(F.col("page_id").isNull() | (F.col("first") < F.col("page_id")), F.col("first"))
     rows = rows.select("page_id", "url", "payload", "digest", refers.alias("refers_to"))
 
@@ -135,46 +138,60 @@ def members(file: Ranged, start: int, end: int) -> Iterator[bytes]:
             at = found[1]
 
 
-def parse(data: bytes) -> dict:
-    """The headers (lower case) of a record, and its payload under ''."""
+def parse(data: bytes) -> dict[str, str | bytes]:
+    """The headers (lower case) of a record, and its block under ''. A line that begins with white space goes on with the one before."""
     head, _, rest = data.partition(b"\r\n\r\n")
-    lines = head.decode().split("\r\n")
-    found: dict = {k.lower(): v for k, _, v in (x.partition(": ") for x in lines[1:])}
-    block = rest[: int(found.get("content-length", 0))]
-    found[""] = block.partition(b"\r\n\r\n")[2]
+    lines = re.sub(r"\r\n[ \t]+", " ", head.decode("utf-8", "replace")).split("\r\n")
+    found: dict = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
+    size = found.get("content-length", "")
+    found[""] = rest[: int(size)] if size.isdecimal() else rest
     return found
 
 
-def _page(urn: str | None) -> int | None:
-    text = (urn or "").removeprefix("<urn:page:").removesuffix(">")
-    return int(text) if text else None
+def payload_of(record: dict) -> bytes:
+    """What a record's HTTP message carries; the whole block where it is no HTTP message."""
+    block = record[""]
+    return block.partition(b"\r\n\r\n")[2] if record.get("content-type", "").lower().startswith("application/http") and block[:5] == b"HTTP/" else block
+
+
+def agrees(payload: bytes, named: str | None) -> bool | None:
+    """Whether payload has the named digest (algorithm:hex or base32); None where none, or one of another algorithm, is named."""
+    kind, _, value = (named or "").partition(":")
+    if kind.lower() not in ("sha1", "sha256", "sha512", "md5"):
+        return None
+    own = hashlib.new(kind.lower(), payload)
+    return value.lower() == own.hexdigest() or value.upper().rstrip("=") == base64.b32encode(own.digest()).decode().rstrip("=")
 
 
 def read(spark: SparkSession, path: str, split_bytes: int = SPLIT_BYTES, with_payload: bool = True) -> DataFrame:
-    """(page_id, url, record_type, payload_bytes, payload_digest, refers_to[, payload]) of every record in the files of path."""
+    """(record_id, url, record_type, payload_bytes, payload_digest, refers_to, intact[, payload]) of every record in the files of path.
+
+    payload_digest is the payload's SHA-256; of a revisit the digest that its header names, and payload_bytes the length
+    that it names, if any. intact says whether the payload has the digest of its header, null where that can't be told.
+    """
     files = spark.read.format("binaryFile").load(path).select("path", "length").where("length > 0")
     starts = files.select("path", "length", F.explode(F.sequence(F.lit(0).cast("long"), F.col("length") - 1, F.lit(split_bytes).cast("long"))).alias("start"))
     n = max(starts.count(), 1)
     ranges = starts.select("path", "start", F.least(F.col("start") + split_bytes, "length").alias("end")).repartitionByRange(n, "path", "start")
-    schema = "page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long" + ", payload binary" * with_payload
+    fields = [("record_id", pa.string()), ("url", pa.string()), ("record_type", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("refers_to", pa.string()), ("intact", pa.bool_())]
+    kept = pa.schema(fields + [("payload", pa.binary())] * with_payload)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        types = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.binary()][: 6 + with_payload]
-        names = ["page_id", "url", "record_type", "payload_bytes", "payload_digest", "refers_to", "payload"][: 6 + with_payload]
-
         def made(rows: list[tuple]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*rows)) or [()] * len(types), types)], names)
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(list(zip(*rows)) or [()] * len(kept), kept)], schema=kept)
 
         for batch in batches:
             for name, start, end in zip(*(c.to_pylist() for c in batch.columns)):
                 file, rows, held = Ranged(name), [], 0
                 for data in members(file, start, end):
                     x = parse(data)
-                    kind, digest, payload = x["warc-type"], x["warc-payload-digest"].removeprefix("sha256:"), x[""]
-                    if kind == "response" and hashlib.sha256(payload).hexdigest() != digest:
-                        raise ValueError(f"{name}: the payload of {x['warc-record-id']} does not match its digest")
-                    size = len(payload) if kind == "response" else int(x["warc-payload-length"])
-                    rows.append((_page(x["warc-record-id"]), x["warc-target-uri"], kind, size, digest, _page(x.get("warc-refers-to")), *([payload] if with_payload else [])))
+                    kind, named, payload = x.get("warc-type"), x.get("warc-payload-digest"), payload_of(x)
+                    if kind == "revisit":
+                        size = x.get("warc-payload-length", "")
+                        found = (int(size) if size.isdecimal() else None, named.removeprefix("sha256:") if named else None, x.get("warc-refers-to"), None)
+                    else:
+                        found = (len(payload), hashlib.sha256(payload).hexdigest(), x.get("warc-refers-to"), agrees(payload, named))
+                    rows.append((x.get("warc-record-id"), x.get("warc-target-uri"), kind, *found, *([payload] if with_payload else [])))
                     held += len(payload)
                     if len(rows) >= 1000 or held >= 8 << 20:
                         yield made(rows)
@@ -183,14 +200,22 @@ def read(spark: SparkSession, path: str, split_bytes: int = SPLIT_BYTES, with_pa
                 file.close()
 
     arrow(spark)
-    return ranges.mapInArrow(run, schema)
+    return ranges.mapInArrow(run, "record_id string, url string, record_type string, payload_bytes long, payload_digest string, refers_to string, intact boolean" + ", payload binary" * with_payload)
+
+
+def read_pages(spark: SparkSession, path: str, split_bytes: int = SPLIT_BYTES, with_payload: bool = True) -> DataFrame:
+    """(page_id, url, record_type, payload_bytes, payload_digest, refers_to[, payload]) of what ``write`` wrote; a payload without its digest is an error."""
+    page = lambda c: F.expr(f"try_cast(regexp_extract({c}, '^<urn:page:(-?[0-9]+)>$', 1) AS bigint)")
+    found = read(spark, path, split_bytes, with_payload)
+    whole = F.when(F.coalesce("intact", F.lit(True)), F.col("payload_digest")).otherwise(F.raise_error(F.concat(F.col("record_id"), F.lit(" does not match its digest"))))
+    return found.select(page("record_id").alias("page_id"), "url", "record_type", "payload_bytes", whole.alias("payload_digest"), page("refers_to").alias("refers_to"), *["payload"] * with_payload)
 
 
 def round_trip(pages: DataFrame, with_payload: bool = False) -> DataFrame:
     """Write pages to an archive in the shared folder and read it back."""
     path = Scratch(pages.sparkSession).new()
     write(pages, path)
-    return read(pages.sparkSession, path, with_payload=with_payload)
+    return read_pages(pages.sparkSession, path, with_payload=with_payload)
 
 
 def oracle() -> str:
