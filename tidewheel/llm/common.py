@@ -1,4 +1,4 @@
-"""What the operators of this subpackage share: scratch tables, Arrow plumbing, 64-bit mixing, grouping by signature, components.
+"""What the operators of this subpackage share: scratch tables, Arrow plumbing, 64-bit mixing, components.
 
 Every operator reads its rows through Spark and keeps intermediate tables in the folder named by
 ``spark.checkpoint.dir``, which the driver and all executors share, so a lost executor costs a re-read only.
@@ -69,7 +69,7 @@ class Scratch:
         """Write df, read it again. A table that is small beside the input goes to an eighth of the files."""
         path = self.new()
         df = df.coalesce(max(8, partitions(self.spark) // 8)) if small else df
-        df.write.parquet(path)
+        df.write.option("compression", "zstd").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch = path
         return out
@@ -104,271 +104,89 @@ def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterable[p
     return df.mapInArrow(fn, schema)
 
 
-def utf8(column: pa.Array) -> list[bytes]:
-    """The texts as bytes; null is empty."""
-    return pc.fill_null(column.cast(pa.binary()), b"").to_pylist()
-
-
-# ---------------------------------------------------------------- grouping by signature
+def unused(columns: list[str], *names: str) -> list[str]:
+    """names, with marks before those that a table has among its columns."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
 
-#: Up to so many members, a group of equal signatures gives all its pairs; beyond, a star and an exact block join.
-SMALL_GROUP = 24
-#: Signatures that a map task gathers before it deals them out.
-FLUSH = 400_000
-PACKED = "bucket int, sigs binary, ids binary"
 
+def least_hashes(rows: DataFrame, n: int, total: int, *by: str) -> DataFrame:
+    """The n of total rows with the least hashes of by. Rows far from being among them stay where they are.
 
-class Dealer:
-    """Gathers (signature, id) and deals them out as packed arrays: a row a bucket instead of a row a signature.
-
-    A signature travels as its upper 48 bits, ids as differences, which compress well. Signatures that agree by chance
-    only make a pair that is compared in vain.
-    """
-
-    def __init__(self, buckets: int):
-        self.buckets, self.sigs, self.ids, self.n = buckets, [], [], 0
-
-    def add(self, sigs: np.ndarray, ids: np.ndarray) -> None:
-        self.sigs.append(sigs)
-        self.ids.append(ids)
-        self.n += len(sigs)
-
-    def full(self) -> bool:
-        return self.n >= FLUSH
-
-    def flush(self) -> tuple[list[int], list[bytes], list[bytes]]:
-        if not self.n:
-            return [], [], []
-        sigs, ids = np.concatenate(self.sigs), np.concatenate(self.ids).astype(np.int64)
-        self.sigs, self.ids, self.n = [], [], 0
-        at = ((sigs >> U64(32)) * U64(self.buckets) >> U64(32)).astype(np.int32)
-        order = np.argsort(at, kind="stable")
-        at, sigs, ids = at[order], sigs[order], ids[order]
-        cut = np.flatnonzero(np.diff(at, prepend=-1))
-        ends = np.append(cut[1:], len(at))
-        low = (sigs >> U64(16)).astype("<u4")
-        high = (sigs >> U64(48)).astype("<u2")
-        return (
-            [int(at[a]) for a in cut],
-            [high[a:b].tobytes() + low[a:b].tobytes() for a, b in zip(cut, ends)],
-            [np.diff(ids[a:b], prepend=np.int64(0)).tobytes() for a, b in zip(cut, ends)],
-        )
-
-
-def unpack(rows: list[bytes]) -> np.ndarray:
-    out = []
-    for x in rows:
-        n = len(x) // 6
-        high, low = np.frombuffer(x, "<u2", n), np.frombuffer(x, "<u4", n, 2 * n)
-        out.append((high.astype(np.uint64) << U64(32)) | low)
-    return np.concatenate(out)
-
-
-def packed_rows(dealer: Dealer) -> pa.RecordBatch:
-    k, s, i = dealer.flush()
-    return pa.RecordBatch.from_arrays([pa.array(k, pa.int32()), pa.array(s, pa.binary()), pa.array(i, pa.binary())], ["bucket", "sigs", "ids"])
-
-
-def groups_of(sigs: np.ndarray, ids: np.ndarray) -> Iterator[tuple[np.uint64, np.ndarray]]:
-    """Each signature that two or more ids have, with those ids in order."""
-    order = np.lexsort((ids, sigs))
-    sigs, ids = sigs[order], ids[order]
-    fresh = np.ones(len(sigs), bool)
-    fresh[1:] = (sigs[1:] != sigs[:-1]) | (ids[1:] != ids[:-1])
-    sigs, ids = sigs[fresh], ids[fresh]
-    starts = np.flatnonzero(np.diff(sigs, prepend=~sigs[:1]) != 0) if len(sigs) else np.empty(0, np.int64)
-    ends = np.append(starts[1:], len(sigs))
-    for a, b in zip(starts[ends - starts > 1], ends[ends - starts > 1]):
-        yield sigs[a], ids[a:b]
-
-
-def link_candidates(packed: DataFrame, buckets: int, small: int = SMALL_GROUP) -> DataFrame:
-    """Candidates out of packed signatures: (kind, a, b).
-
-    kind 0: a pair a < b to compare. A group of up to ``small`` ids gives all its pairs; a larger one a star around
-    its smallest id. kind 1: (signature, id) of the larger groups, for ``open_pairs``, which compares what the star
-    leaves open; so no pair is lost, and no group is expanded into all its pairs.
-    """
-    spark = packed.sparkSession
-
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows: dict[int, tuple[list, list]] = {}
-        for batch in batches:
-            for k, s, i in zip(*(batch.column(c).to_pylist() for c in range(3))):
-                got = rows.setdefault(k, ([], []))
-                got[0].append(s)
-                got[1].append(i)
-        for k in list(rows):
-            s, i = rows.pop(k)
-            sigs, ids = unpack(s), np.concatenate([np.cumsum(np.frombuffer(x, np.int64)) for x in i])
-            firsts, seconds, hot = [], [], []
-            for sig, group in groups_of(sigs, ids):
-                if len(group) <= small:
-                    x, y = np.triu_indices(len(group), 1)
-                    firsts.append(group[x])
-                    seconds.append(group[y])
-                else:
-                    firsts.append(np.repeat(group[:1], len(group) - 1))
-                    seconds.append(group[1:])
-                    hot.append((np.repeat(np.int64(sig.view(np.int64)), len(group)), group))
-            if firsts:
-                pairs = np.unique(np.stack([np.concatenate(firsts), np.concatenate(seconds)]), axis=1)
-                yield _triples(0, pairs[0], pairs[1])
-            for a, b in hot:
-                yield _triples(1, a, b)
-
-    return map_arrow(packed.repartition(max(partitions(spark), 1), "bucket"), deal, "kind int, a long, b long")
-
-
-def _triples(kind: int, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int32)), pa.array(a), pa.array(b)], ["kind", "a", "b"])
-
-
-def jaccard_at_least(x: np.ndarray, y: np.ndarray, num: int, den: int) -> bool:
-    """den * |x and y| >= num * |x or y|, for sorted distinct arrays; empty sets are like nothing."""
-    if not len(x) or not len(y) or den * min(len(x), len(y)) < num * max(len(x), len(y)):
-        return False
-    if len(x) > len(y):
-        x, y = y, x
-    at = np.searchsorted(y, x)
-    at[at == len(y)] = 0
-    both = int((y[at] == x).sum())
-    return den * both >= num * (len(x) + len(y) - both)
-
-
-def sketch(items: np.ndarray) -> np.ndarray:
-    """How many items fall into each of some buckets, one for about two items; a count stops at 255."""
-    bits = min(max(int(len(items) - 1).bit_length() - 1, 5), 12)
-    return np.minimum(np.bincount((items >> U64(64 - bits)).astype(np.int64), minlength=1 << bits), 255).astype(np.uint8)
-
-
-def folded(x: np.ndarray, size: int) -> np.ndarray:
-    """A sketch with fewer buckets."""
-    return x if len(x) == size else np.minimum(x.reshape(size, -1).sum(axis=1), 255).astype(np.uint8)
-
-
-def may_reach(x: np.ndarray, y: np.ndarray, n: int, m: np.ndarray | int, num: int, den: int):
-    """Whether sets of n and m items can be num/den alike: their sketches differ by no more than they may themselves.
-
-    y may be a matrix of sketches. Sets that are so much alike are never turned away.
+    A threshold lets 1.5 n + 100 rows through on average, so that n are left but once in a great many samples; those
+    few are ranked, so neither the driver nor a task gets more than that.
     """
-    apart = np.abs(y.astype(np.int16) - x.astype(np.int16)).sum(axis=-1, dtype=np.int64)
-    return (apart * (den + num) <= (den - num) * (n + m)) & (den * np.minimum(n, m) >= num * np.maximum(n, m))
-
-
-def words_of(items: list[bytes]) -> list[np.ndarray]:
-    return [np.frombuffer(x, np.uint64) for x in items]
-
-
-def with_sketch(batch: pa.RecordBatch, unpack: Callable[[list[bytes]], list[np.ndarray]] = words_of) -> pa.RecordBatch:
-    """SETS of (id, items); unpack gives the sorted distinct words of each item's bytes."""
-    items = unpack(batch.column("items").to_pylist())
-    return pa.RecordBatch.from_arrays(
-        [batch.column("id"), batch.column("items"), pa.array([len(x) for x in items], pa.int64()), pa.array([sketch(x).tobytes() for x in items], pa.binary())], ["id", "items", "size", "sketch"]
-    )
-
-
-SETS = "id long, items binary, size long, sketch binary"
-
-
-def paired(pairs: DataFrame, sets: DataFrame, *columns: str) -> DataFrame:
-    """pairs (a, b) with columns of sets for each side, named a_x and b_x."""
-    for side in ("a", "b"):
-        pairs = pairs.join(sets.select(F.col("id").alias(side), *(F.col(c).alias(f"{side}_{c}") for c in columns)), side)
-    return pairs.select("a", "b", *(f"{side}_{c}" for c in columns for side in ("a", "b")))
+    hashed = F.xxhash64(*by)
+    if total > 3 * n + 200:
+        low, span = -(1 << 63), 1 << 64
+        rows = rows.where(hashed < F.lit(low + int((1.5 * n + 100) / total * span)))
+    return rows.orderBy(hashed, *by).limit(n)
 
 
-def plausible(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) that sketches allow, so that few whole sets are moved."""
-
-    def rough(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            columns = [c.to_pylist() for c in batch.columns]
-            ok = []
-            for n, m, x, y in zip(*columns[2:]):
-                x, y = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
-                k = min(len(x), len(y))
-                ok.append(bool(may_reach(folded(x, k), folded(y, k), n, m, num, den)))
-            ok = pa.array(ok, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(ok), batch.column(1).filter(ok)], ["a", "b"])
-
-    return map_arrow(paired(pairs, sets, "size", "sketch"), rough, "a long, b long")
-
-
-def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int, unpack: Callable[[list[bytes]], list[np.ndarray]] = words_of) -> DataFrame:
-    """The pairs (a, b) whose sets are at least num/den alike."""
-
-    def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            xs, ys = batch.column(2).to_pylist(), batch.column(3).to_pylist()
-            items = list(dict.fromkeys(xs + ys))
-            sets_by = dict(zip(items, unpack(items)))
-            ok = pa.array([jaccard_at_least(sets_by[x], sets_by[y], num, den) for x, y in zip(xs, ys)], pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(ok), batch.column(1).filter(ok)], ["a", "b"])
+def utf8(column: pa.Array) -> list[bytes]:
+    """The texts as bytes; null is empty."""
+    return pc.fill_null(column.cast(pa.binary()), b"").to_pylist()
 
-    return map_arrow(paired(pairs, sets, "items"), exact, "a long, b long")
 
+# ---------------------------------------------------------------- components
 
-#: Members of a block of a large group.
-BLOCK = 1024
 
+def smallest_reached(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(node, root): of the edges (a, b), each node but the roots with the smallest node that it reaches."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = at[: len(a)], at[len(a) :]
+    root = np.arange(len(nodes))
+    while True:
+        low = np.minimum(root[x], root[y])
+        new = root.copy()
+        for end in (x, y, root[x], root[y]):
+            np.minimum.at(new, end, low)
+        new = new[new]
+        if (new == root).all():
+            break
+        root = new
+    other = root != np.arange(len(nodes))
+    return nodes[other], nodes[root[other]]
 
-def open_pairs(hot: DataFrame, sets: DataFrame, labels: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs (a, b) inside large signature groups that the components so far do not join and that may be alike.
 
-    hot: (a: signature, b: id); labels: (node, component). Groups within one component are done. The others are cut
-    into blocks of bounded size, and each pair of blocks is compared by sketches in a task of its own; only pairs of
-    different components whose sketches allow a link come out.
-    """
-    members = hot.join(labels, hot.b == labels.node, "left").select("a", "b", F.coalesce("component", "b").alias("c"))
-    undone = members.groupBy("a").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("m")).where("lo <> hi")
-    rows = members.join(undone.select("a", F.ceil(F.col("m") / BLOCK).cast("int").alias("n")), "a")
-    rows = rows.join(sets.select(F.col("id").alias("b"), "size", "sketch"), "b")
-    rows = rows.withColumn("k", F.pmod(F.xxhash64("b"), F.col("n")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
-    blocks = rows.groupBy("a", F.least("k", "other").alias("i"), F.greatest("k", "other").alias("j")).agg(F.collect_list(F.struct("b", "c", "k", "size", "sketch")).alias("rows"))
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for r in range(batch.num_rows):
-                i, j, rows = batch.column(0)[r].as_py(), batch.column(1)[r].as_py(), batch.column(2)[r].values
-                ids, comps, blocks, sizes = (rows.field(f).to_numpy() for f in ("b", "c", "k", "size"))
-                sketches = [np.frombuffer(x, np.uint8) for x in rows.field("sketch").to_pylist()]
-                width = min(map(len, sketches))
-                table = np.stack([folded(x, width) for x in sketches])
-                right = np.flatnonzero(blocks == j)
-                firsts, seconds = [], []
-                for x in np.flatnonzero(blocks == i):
-                    y = right[(comps[right] != comps[x]) & ((ids[right] > ids[x]) | (i != j))]
-                    if len(y):
-                        y = y[may_reach(table[x], table[y], sizes[x], sizes[y], num, den)]
-                        firsts.append(np.full(len(y), ids[x]))
-                        seconds.append(ids[y])
-                if firsts:
-                    f, s = np.concatenate(firsts), np.concatenate(seconds)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(f, s)), pa.array(np.maximum(f, s))], ["a", "b"])
-
-    return map_arrow(blocks.select("i", "j", "rows"), compare, "a long, b long").distinct()
+#: Edges that a task joins at once.
+EDGES = 2_000_000
 
 
-# ---------------------------------------------------------------- components
+def _contracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(u, v): edges that join what the edges (u, v) of a task join, each node with the smallest one it reaches there."""
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    n = 0
+    for batch in batches:
+        held.append((batch.column(0).to_numpy(), batch.column(1).to_numpy()))
+        n += batch.num_rows
+        if n >= EDGES:
+            held = [smallest_reached(*(np.concatenate(x) for x in zip(*held)))]
+            n = len(held[0][0]) // 2
+    if held:
+        u, v = smallest_reached(*(np.concatenate(x) for x in zip(*held)))
+        for k in range(0, len(u), 1 << 16):
+            yield pa.RecordBatch.from_arrays([pa.array(u[k : k + (1 << 16)]), pa.array(v[k : k + (1 << 16)])], ["u", "v"])
 
 
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """(node, component) of every node of edges (a, b): component is its smallest reachable node.
 
-    Distributed union-find by alternating large stars and small stars; each round's edges are a written table, so
-    neither edges nor labels reach the driver and lineage stays short. Rounds grow with the logarithm of the longest chain.
+    Distributed union-find. A round sends each edge to the tasks of both its ends, where each node is joined with the
+    smallest one that it reaches among the task's edges, and then each of these to the task of its node alone. It ends
+    when every node has one edge, to a root. Each round's edges are a written table, so neither edges nor labels reach
+    the driver and lineage stays short. Rounds grow with the logarithm of the longest chain.
     """
-    e = scratch.keep(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), True)
+    e = scratch.keep(map_arrow(edges.where("a <> b").select(F.col("a").alias("u"), F.col("b").alias("v")), _contracted, "u long, v long"), True)
     seen = None
     while True:
-        both = e.union(e.select("v", "u"))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        new = scratch.keep(small.union(low).where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), True)
+        both = map_arrow(e.union(e.select("v", "u")).repartition("u"), _contracted, "u long, v long")
+        new = scratch.keep(map_arrow(both.repartition("u"), _contracted, "u long, v long"), True)
         state = tuple(new.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         scratch.drop(e)
         e = new
@@ -376,34 +194,3 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
             break
         seen = state
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(e.select("v", "v").distinct())
-
-
-def similarity_components(packed: DataFrame, buckets: int, sets_of: Callable[[DataFrame], DataFrame], num: int, den: int, scratch: Scratch, known: DataFrame | None = None, unpack: Callable[[list[bytes]], list[np.ndarray]] = words_of) -> DataFrame:
-    """(node, component) of the ids that verified links, and the known links (a, b), join.
-
-    packed: signatures from ``Dealer``; sets_of(ids: DataFrame of id) returns SETS for them: an item's bytes, of which unpack makes
-    sorted distinct 64-bit words, their number and sketch.
-    """
-    found = scratch.keep(link_candidates(packed, buckets))
-    scratch.sweep()
-    pairs = found.where("kind = 0").select("a", "b").distinct()
-    hot = found.where("kind = 1").select("a", "b")
-    ends = lambda p: p.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    sketches = scratch.keep(sets_of(ends(found.where("kind = 0"))).drop("items"))
-    scratch.sweep()
-
-    def links_of(some: DataFrame) -> DataFrame:
-        sets = scratch.keep(sets_of(ends(some)).select("id", "items"))
-        scratch.sweep()
-        links = scratch.keep(verified(some, sets, num, den, unpack))
-        scratch.drop(sets, some)
-        return links
-
-    links = links_of(scratch.keep(plausible(pairs, sketches, num, den)))
-    labels = scratch.keep(components(links if known is None else links.union(known), scratch), True)
-    if not hot.isEmpty():
-        more = links_of(scratch.keep(open_pairs(hot, sketches, labels, num, den)))
-        if not more.isEmpty():
-            labels = scratch.keep(components(labels.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more), scratch), True)
-    scratch.drop(found, sketches)
-    return labels

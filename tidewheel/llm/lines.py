@@ -2,17 +2,19 @@
 
 Lines are known by a 64-bit hash, so copies of a line meet without moving its text. Each different line gets a
 one-permutation MinHash of its character shingles, cut into bands; lines that share a band are compared exactly
-(Jaccard of shingle sets, at least NUM/DEN), and links become components by distributed union-find. Of each component
-the line that comes first by (doc_id, number) is kept, all others are removed from their documents.
+(Jaccard of shingle sets, at least NUM/DEN), and links become components by distributed union-find (``links``). Of each
+component the line that comes first by (doc_id, number) is kept, all others are removed from their documents.
 
-Short lines have too few shingles for 110 bins, so each shingle is drawn ``DRAWS`` times for them; lines near the border
-get signatures of both kinds. With 22 bands of 5 a pair at the
-least similarity is missed about once in 6,000, one of 0.85 once in 240,000.
+Short lines have too few shingles for all bins, so each shingle is drawn several times for them: ``KINDS`` says how
+often at which numbers of different shingles. Its ranges overlap, and a line gets the signatures of each that it lies
+in, so lines of similarity NUM/DEN have a kind in common. With 29 bands of 6 a pair at the least similarity is missed
+about once in 6,500, one of 0.85 once in 1,000,000.
 
 Edge cases: blank lines are never removed and never a reason to remove; a null text has no lines and stays null. Lines
 of fewer than ``SHINGLE`` characters are one shingle. Rows of one doc_id and one text count as one document, so copies
 of a row keep the same lines. Rows with a null doc_id come first in the order. Very long lines are one line like others.
-Two different lines have one hash with a chance of about n^2 / 2^65 for n lines.
+Input columns named n_lines or n_removed are replaced. Two different lines have one hash with a chance of about n^2 / 2^65
+for n lines.
 """
 
 from __future__ import annotations
@@ -24,19 +26,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import GOLDEN, PACKED, SETS, U64, Dealer, Scratch, map_arrow, mix, packed_rows, partitions, similarity_components, with_sketch
+from .common import GOLDEN, U64, Scratch, map_arrow, mix, partitions, unused
+from .links import PACKED, SKETCHES, Dealer, key_of, similarity_components, size_class, sketch
 from .quality_rules import SPACE_CHARS
 
 SHINGLE = 5
 NUM, DEN = 80, 100
-BINS, BAND = 110, 5
-#: Lines of up to SHORT different shingles are drawn several times; those from LONG on once.
-DRAWS, SHORT, LONG = 8, 160, 128
+BINS, BAND = 174, 6
+#: (draws, least, most): how often a shingle is drawn for lines of so many different shingles.
+KINDS = ((8, 0, 250), (2, 200, np.inf))
 #: Characters whose shingles are made at once: their arrays stay in a core's cache.
 CHUNK = 1 << 16
+#: Hashes of lines that a task remembers, so that it signs copies once.
+SEEN = 1_000_000
 
 _PLACE = mix(np.arange(100, 100 + SHINGLE, dtype=np.uint64)) | U64(1)
-_SALTS = mix(np.arange(1, DRAWS + 1, dtype=np.uint64) * GOLDEN)
+_SALTS = mix(np.arange(1, 9, dtype=np.uint64) * GOLDEN) | U64(1)
 _BANDS = mix(np.arange(500, 500 + BAND, dtype=np.uint64)) | U64(1)
 
 
@@ -61,12 +66,20 @@ def grams_of(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return mix(grams[at]), counts
 
 
+def once(grams: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """grams_of without what repeats within a line."""
+    line = np.repeat(np.arange(len(counts), dtype=np.uint64), counts)
+    own = np.sort((line << U64(48)) | (grams >> U64(16)))
+    own = own[np.concatenate([[True], own[1:] != own[:-1]])]
+    return mix(own & U64((1 << 48) - 1)), np.bincount((own >> U64(48)).astype(np.int64), minlength=len(counts))
+
+
 def minhash(grams: np.ndarray, counts: np.ndarray, draws: int) -> np.ndarray:
     """(line, bin): the least hash that falls into each bin; an empty bin takes the next full one's."""
     out = np.full(len(counts) * BINS, ~U64(0), np.uint64)
-    line = np.repeat(np.arange(len(counts)), counts) * BINS
+    line = np.repeat(np.arange(len(counts)) * BINS, counts)
     for salt in _SALTS[:draws]:
-        h = mix(grams ^ salt) if draws > 1 else grams
+        h = grams * salt
         np.minimum.at(out, line + ((h >> U64(40)) * U64(BINS) >> U64(24)).astype(np.int64), h)
     out = out.reshape(-1, BINS)
     empty = out == ~U64(0)
@@ -77,35 +90,28 @@ def minhash(grams: np.ndarray, counts: np.ndarray, draws: int) -> np.ndarray:
     return out
 
 
-def once(grams: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """grams_of without what repeats within lines of LONG shingles or more; others get the same signatures either way."""
-    if (counts < LONG).all():
-        return grams, counts
-    counts, parts, since = counts.copy(), [], 0
-    ends = np.cumsum(counts)
-    for k in np.flatnonzero(counts >= LONG):
-        at = ends[k] - counts[k]
-        own = np.unique(grams[at : ends[k]])
-        parts += [grams[since:at], own]
-        counts[k], since = len(own), ends[k]
-    return np.concatenate([*parts, grams[since:]]), counts
+def signed(lines: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(signatures, number of the line of each, number of different shingles of each line)."""
+    parts = []
+    for k in range(0, len(lines), 1 << 14):  # a line's number has 16 bits in once()
+        grams, counts = once(*grams_of(lines[k : k + (1 << 14)]))
+        ends, sigs, owners = np.cumsum(counts), [], []
+        for draws, least, most in KINDS:
+            own = np.flatnonzero((counts >= least) & (counts <= most))
+            if len(own):
+                some = grams[np.repeat(ends[own] - np.cumsum(counts[own]), counts[own]) + np.arange(counts[own].sum())]
+                h = minhash(some, counts[own], draws).reshape(len(own), BINS // BAND, BAND)
+                with np.errstate(over="ignore"):
+                    band = (h * _BANDS).sum(axis=2) + np.arange(BINS // BAND, dtype=np.uint64) * GOLDEN + U64(draws)
+                sigs.append(mix(band).ravel())
+                owners.append(np.repeat(own + k, BINS // BAND))
+        parts.append((np.concatenate(sigs), np.concatenate(owners), counts))
+    return tuple(np.concatenate(x) for x in zip(*parts))
 
 
 def band_signatures(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """(signatures, number of the line of each). Which kinds a line gets depends on its different shingles."""
-    grams, counts = once(*grams_of(lines))
-    ends = np.cumsum(counts)
-    sigs, owners = [], []
-    for draws, use in ((DRAWS, counts <= SHORT), (1, counts >= LONG)):
-        own = np.flatnonzero(use)
-        if len(own):
-            some = grams[np.repeat(ends[own] - np.cumsum(counts[own]), counts[own]) + np.arange(counts[own].sum())]
-            h = minhash(some, counts[own], draws).reshape(len(own), BINS // BAND, BAND)
-            with np.errstate(over="ignore"):
-                band = (h * _BANDS).sum(axis=2) + np.arange(BINS // BAND, dtype=np.uint64) * GOLDEN + U64(draws)
-            sigs.append(mix(band).ravel())
-            owners.append(np.repeat(own, BINS // BAND))
-    return np.concatenate(sigs), np.concatenate(owners)
+    return signed(lines)[:2]
 
 
 def line_sets(lines: list[bytes]) -> list[np.ndarray]:
@@ -142,8 +148,8 @@ def _packed(docs: DataFrame, buckets: int) -> DataFrame:
         def deal() -> None:
             if held:
                 hashes = np.fromiter(held, np.int64, len(held))
-                sigs, owner = band_signatures(list(held.values()))
-                dealer.add(sigs, hashes[owner])
+                sigs, owner, counts = signed(list(held.values()))
+                dealer.add(sigs, hashes[owner], size_class(counts)[owner])
                 held.clear()
 
         for batch in batches:
@@ -151,6 +157,8 @@ def _packed(docs: DataFrame, buckets: int) -> DataFrame:
                 for line in lines_of(text):
                     h = line_hash(line)
                     if h not in seen:
+                        if len(seen) >= SEEN:
+                            seen.clear()
                         seen.add(h)
                         held[h] = line
                         size += len(line)
@@ -158,16 +166,16 @@ def _packed(docs: DataFrame, buckets: int) -> DataFrame:
                             deal()
                             size = 0
                             if dealer.full():
-                                yield packed_rows(dealer)
+                                yield dealer.rows()
         deal()
-        yield packed_rows(dealer)
+        yield dealer.rows()
 
     return map_arrow(docs.select("text"), run, PACKED)
 
 
-def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """SETS of wanted lines (id, doc, row, no): one row a line says where it stands. Copies of a row give it again."""
-    places = wanted.groupBy("doc", "row").agg(F.collect_list(F.struct("id", "no")).alias("lines"))
+def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(id, payload) of wanted lines (id, doc, row, no): one row a line says where it stands. Copies of a row give it again."""
+    places = wanted.groupBy("doc", "row").agg(F.collect_list(F.struct("id", "no")).alias("lines")).hint("shuffle_hash")
     both = docs.join(places, (docs.doc_id.eqNullSafe(places.doc)) & (docs.row == places.row)).select("text", "lines")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -178,35 +186,53 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 for place in places:
                     ids.append(place["id"])
                     items.append(lines[place["no"]].encode())
-            yield with_sketch(pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(items, pa.binary())], ["id", "items"]), line_sets)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(items, pa.binary())], ["id", "payload"])
+
+    return map_arrow(both, run, "id long, payload binary")
 
-    return map_arrow(both, run, SETS)
+
+def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        sets = line_sets(batch.column(1).to_pylist())
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in sets], pa.int64()), pa.array([sketch(x).tobytes() for x in sets], pa.binary())], ["key", "size", "sketch"])
 
 
 def dedupe(docs: DataFrame, num: int = NUM, den: int = DEN) -> DataFrame:
     """docs with text less its removed lines, n_lines and n_removed (lines that are not blank)."""
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession)
-    columns = [c for c in docs.columns if c not in ("n_lines", "n_removed", "__row")]
-    docs = docs.select(*columns, F.xxhash64("text").alias("__row"))
+    columns = [c for c in docs.columns if c.lower() not in ("n_lines", "n_removed")]
+    row, gone, split = unused(columns, "row", "gone", "parts")
+    docs = docs.select(*columns, F.xxhash64("text").alias(row))
     buckets = 4 * partitions(spark)
-    texts = docs.select("doc_id", F.col("__row").alias("row"), "text").where("text is not null")
-    split = texts.select("doc_id", "row", F.posexplode(F.split("text", "\n")).alias("no", "line")).where(F.btrim("line", F.lit(SPACE_CHARS)) != "")
-    lines = scratch.keep(split.select(F.xxhash64("line").alias("id"), F.struct(F.col("doc_id").alias("doc"), "row", "no").alias("at")))
+    texts = docs.select("doc_id", F.col(row).alias("row"), "text").where("text is not null")
+    every = texts.select("doc_id", "row", F.posexplode(F.split("text", "\n")).alias("no", "line")).where(F.btrim("line", F.lit(SPACE_CHARS)) != "")
+    lines = scratch.keep(every.select(F.xxhash64("line").alias("id"), F.struct(F.col("doc_id").alias("doc"), "row", "no").alias("at")))
     exact = scratch.keep(lines.groupBy("id").agg(F.min("at").alias("first"), F.count("*").alias("n")))
-    sets_of = lambda ids: _sets(texts, exact.join(ids, "id").select("id", "first.*"))
-    labels = similarity_components(_packed(texts, buckets), buckets, sets_of, num, den, scratch, unpack=line_sets)
-    classes = exact.join(labels, exact.id == labels.node, "left").select("id", "first", "n", F.coalesce("component", "id").alias("c"))
+    fetched: list[DataFrame] = []
+
+    def sketches_of(keys: DataFrame) -> DataFrame:
+        wanted = exact.select("id", "first.*", key_of("id").alias("key")).join(keys, "key", "left_semi")
+        fetched.append(scratch.keep(_texts(texts, wanted)))
+        return map_arrow(fetched[0].select(key_of("id").alias("key"), "payload"), _sketched, SKETCHES)
+
+    def payload_of(wanted: DataFrame) -> DataFrame:
+        return fetched[0].select("id", "payload", key_of("id").alias("key")).join(wanted, "key").select("g", "id", "payload")
+
+    labels = similarity_components(_packed(texts, buckets), buckets, sketches_of, payload_of, line_sets, num, den, scratch)
+    classes = exact.join(labels, "id", "left").select("id", "first", "n", F.coalesce("component", "id").alias("c"))
     keepers = classes.groupBy("c").agg(F.min("first").alias("keeper"), F.sum("n").alias("total")).where("total > 1").select("c", "keeper")
     repeated = scratch.keep(classes.join(keepers, "c").select("id", "keeper"))
-    removed = lines.join(repeated, "id").where("at <> keeper").select("at.*").groupBy("doc", "row").agg(F.collect_set("no").alias("__gone"))
-    removed = scratch.keep(removed)
-    found = docs.join(removed, docs.doc_id.eqNullSafe(removed.doc) & (docs["__row"] == removed.row), "left")
-    parts = F.split("text", "\n")
-    left = F.array_except(F.sequence(F.lit(0), F.size("__parts") - 1), "__gone")
-    kept = F.when(F.col("__gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(left, lambda i: F.get("__parts", i)), "\n"))
-    size = F.coalesce(F.size(F.filter("__parts", lambda x: F.btrim(x, F.lit(SPACE_CHARS)) != "")), F.lit(0))
-    found = found.withColumn("__parts", F.when(F.col("text").isNotNull(), parts))
-    return found.select(*(kept.alias(c) if c == "text" else F.col(c) for c in columns), F.greatest(size, F.lit(0)).cast("long").alias("n_lines"), F.when(F.col("__gone").isNull(), 0).otherwise(F.size("__gone")).cast("long").alias("n_removed"))
+    removed = lines.join(repeated, "id").where("at <> keeper").select("at.*").groupBy("doc", "row").agg(F.collect_set("no").alias("no"))
+    doc, at = unused([*docs.columns, gone], "doc", "at")
+    removed = scratch.keep(removed).select(F.col("doc").alias(doc), F.col("row").alias(at), F.col("no").alias(gone)).hint("shuffle_hash")
+    scratch.drop(*fetched)
+    found = docs.join(removed, F.col("doc_id").eqNullSafe(F.col(doc)) & (F.col(row) == F.col(at)), "left")
+    parts = F.when(F.col("text").isNotNull(), F.split("text", "\n")).alias(split)
+    found = found.select(*(F.col(c) for c in columns), gone, parts)
+    left = F.array_except(F.sequence(F.lit(0), F.size(split) - 1), gone)
+    kept = F.when(F.col(gone).isNull(), F.col("text")).otherwise(F.array_join(F.transform(left, lambda i: F.get(split, i)), "\n"))
+    size = F.coalesce(F.size(F.filter(split, lambda x: F.btrim(x, F.lit(SPACE_CHARS)) != "")), F.lit(0))
+    return found.select(*(kept.alias(c) if c == "text" else F.col(c) for c in columns), F.greatest(size, F.lit(0)).cast("long").alias("n_lines"), F.when(F.col(gone).isNull(), 0).otherwise(F.size(gone)).cast("long").alias("n_removed"))
 
 
 def digest(found: DataFrame) -> DataFrame:
