@@ -1,7 +1,7 @@
 """Quality classifier: histogram gradient-boosted trees over document statistics.
 
 One pass over the texts gives a small table of statistics. A bounded sample of labelled rows, ``sample`` at most and
-those with the smallest hashes, trains the trees on the driver; the trees are flattened into arrays, and every document
+those whose doc_ids have the smallest hashes, trains the trees on the driver; the trees are flattened into arrays, and every document
 is scored by walking all trees at once with numpy.
 
 Edge cases: a null or empty text has statistics of zero and a score; labels of null or of documents that are not there
@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, map_arrow, utf8
+from .common import Scratch, least_hashes, map_arrow, utf8
 from .quality_rules import STOP_WORDS
 
 SAMPLE = 20_000
@@ -138,7 +138,8 @@ def classify(docs: DataFrame, labels: DataFrame, label: str = "quality", sample:
     scratch = Scratch(docs.sparkSession)
     table = scratch.keep(statistics(docs))
     known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", F.col(label).cast("double").alias("y")).where(~held_out())
-    rows = table.join(known, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).select("x", "y").collect()
+    chosen = least_hashes(known, sample, known.count(), "doc_id")
+    rows = table.join(chosen, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "x", "y").limit(sample).select("x", "y").collect()
     model = fit(np.array([r["x"] for r in rows]).reshape(-1, len(STATISTICS)), np.array([r["y"] for r in rows]))
     kind = docs.schema["doc_id"].dataType.simpleString()
 
