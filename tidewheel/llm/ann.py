@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import Scratch, map_arrow
+from .common import Scratch, least_hashes, map_arrow
 
 SAMPLE = 10_000
 MAX_CELLS = 1024
@@ -91,7 +91,7 @@ def usable(vector: str, size: int) -> Column:
     return v.isNotNull() & (F.size(v) == size) & finite & F.exists(v, lambda x: x != 0)
 
 
-def search(rows: DataFrame, is_query: Column, k: int = 10, vector: str = "embedding", sample: int = SAMPLE, probed: float = PROBED, rerank: int = RERANK) -> DataFrame:
+def search(rows: DataFrame, is_query: Column, k: int = 10, vector: str = "embedding", sample: int = SAMPLE, probed: float = PROBED, rerank: int = RERANK, least_probes: int = LEAST_PROBES) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest other rows of each row that is_query holds for."""
     spark, scratch = rows.sparkSession, Scratch(rows.sparkSession)
     empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
@@ -104,7 +104,7 @@ def search(rows: DataFrame, is_query: Column, k: int = 10, vector: str = "embedd
     total = rows.count()
     if not total:
         return empty
-    points = _matrix(rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("v").toArrow().column(0).combine_chunks())
+    points = _matrix(least_hashes(rows.select("vec_id", "v"), sample, total, "vec_id").select("v").toArrow().column(0).combine_chunks())
     coder = Quantiser.fit(points, int(min(MAX_CELLS, max(1, math.sqrt(total)))))
 
     # Of equal vectors the k + 1 smallest ids are enough; the window's limit is taken before the shuffle as well.
@@ -115,8 +115,8 @@ def search(rows: DataFrame, is_query: Column, k: int = 10, vector: str = "embedd
     blocks = index.withColumn("salt", F.pmod(F.xxhash64("vec_id"), salts)).groupBy("cell", "salt").agg(F.collect_list(F.struct("vec_id", "codes", "vec")).alias("rows"))
 
     asked = rows.where("is_query").select("vec_id", "v").distinct()
-    distinct = asked.groupBy("v").agg(F.min("vec_id").alias("query"))
-    probes = _probes(distinct, coder, cells, k, probed)
+    distinct = scratch.keep(asked.groupBy("v").agg(F.min("vec_id").alias("query")), True)
+    probes = _probes(distinct, coder, cells, k, probed, least_probes)
     lists = probes.groupBy("cell", F.pmod(F.xxhash64("query"), F.lit(max(1, total // (50 * QUERIES)))).alias("part")).agg(F.collect_list(F.struct("query", "vec")).alias("queries"))
     near = _near(blocks.join(lists, "cell").select("cell", "rows", "queries"), coder, dim, k + 1, rerank)
     best = near.withColumn("n", F.row_number().over(Window.partitionBy("query").orderBy("score", "vec_id"))).where(F.col("n") <= k + 1)
@@ -140,10 +140,10 @@ def _encoded(rows: DataFrame, coder: Quantiser) -> DataFrame:
     return map_arrow(rows, run, "cell int, vec_id long, codes binary, vec binary")
 
 
-def _probes(queries: DataFrame, coder: Quantiser, cells: dict[int, int], k: int, probed: float) -> DataFrame:
+def _probes(queries: DataFrame, coder: Quantiser, cells: dict[int, int], k: int, probed: float, least_probes: int) -> DataFrame:
     """(cell, query, vec): each query's nearest cells, until enough are probed and they hold some times k rows."""
     counts = np.array([cells.get(c, 0) for c in range(len(coder.centroids))])
-    least = max(LEAST_PROBES, int(np.ceil(probed * len(counts))))
+    least = max(least_probes, int(np.ceil(probed * len(counts))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
