@@ -12,8 +12,8 @@ Candidates are runs of key characters with and without the dots at their end, wh
 '/'. They have a letter and a digit and ``USUAL`` characters, or as few as the shortest example of the label; without
 a digit, both cases and a shape that words do not have. Letters of one case alone and digits alone are no candidates.
 
-Learning takes at most ``SAMPLE`` different values a label, those with the smallest hashes, of at most ``LONGEST``
-characters; scanning covers every whole text, and every candidate is scored at its whole length.
+Learning reads the texts once and takes at most ``sample`` different values a label, those with the smallest hashes, of
+at most ``longest`` characters; scanning covers every whole text, and every candidate is scored at its whole length.
 
 Edge cases: a null or empty text has no spans; a null doc_id, repeated rows and further columns are carried along; in
 an empty table nothing is learned and nothing found. Without credentials to learn from only base spans are returned.
@@ -23,7 +23,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import map_arrow
+from .common import Scratch, least_hashes, map_arrow
 
 #: The base patterns, and how long a match must be.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
@@ -39,6 +39,8 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
 KINDS = ("assign", "access", "hex")
 ADDED = "inferred"
+#: Kinds of candidates while learning: what follows an @ or ://, and others.
+HOST, TOKEN = "host", "token"
 
 SAMPLE = 1000
 LONGEST = 256
@@ -199,45 +201,43 @@ def _shortest(automata: dict[str, Automaton]) -> int:
     return min([USUAL, *(a.shortest for kind, a in automata.items() if kind)])
 
 
-def learn(docs: DataFrame, sample: int = SAMPLE) -> dict[str, Automaton]:
-    """An automaton for each kind that has examples, and one of ordinary tokens under ''."""
-
-    def labelled(text: str) -> set[tuple[str, str]]:
-        return {(KINDS[k], v) for _, _, k, v in base_spans(text) if len(v) <= LONGEST}
-
-    automata = {kind: labelled_automaton(words) for kind, words in _examples(docs, labelled, KINDS, sample).items()}
+def learn(docs: DataFrame, sample: int = SAMPLE, longest: int = LONGEST) -> dict[str, Automaton]:
+    """An automaton for each kind that has examples, and one of ordinary tokens under ''. The texts are read once."""
+    scratch = Scratch(docs.sparkSession)
 
+    def values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows: set[tuple[str, str]] = set()
+            for text in batch.column(0).to_pylist():
+                if text:
+                    spans = base_spans(text)
+                    rows.update((KINDS[k], v) for _, _, k, v in spans if len(v) <= longest)
+                    for a, b in candidates(text, spans, 0):
+                        if b - a <= longest:
+                            host = text[a - 1 : a] == "@" or text[max(a - 3, 0) : a] == "://"
+                            rows.add((HOST if host else TOKEN, text[a:b]))
+            found = sorted(rows)
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in found], pa.string()) for k in (0, 1)], ["kind", "value"])
+
+    table = scratch.keep(map_arrow(docs.select("text"), values, "kind string, value string").distinct())
+    counts = {r["kind"]: r["n"] for r in table.groupBy("kind").agg(F.count("*").alias("n")).collect()}
+    automata = {}
+    for kind in KINDS:
+        if kind in counts:
+            own = least_hashes(table.where(F.col("kind") == kind), sample, counts[kind], "value").collect()
+            automata[kind] = labelled_automaton([r["value"].translate(CLASSES) for r in own])
     shortest = _shortest(automata)
 
-    def ordinary(text: str) -> set[tuple[str, str]]:
-        rows = set()
-        for a, b in candidates(text, base_spans(text), shortest):
-            if b - a <= LONGEST:
-                host = text[a - 1 : a] == "@" or text[max(a - 3, 0) : a] == "://"
-                if host or not _like_credential(text[a:b].translate(CLASSES), automata):
-                    rows.add(("", text[a:b]))
-        return rows
-
-    return automata | {kind: infer(words) for kind, words in _examples(docs, ordinary, ("",), sample).items()}
-
-
-def _examples(docs: DataFrame, values_of: Callable[[str], set[tuple[str, str]]], kinds: tuple[str, ...], sample: int) -> dict[str, list[str]]:
-    """In classes, the values of each kind with the smallest hashes; values_of gives the (kind, value) of a text."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def ordinary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = sorted(set().union(*(values_of(text) for text in batch.column(0).to_pylist() if text)))
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.string()) for k in (0, 1)], ["kind", "value"])
-
-    values = map_arrow(docs.select("text"), run, "kind string, value string").distinct()
-    found = None
-    for kind in kinds:
-        own = values.where(F.col("kind") == kind).orderBy(F.xxhash64("value"), "value").limit(sample)
-        found = own if found is None else found.union(own)
-    examples: dict[str, list[str]] = {}
-    for kind, value in found.collect():
-        examples.setdefault(kind, []).append(value.translate(CLASSES))
-    return examples
+            rows = zip(*(c.to_pylist() for c in batch.columns))
+            kept = [v for k, v in rows if len(v) >= shortest and (k == HOST or not _like_credential(v.translate(CLASSES), automata))]
+            yield pa.RecordBatch.from_arrays([pa.array(kept, pa.string())], ["value"])
+
+    plain = scratch.keep(map_arrow(table.where(F.col("kind").isin(HOST, TOKEN)), ordinary, "value string").distinct())
+    words = [r["value"].translate(CLASSES) for r in least_hashes(plain, sample, plain.count(), "value").collect()]
+    scratch.drop(table, plain)
+    return automata | ({"": infer(words)} if words else {})
 
 
 def _uniform(word: str) -> float:
