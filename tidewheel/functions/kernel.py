@@ -24,6 +24,43 @@ def trig_sums(t: np.ndarray, w: np.ndarray, yc: np.ndarray, freqs: np.ndarray, h
     return out
 
 
+#: Grid points that an observation is spread over to each side; with twice as many grid points as frequencies the error is about 1e-10.
+SPREAD = 12
+#: Observations times frequencies from which the fast sums take less time.
+FAST_FROM = 20_000
+
+
+def grid_sums(t: np.ndarray, w: np.ndarray, yc: np.ndarray, step: float, first: int, count: int, harmonics: int) -> np.ndarray:
+    """``trig_sums`` at the even grid step * (first + k), k < count, by non-equispaced fast Fourier transforms.
+
+    For each harmonic the observations are spread by a Gaussian over a grid of phases, which one transform takes to all
+    frequencies; dividing by the Gaussian's own transform undoes the spreading. That takes about
+    harmonics * (observations + count log count) steps instead of harmonics * observations * count.
+    """
+    out = np.empty((count, 6 * harmonics))
+    size = 2 << max(count - 1, 16).bit_length()
+    middle = count // 2
+    k = np.arange(count) - middle
+    wide = SPREAD * size / count / (2 * size / count - 1) * 2 / np.pi  # width of the Gaussian in grid points, squared
+    undo = np.exp(wide * (np.pi * k / size) ** 2)
+    near = np.arange(-SPREAD + 1, SPREAD + 1)
+    for h in range(1, 2 * harmonics + 1):
+        turns = t * (step * h)
+        x = (turns - np.floor(turns)) * size
+        low = np.floor(x).astype(np.int64)
+        spread = np.exp(-((x - low)[:, None] - near) ** 2 / wide) / np.sqrt(np.pi * wide)
+        place = ((low[:, None] + near) % size).ravel()
+        start = turns * (first + middle)
+        phase = np.exp(2j * np.pi * (start - np.floor(start)))
+        for weights, cosines, use in ((w, h - 1, True), (w * yc, 4 * harmonics + h - 1, h <= harmonics)):
+            if use:
+                own = spread * (weights * phase)[:, None]
+                held = np.bincount(place, own.real.ravel(), size) + 1j * np.bincount(place, own.imag.ravel(), size)
+                found = np.fft.ifft(held)[k % size] * size * undo
+                out[:, cosines], out[:, cosines + (2 * harmonics if cosines < 2 * harmonics else harmonics)] = found.real, found.imag
+    return out
+
+
 def matrices(sums: np.ndarray, harmonics: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(covariance of (cos, sin) (freq, 2H, 2H), their covariance with y (freq, 2H), their means (freq, 2H))."""
     h, n = harmonics, len(sums)
@@ -43,55 +80,119 @@ def shifted(c: np.ndarray, s: np.ndarray, theta: np.ndarray) -> np.ndarray:
     return np.concatenate([c * np.cos(x) - s * np.sin(x), c * np.sin(x) + s * np.cos(x)], axis=-1)
 
 
-def best_phase(sums: np.ndarray, c, s, ybar: float, yy: float, allow_negative: bool = True) -> np.ndarray:
-    """(freq, 6): power, a, b, c, sgn, theta of the best fit; NaN where no fit is defined.
+class Harmonics:
+    """Real trigonometric polynomials, one a row, by their values on an even grid; exact if the grid has more points than twice their degree."""
+
+    def __init__(self, values: np.ndarray, degree: int):
+        self.c = np.fft.rfft(values, axis=1)[:, : degree + 1] / values.shape[1]
+        self.c[:, 1:] *= 2
+        self.ik = 1j * np.arange(degree + 1)
+
+    def at(self, turns: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Value and first two derivatives; turns: e^(i theta) to the powers 0, 1, ... along the last axis."""
+        x = self.c[:, None, :] * turns[:, :, : self.c.shape[1]]
+        return x.real.sum(axis=2), (x * self.ik).real.sum(axis=2), (x * self.ik**2).real.sum(axis=2)
 
-    The explained share is scanned on a grid of phases that grows with the harmonics, and its three highest local
-    maxima are refined by golden sections: the highest grid point alone isn't always in the highest peak.
+
+#: Phases that are refined for each frequency, and steps of refinement, which halve a bracket at least.
+PEAKS, STEPS = 3, 7
+
+
+def best_phase(sums: np.ndarray, c, s, ybar, yy, allow_negative: bool = True) -> np.ndarray:
+    """(freq, 6): power, a, b, c, sgn, theta of the best fit; NaN where no fit is defined. ybar and yy are numbers or one a row.
+
+    The explained share is the square of one trigonometric polynomial in the phase over another. It is scanned on a grid
+    that grows with the harmonics, and its highest local maxima are refined by bracketed Newton steps on the derivative:
+    the highest grid point alone isn't always in the highest peak.
     """
     c, s = np.asarray(c, float), np.asarray(s, float)
     h = len(c)
-    cov, with_y, mean = matrices(sums, h)
+    ybar, yy = np.broadcast_to(np.asarray(ybar, float), len(sums)), np.broadcast_to(np.asarray(yy, float), len(sums))
     out = np.full((len(sums), 6), np.nan)
-    if not yy > 0 or not len(sums):
+    some = np.flatnonzero(yy > 0)
+    if not len(some):
         return out
-
-    def share(v: np.ndarray) -> np.ndarray:
-        ym = np.einsum("f...i,fi->f...", v, with_y)
-        mm = np.einsum("f...i,fij,f...j->f...", v, cov, v)
-        return np.where(mm > LEAST, ym**2 / np.where(mm > LEAST, mm, 1) / yy, -1.0)
-
+    cov, with_y, mean = matrices(sums[some], h)
+    ybar, yy = ybar[some], yy[some, None]
     size = max(64, 12 * h)
     grid = 2 * np.pi * np.arange(size) / size
     v = shifted(c, s, grid)
     ym = with_y @ v.T
-    mm = np.einsum("gi,fij,gj->fg", v, cov, v, optimize=True)
-    p = np.where(mm > LEAST, ym**2 / np.where(mm > LEAST, mm, 1) / yy, -1.0)
+    mm = cov.reshape(len(some), -1) @ (v[:, :, None] * v[:, None, :]).reshape(size, -1).T
+    share = lambda ym, mm: np.where(mm > LEAST, ym**2 / np.where(mm > LEAST, mm, 1) / yy, -1.0)
+    p = share(ym, mm)
     peak = np.where((p >= np.roll(p, 1, axis=1)) & (p >= np.roll(p, -1, axis=1)), p, -2.0)
-    at = grid[np.argsort(-peak, axis=1, kind="stable")[:, :3]]
-    lo, hi = at - 2 * np.pi / size, at + 2 * np.pi / size
-    gold = (np.sqrt(5) - 1) / 2
-    x, y = hi - gold * (hi - lo), lo + gold * (hi - lo)
-    px, py = share(shifted(c, s, x)), share(shifted(c, s, y))
-    for _ in range(40):
-        left = px >= py
-        lo, hi = np.where(left, lo, x), np.where(left, y, hi)
-        new = np.where(left, hi - gold * (hi - lo), lo + gold * (hi - lo))
-        pn = share(shifted(c, s, new))
-        x, y, px, py = np.where(left, new, y), np.where(left, x, new), np.where(left, pn, py), np.where(left, px, pn)
-    theta = np.concatenate([(lo + hi) / 2, at], axis=1)
-    p = share(shifted(c, s, theta))
+    best = np.argpartition(-peak, PEAKS - 1, axis=1)[:, :PEAKS]
+    at = grid[np.take_along_axis(best, np.argsort(-np.take_along_axis(peak, best, axis=1), axis=1, kind="stable"), axis=1)]
+    top, below = Harmonics(ym, h), Harmonics(mm, 2 * h)
+    powers = np.arange(2 * h + 1)
+    lo, hi, theta = at - 2 * np.pi / size, at + 2 * np.pi / size, at
+    moved = hi - lo
+    for _ in range(STEPS):
+        turns = np.exp(1j * theta[:, :, None] * powers)
+        (y, y1, y2), (m, m1, m2) = top.at(turns), below.at(turns)
+        slope, bend = 2 * y1 * m - y * m1, 2 * y2 * m + y1 * m1 - y * m2
+        rising = slope * y > 0
+        lo, hi = np.where(rising, theta, lo), np.where(rising, hi, theta)
+        new = theta - slope / np.where(bend != 0, bend, np.inf)
+        new = np.where((new >= lo) & (new <= hi) & (np.abs(new - theta) < np.maximum(moved, 1e-6)), new, (lo + hi) / 2)
+        moved, theta = np.abs(new - theta), new
+    theta = np.concatenate([theta, at], axis=1)
+    turns = np.exp(1j * theta[:, :, None] * powers)
+    p = share(top.at(turns)[0], below.at(turns)[0])
     row, best = np.arange(len(p)), p.argmax(axis=1)
-    p, theta = p[row, best], theta[row, best] % (2 * np.pi)
+    theta = theta[row, best] % (2 * np.pi)
     v = shifted(c, s, theta)
     mm = np.einsum("fi,fij,fj->f", v, cov, v)
     ok = mm > LEAST
     a = (v * with_y).sum(axis=1) / np.where(ok, mm, 1)
+    p = a * (v * with_y).sum(axis=1) / yy[:, 0]
     if not c[1::2].any() and not s[1::2].any():  # (a, theta) and (-a, theta + pi) are the same fit
         turn = a < 0
         theta, a, v = np.where(turn, (theta + np.pi) % (2 * np.pi), theta), np.abs(a), np.where(turn[:, None], -v, v)
     elif not allow_negative:
         p, a = np.where(a < 0, 0.0, p), np.where(a < 0, 0.0, a)
     offset = ybar - a * (v * mean).sum(axis=1)
-    out[ok] = np.stack([p, a, np.cos(theta), offset, np.sign(np.sin(theta)), theta], axis=1)[ok]
+    out[some[ok]] = np.stack([p, a, np.cos(theta), offset, np.sign(np.sin(theta)), theta], axis=1)[ok]
     return out
+
+
+def least_slow_chi2(sums: np.ndarray, plain: np.ndarray, c, s, shift: float, yy: float, phases: int = 20) -> np.ndarray:
+    """Over the reference, the least weighted residuals of unweighted linear fits over all phases; NaN where no fit is defined.
+
+    sums are weighted, plain those of unit errors, each with its own mean of y taken off; shift is the weighted mean
+    less the plain one.
+    """
+    c, s = np.asarray(c, float), np.asarray(s, float)
+    h = len(c)
+    if not yy > 0:
+        return np.full(len(sums), np.nan)
+    (cov, with_y, mean), (own, own_y, own_mean) = matrices(sums, h), matrices(plain, h)
+
+    def chi2(theta: np.ndarray) -> np.ndarray:
+        v = shifted(c, s, theta)
+        dot = lambda x: np.einsum("f...i,fi->f...", v, x)
+        quad = lambda x: np.einsum("f...i,fij,f...j->f...", v, x, v, optimize=True)
+        spread = quad(own)
+        a = dot(own_y) / np.where(spread > LEAST, spread, np.nan)
+        # y - a m - b, about the weighted means of y and m: b is chosen for the plain means.
+        off = shift - a * (dot(mean) - dot(own_mean))
+        return (yy - 2 * a * dot(with_y) + a**2 * quad(cov) + off**2) / yy
+
+    size = max(phases, 12 * h)
+    grid = np.broadcast_to(2 * np.pi * np.arange(size) / size, (len(sums), size))
+    p = chi2(grid)
+    held = np.where((p <= np.roll(p, 1, axis=1)) & (p <= np.roll(p, -1, axis=1)), p, np.inf)
+    at = np.take_along_axis(grid, np.argsort(held, axis=1, kind="stable")[:, :PEAKS], axis=1)
+    lo, hi = at - 2 * np.pi / size, at + 2 * np.pi / size
+    gold = (np.sqrt(5) - 1) / 2
+    x, y = hi - gold * (hi - lo), lo + gold * (hi - lo)
+    px, py = chi2(x), chi2(y)
+    for _ in range(36):
+        left = px <= py
+        lo, hi = np.where(left, lo, x), np.where(left, y, hi)
+        new = np.where(left, hi - gold * (hi - lo), lo + gold * (hi - lo))
+        pn = chi2(new)
+        x, y, px, py = np.where(left, new, y), np.where(left, x, new), np.where(left, pn, py), np.where(left, px, pn)
+    best = np.concatenate([px, py, np.take_along_axis(p, np.argsort(held, axis=1, kind="stable")[:, :1], axis=1)], axis=1)
+    return np.where(np.isnan(best).all(axis=1), np.nan, np.nanmin(np.where(np.isnan(best), np.inf, best), axis=1))

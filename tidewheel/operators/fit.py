@@ -9,71 +9,98 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from ..functions.kernel import best_phase, trig_sums
+from ..functions.kernel import FAST_FROM, best_phase, grid_sums, least_slow_chi2, trig_sums
 from .prepare import inverse_variance, phase, series_stats, weighted
-from .sums import covariances, direct_sums
+from .sums import covariances, direct_sums, for_all
 from .templates import TWO_PI, Template, value_at
 
-#: Observations of one task's chunk of a series, and frequencies of one task's block of its grid.
-OBSERVATIONS, FREQUENCIES = 4096, 2048
+#: Observations of one task's chunk of a series, and least and most frequencies of one task's block of its grid.
+OBSERVATIONS, FREQUENCIES, MOST_FREQUENCIES = 1 << 17, 1 << 11, 1 << 16
+#: Frequencies that are solved at once, and bytes of an Arrow batch.
+TOGETHER, BATCH_BYTES = 1 << 14, 16 << 20
 LEAST = 1e-12
+FIT = "ordinal int, k long, freq double, power double, a double, b double, c double, sgn double, theta double"
 
 
-def exact_power(obs: DataFrame, grid: DataFrame, templates: list[Template], allow_negative: bool = True, stats: DataFrame | None = None) -> DataFrame:
-    """(series_id, ordinal, k, freq, power, a, b, c, sgn, theta): the best phase of each template at each frequency.
+def chunked_sums(obs: DataFrame, grid: DataFrame, harmonics: int, stats: DataFrame, fast: bool = True, always: bool = False) -> DataFrame:
+    """(series_id, block, size, df, nf0, nf, freqs, sums array<binary>): the trigonometric sums of a block of frequencies, by chunk.
 
     grid is ``grid_shape``'s (series_id, df, nf0, nf), or (k, freq) for all series. A series is cut into chunks of
     observations, and its grid into blocks; chunks give partial sums, which add up, so neither a series with a third of
-    all rows nor a long grid meets in one task. All templates share one set of sums. power is null where no fit is defined.
+    all rows nor a long grid meets in one task. Equal observations count as one of their joint weight. On even grids the
+    sums of a long series are taken by fast transforms, unless fast is false; always takes those of short ones so too.
     """
-    stats = series_stats(obs) if stats is None else stats
-    h = max(len(t.c) for t in templates)
-    chunks = weighted(obs, stats).join(stats.select("series_id", "n"), "series_id")
+    spark = obs.sparkSession
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    rows = weighted(obs, stats.select("series_id", "n", "wsum", "ybar"), "n").groupBy("series_id", "n", "t", "y", "dy", "w", "yc").agg(F.count("*").alias("times"))
     salt = F.pmod(F.xxhash64("t", "y", "dy"), F.ceil(F.col("n") / OBSERVATIONS))
-    chunks = chunks.groupBy("series_id", salt.alias("salt")).agg(F.collect_list("t").alias("t"), F.collect_list("w").alias("w"), F.collect_list("yc").alias("yc"))
+    chunks = rows.groupBy("series_id", "n", salt.alias("salt")).agg(F.collect_list("t").alias("t"), F.collect_list(F.col("w") * F.col("times")).alias("w"), F.collect_list("yc").alias("yc"))
     if "df" in grid.columns:
-        blocks = grid.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(nf - 1) DIV {FREQUENCIES}"))))
-        blocks = blocks.select("series_id", "block", "df", "nf0", "nf", F.lit(None).cast("array<double>").alias("freqs"))
-        rows = chunks.join(blocks, "series_id")
+        rows = chunks.join(grid, "series_id").withColumn("size", F.least(F.lit(MOST_FREQUENCIES), F.greatest(F.lit(FREQUENCIES), "n")).cast("long"))
+        rows = rows.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.expr("(nf - 1) DIV size")))).withColumn("freqs", F.lit(None).cast("array<double>"))
     else:
         own = grid.withColumn("block", F.expr(f"k DIV {FREQUENCIES}")).groupBy("block").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "freq"))), lambda x: x["freq"]).alias("freqs"))
-        rows = chunks.crossJoin(F.broadcast(own.select("block", F.lit(0.0).alias("df"), F.lit(0).cast("long").alias("nf0"), F.lit(0).cast("long").alias("nf"), "freqs")))
-
-    def frequencies(block: int, df: float, nf0: int, nf: int, freqs) -> np.ndarray:
-        if freqs is not None:
-            return np.asarray(freqs, float)
-        return df * (nf0 + np.arange(block * FREQUENCIES, min((block + 1) * FREQUENCIES, nf)))
+        zero = F.lit(0).cast("long")
+        rows = chunks.crossJoin(for_all(own.select("block", F.lit(0.0).alias("df"), zero.alias("nf0"), zero.alias("nf"), F.lit(FREQUENCIES).cast("long").alias("size"), "freqs")))
+    rows = rows.select("series_id", "block", "size", "df", "nf0", "nf", "freqs", "t", "w", "yc")
+    out = T.StructType([*(rows.schema[c] for c in rows.columns[:7]), T.StructField("sums", T.BinaryType())])
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, blocks, freqs, sums = [], [], [], []
-            for series, t, w, yc, *shape in zip(*(batch.column(c) for c in ("series_id", "t", "w", "yc", "block", "df", "nf0", "nf", "freqs"))):
-                f = frequencies(*(x.as_py() for x in shape))
-                ids.append(series.as_py())
-                blocks.append(shape[0].as_py())
-                freqs.append(f.tobytes())
-                sums.append(trig_sums(*(x.values.to_numpy() for x in (t, w, yc)), f, h).tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(blocks, pa.int64()), pa.array(freqs, pa.binary()), pa.array(sums, pa.binary())], ["series_id", "block", "freqs", "sums"])
-
-    parts = rows.select("series_id", "t", "w", "yc", "block", "df", "nf0", "nf", "freqs").mapInArrow(partial, "series_id long, block long, freqs binary, sums binary")
-    whole = parts.groupBy("series_id", "block").agg(F.first("freqs").alias("freqs"), F.collect_list("sums").alias("sums")).join(stats.select("series_id", "ybar", "yy"), "series_id")
+            sums = []
+            for block, size, df, nf0, nf, freqs, *data in zip(*batch.columns[1:]):
+                t, w, yc = (x.values.to_numpy() for x in data)
+                first, count = nf0.as_py() + block.as_py() * size.as_py(), min(size.as_py(), nf.as_py() - block.as_py() * size.as_py())
+                if freqs.is_valid:
+                    found = trig_sums(t, w, yc, freqs.values.to_numpy(), harmonics)
+                elif always or fast and len(t) * count >= FAST_FROM:
+                    found = grid_sums(t, w, yc, df.as_py(), first, count, harmonics)
+                else:
+                    found = trig_sums(t, w, yc, df.as_py() * (first + np.arange(count)), harmonics)
+                sums.append(found.tobytes())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:7], pa.array(sums, pa.binary())], out.names)
+
+    parts = rows.mapInArrow(partial, out)
+    return parts.groupBy("series_id", "block").agg(*(F.first(c).alias(c) for c in ("size", "df", "nf0", "nf", "freqs")), F.collect_list("sums").alias("sums"))
+
+
+def exact_power(obs: DataFrame, grid: DataFrame, templates: list[Template], allow_negative: bool = True, stats: DataFrame | None = None, fast: bool = True) -> DataFrame:
+    """(series_id, ordinal, k, freq, power, a, b, c, sgn, theta): the best phase of each template at each frequency.
+
+    All templates share one set of ``chunked_sums``. power is null where no fit is defined.
+    """
+    stats = series_stats(obs) if stats is None else stats
+    h = max(len(t.c) for t in templates)
+    whole = chunked_sums(obs, grid, h, stats, fast).join(stats.select("series_id", "ybar", "yy"), "series_id")
+    out = T.StructType([obs.schema["series_id"], *T._parse_datatype_string(FIT).fields])
 
     def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for series, block, freqs, sums, ybar, yy in zip(*(batch.column(c).to_pylist() for c in ("series_id", "block", "freqs", "sums", "ybar", "yy"))):
-                f = np.frombuffer(freqs)
-                total = np.sum([np.frombuffer(x) for x in sums], axis=0).reshape(len(f), -1)
-                for ordinal, t in enumerate(templates):
-                    own, n = total.reshape(len(f), 6 * h), len(t.c)
-                    cut = np.concatenate([np.arange(2 * n), 2 * h + np.arange(2 * n), 4 * h + np.arange(n), 5 * h + np.arange(n)])
-                    got = best_phase(own[:, cut], t.c, t.s, ybar, yy or 0.0, allow_negative)
-                    columns = [pa.array(got[:, x], pa.float64(), from_pandas=True) for x in range(6)]
-                    k = block * FREQUENCIES + np.arange(len(f))
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(f), series)), pa.array(np.full(len(f), ordinal, np.int32)), pa.array(k), pa.array(f), *columns], ["series_id", "ordinal", "k", "freq", "power", "a", "b", "c", "sgn", "theta"])
-
-    return whole.select("series_id", "block", "freqs", "sums", "ybar", "yy").mapInArrow(solve, "series_id long, ordinal int, k long, freq double, power double, a double, b double, c double, sgn double, theta double")
+            held: list[tuple] = []
+            for at, (block, size, df, nf0, nf, freqs, sums, ybar, yy) in enumerate(zip(*batch.columns[1:])):
+                start = block.as_py() * size.as_py()
+                f = freqs.values.to_numpy() if freqs.is_valid else df.as_py() * (nf0.as_py() + np.arange(start, min(start + size.as_py(), nf.as_py())))
+                total = sum(np.frombuffer(x.as_buffer()) for x in sums.values).reshape(len(f), 6 * h)
+                held.append((np.full(len(f), at), start + np.arange(len(f)), f, total, np.full(len(f), ybar.as_py()), np.full(len(f), yy.as_py() or 0.0)))
+                if sum(len(x[0]) for x in held) >= TOGETHER:
+                    yield from solved(batch.column(0), held)
+                    held = []
+            if held:
+                yield from solved(batch.column(0), held)
+
+    def solved(series: pa.Array, held: list[tuple]) -> Iterator[pa.RecordBatch]:
+        at, k, f, total, ybar, yy = (np.concatenate(x) for x in zip(*held))
+        for ordinal, t in enumerate(templates):
+            n = len(t.c)
+            cut = np.concatenate([np.arange(2 * n), 2 * h + np.arange(2 * n), 4 * h + np.arange(n), 5 * h + np.arange(n)])
+            got = best_phase(total[:, cut], t.c, t.s, ybar, yy, allow_negative)
+            columns = [pa.array(got[:, x], pa.float64(), from_pandas=True) for x in range(6)]
+            yield pa.RecordBatch.from_arrays([series.take(pa.array(at)), pa.array(np.full(len(f), ordinal, np.int32)), pa.array(k), pa.array(f), *columns], out.names)
+
+    return whole.select("series_id", "block", "size", "df", "nf0", "nf", "freqs", "sums", "ybar", "yy").mapInArrow(solve, out)
 
 
 def best(fits: DataFrame) -> DataFrame:
@@ -153,7 +180,7 @@ def unweighted_chi2(obs: DataFrame, grid: DataFrame, template: Template, phases:
     """
     spark = obs.sparkSession
     shifts = spark.range(phases).select(F.col("id").cast("int").alias("p"))
-    rows = obs.crossJoin(F.broadcast(grid.select("freq"))).crossJoin(F.broadcast(shifts))
+    rows = obs.crossJoin(for_all(grid.select("freq"))).crossJoin(F.broadcast(shifts))
     m = rows.select("series_id", "freq", "p", "y", inverse_variance().alias("om"), value_at(phase("t", "freq") - F.col("p") / F.lit(float(phases)), template).alias("m"))
     s = lambda e: F.sum(F.expr(e))
     got = m.groupBy("series_id", "freq", "p").agg(F.regr_slope("y", "m").alias("a"), F.regr_intercept("y", "m").alias("c"), s("om * y * y").alias("yy"), s("om * m * m").alias("mm"), s("om * y * m").alias("my"), s("om * y").alias("y1"), s("om * m").alias("m1"), s("om").alias("w"))
@@ -164,3 +191,30 @@ def slow_power(obs: DataFrame, grid: DataFrame, template: Template, stats: DataF
     """(series_id, freq, power) by the least of ``unweighted_chi2`` over the phases."""
     least = unweighted_chi2(obs, grid, template, phases).groupBy("series_id", "freq").agg(F.min("chi2").alias("chi2"))
     return least.join(stats, "series_id").select("series_id", "freq", F.when(F.col("chi2_ref") > 0, F.lit(1.0) - F.col("chi2") / F.col("chi2_ref")).alias("power"))
+
+
+def refined_slow_power(obs: DataFrame, grid: DataFrame, template: Template, stats: DataFrame, phases: int = 20) -> DataFrame:
+    """(series_id, k, freq, power): ``slow_power`` at the best phase, by bracketed refinement of the three best of the phases.
+
+    The residuals at any phase follow from two sets of sums, weighted and not, so the observations are read once. power
+    is null where no fit is defined; a bracket always closes, so no frequency fails to converge.
+    """
+    h = len(template.c)
+    plain = obs.withColumn("dy", F.lit(1.0))
+    keys = ["series_id", "block"]
+    both = chunked_sums(obs, grid, h, stats).join(chunked_sums(plain, grid, h, series_stats(plain)).select(*keys, F.col("sums").alias("plain")), keys)
+    means = obs.groupBy("series_id").agg(F.avg("y").alias("y0"))
+    rows = both.join(stats.select("series_id", "ybar", "yy"), "series_id").join(means, "series_id")
+    rows = rows.select("series_id", "block", "size", "df", "nf0", "nf", "freqs", "sums", "plain", (F.col("ybar") - F.col("y0")).alias("shift"), "yy")
+    out = T.StructType([obs.schema["series_id"], *T._parse_datatype_string("k long, freq double, power double").fields])
+
+    def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at, (block, size, df, nf0, nf, freqs, sums, unit, shift, yy) in enumerate(zip(*batch.columns[1:])):
+                start = block.as_py() * size.as_py()
+                f = freqs.values.to_numpy() if freqs.is_valid else df.as_py() * (nf0.as_py() + np.arange(start, min(start + size.as_py(), nf.as_py())))
+                w, u = (sum(np.frombuffer(x.as_buffer()) for x in part.values).reshape(len(f), 6 * h) for part in (sums, unit))
+                power = 1 - least_slow_chi2(w, u, template.c, template.s, shift.as_py(), yy.as_py() or 0.0, phases)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.full(len(f), at))), pa.array(start + np.arange(len(f))), pa.array(f), pa.array(power, pa.float64(), from_pandas=True)], out.names)
+
+    return rows.mapInArrow(solve, out)

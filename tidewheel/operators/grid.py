@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -31,9 +32,21 @@ def autofrequency(stats: DataFrame, **options) -> DataFrame:
     return shape.select("series_id", "df", "nf0", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nf") - 1)).alias("k")).select("series_id", "k", (F.col("df") * (F.col("nf0") + F.col("k"))).alias("freq"))
 
 
-def user_grid(spark: SparkSession, freqs: list[float]) -> DataFrame:
-    """(k, freq) of given frequencies, for all series."""
-    return spark.createDataFrame(list(enumerate(map(float, freqs))), "k long, freq double")
+def user_grid(spark: SparkSession, freqs) -> DataFrame:
+    """(k, freq) of given frequencies, for all series: a number, or numbers in lists or arrays of any shape, where k is the place in the flattened array."""
+    return spark.createDataFrame([(k, float(f)) for k, f in enumerate(np.asarray(freqs, float).ravel())], "k long, freq double")
+
+
+def even_grid(freqs) -> tuple[float, int, int]:
+    """(step, first, count) of an even grid step * (first + k); ValueError for any other."""
+    f = np.asarray(freqs, float).ravel()
+    if len(f) < 2:
+        raise ValueError("an even grid has two frequencies at least")
+    step = float(f[1] - f[0])
+    first = round(f[0] / step) if step else 0
+    if not step or not np.allclose(np.diff(f), step) or not np.isclose(f[0], step * first):
+        raise ValueError("frequencies are no even grid of multiples of their step")
+    return step, first, len(f)
 
 
 def inspect_grid(grid: DataFrame) -> DataFrame:

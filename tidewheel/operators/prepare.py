@@ -8,8 +8,9 @@ from pyspark.sql.window import Window
 
 
 def inverse_variance(dy: str | Column = "dy") -> Column:
+    """Null for an error of zero, so that no sum counts the row."""
     d = F.col(dy) if isinstance(dy, str) else dy
-    return F.lit(1.0) / (d * d)
+    return F.when(d != 0, F.lit(1.0) / (d * d))
 
 
 def series_stats(obs: DataFrame) -> DataFrame:
@@ -19,15 +20,15 @@ def series_stats(obs: DataFrame) -> DataFrame:
     """
     w = inverse_variance()
     first = obs.groupBy("series_id").agg(F.count("*").alias("n"), F.min("t").alias("tmin"), F.max("t").alias("tmax"), F.sum(w).alias("wsum"), (F.sum(w * F.col("y")) / F.sum(w)).alias("ybar"))
-    centred = obs.join(first.select("series_id", "ybar"), "series_id")
-    second = centred.groupBy("series_id").agg(F.sum(w * (F.col("y") - F.col("ybar")) ** 2).alias("chi2_ref"))
-    return first.join(second, "series_id").select("series_id", "n", "tmin", "tmax", "wsum", "ybar", (F.col("chi2_ref") / F.col("wsum")).alias("yy"), "chi2_ref")
+    centred = obs.join(first, "series_id")
+    second = centred.groupBy(*first.columns).agg(F.sum(w * (F.col("y") - F.col("ybar")) ** 2).alias("chi2_ref"))
+    return second.select(*first.columns, (F.col("chi2_ref") / F.col("wsum")).alias("yy"), "chi2_ref")
 
 
-def weighted(obs: DataFrame, stats: DataFrame | None = None) -> DataFrame:
-    """obs with w (adding up to 1 in a series) and yc = y less the weighted mean."""
+def weighted(obs: DataFrame, stats: DataFrame | None = None, *more: str) -> DataFrame:
+    """obs with w (adding up to 1 in a series), yc = y less the weighted mean, and more columns of stats."""
     stats = series_stats(obs) if stats is None else stats
-    return obs.join(stats.select("series_id", "wsum", "ybar"), "series_id").select("series_id", "t", "y", "dy", (inverse_variance() / F.col("wsum")).alias("w"), (F.col("y") - F.col("ybar")).alias("yc"))
+    return obs.join(stats.select("series_id", "wsum", "ybar", *more), "series_id").select("series_id", *more, "t", "y", "dy", (inverse_variance() / F.col("wsum")).alias("w"), (F.col("y") - F.col("ybar")).alias("yc"))
 
 
 def order_violations(obs: DataFrame, ordinal: str) -> DataFrame:

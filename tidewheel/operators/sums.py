@@ -3,11 +3,22 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 TWO_PI = 2 * math.pi
+#: Rows up to which a grid for all series is sent to every task.
+SMALL_GRID = 100_000
+
+
+def for_all(grid: DataFrame) -> DataFrame:
+    """The grid with a hint to broadcast it, if it is counted to be small; a larger one is joined as Spark sees fit."""
+    return F.broadcast(grid) if grid.limit(SMALL_GRID + 1).count() <= SMALL_GRID else grid
 
 
 def direct_sums(weighted: DataFrame, grid: DataFrame, harmonics: int) -> DataFrame:
@@ -16,7 +27,7 @@ def direct_sums(weighted: DataFrame, grid: DataFrame, harmonics: int) -> DataFra
     Sums at 2H harmonics give every product sum by identities, so 6H sums do instead of about 4H^2. The grid is joined
     on series_id if it has one, else it is one small grid for all. Aggregation combines on the map side.
     """
-    rows = weighted.join(grid, "series_id") if "series_id" in grid.columns else weighted.crossJoin(F.broadcast(grid))
+    rows = weighted.join(grid, "series_id") if "series_id" in grid.columns else weighted.crossJoin(for_all(grid))
     x = F.lit(TWO_PI) * F.col("freq") * F.col("t")
     sums = []
     for h in range(1, 2 * harmonics + 1):
@@ -42,3 +53,24 @@ def covariances(harmonics: int) -> dict[str, str]:
 
 def with_covariances(sums: DataFrame, harmonics: int) -> DataFrame:
     return sums.select("*", *(F.expr(e).alias(n) for n, e in covariances(harmonics).items()))
+
+
+def fast_sums(obs: DataFrame, grid: DataFrame, harmonics: int, stats: DataFrame) -> DataFrame:
+    """``direct_sums`` at the even grids of ``grid_shape``, by fast transforms: harmonics * (n + nf log nf) steps a series instead of harmonics * n * nf."""
+    from .fit import chunked_sums
+
+    names = [f"{x}{h}" for h in range(1, 2 * harmonics + 1) for x in "cs"] + [f"y{x}{h}" for h in range(1, harmonics + 1) for x in "cs"]
+    place = {"c": 0, "s": 2 * harmonics, "yc": 4 * harmonics, "ys": 5 * harmonics}
+    order = [place[n.rstrip("0123456789")] + int(n.lstrip("ycs")) - 1 for n in names]
+    rows = chunked_sums(obs, grid, harmonics, stats, always=True)
+    out = T.StructType([rows.schema["series_id"], T.StructField("freq", T.DoubleType()), *(T.StructField(n, T.DoubleType()) for n in names)])
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at, (block, size, df, nf0, nf, sums) in enumerate(zip(*batch.columns[1:])):
+                start = block.as_py() * size.as_py()
+                f = df.as_py() * (nf0.as_py() + np.arange(start, min(start + size.as_py(), nf.as_py())))
+                total = sum(np.frombuffer(x.as_buffer()) for x in sums.values).reshape(len(f), -1)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.full(len(f), at))), pa.array(f), *(pa.array(total[:, k]) for k in order)], out.names)
+
+    return rows.select("series_id", "block", "size", "df", "nf0", "nf", "sums").mapInArrow(listed, out)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import fit as fits
-from ..operators.grid import autofrequency, grid_shape, user_grid
+from ..operators.grid import autofrequency, even_grid, grid_shape, user_grid
 from ..operators.prepare import series_stats
 from ..operators.templates import Template
 
@@ -31,53 +31,90 @@ class TemplateModel:
 
 
 class MultiTemplateSearch:
-    """Searches all series of a table for the period at which the best of some templates fits best."""
+    """Searches all series of a table for the period at which the best of some templates fits best.
+
+    Fits that a best model is taken from are persisted, so that power and model are computed once; ``close`` lets go of them.
+    """
 
     def __init__(self, templates: list[Template] | None = None, allow_negative_amplitudes: bool = True):
         self.templates, self.allow_negative = templates, allow_negative_amplitudes
         self.obs = self.stats = self.best_model = None
+        #: The templates that best_model's ordinals count.
+        self.known: list[Template] = []
+        self._held: list[DataFrame] = []
 
     def fit(self, obs: DataFrame) -> MultiTemplateSearch:
         """obs: (series_id, t, y, dy). An earlier best model stays until a better one is found."""
         self.obs, self.stats = obs, series_stats(obs)
         return self
 
-    def _ready(self) -> None:
+    def close(self) -> None:
+        for df in self._held:
+            df.unpersist()
+        self._held = []
+
+    def _hold(self, df: DataFrame) -> DataFrame:
+        self._held.append(df.persist())
+        return df
+
+    def _data(self) -> None:
         if self.obs is None:
             raise ValueError("call fit first")
+
+    def _ready(self) -> None:
+        self._data()
         if not self.templates or not all(isinstance(t, Template) for t in self.templates):
             raise ValueError("templates must be Templates, one at least")
 
     def autofrequency(self, **options) -> DataFrame:
-        if self.obs is None:
-            raise ValueError("call fit first")
+        self._data()
         return autofrequency(self.stats, **options)
 
-    def _fits(self, grid: DataFrame, save: bool) -> DataFrame:
-        found = fits.exact_power(self.obs, grid, self.templates, self.allow_negative, self.stats)
+    def save_best_model(self, new: DataFrame, overwrite: bool = False) -> None:
+        """new: (series_id, ordinal, freq, a, b, c, sgn, ...) replaces the best model of each series that it explains strictly better."""
+        if self.best_model is not None and not overwrite:
+            new = merge_best(self.best_model, new, self.obs, self.stats, self.known)
+        self.best_model = self._hold(new)
+
+    def _fits(self, grid: DataFrame, templates: list[Template], save: bool, fast: bool) -> DataFrame:
+        found = fits.exact_power(self.obs, grid, templates, self.allow_negative, self.stats, fast)
         if save:
-            new = fits.best(found)
-            self.best_model = new if self.best_model is None else merge_best(self.best_model, new, self.obs, self.stats, self.templates)
+            found = self._hold(found)
+            self.known += [t for t in templates if t not in self.known]
+            place = F.element_at(F.array(*(F.lit(self.known.index(t)) for t in templates)), F.col("ordinal") + 1)
+            self.save_best_model(fits.best(found).withColumn("ordinal", place))
         return found
 
-    def autopower(self, save_best_model: bool = True, **options) -> DataFrame:
+    def _grid(self, freqs, fast: bool) -> DataFrame:
+        if not fast:
+            return user_grid(self.obs.sparkSession, freqs)
+        step, first, count = even_grid(freqs)
+        return self.stats.select("series_id", F.lit(step).alias("df"), F.lit(first).cast("long").alias("nf0"), F.lit(count).cast("long").alias("nf"))
+
+    def autopower(self, save_best_model: bool = True, fast: bool = True, **options) -> DataFrame:
         """(series_id, k, freq, power) on the automatic grid."""
         self._ready()
-        return fits.best_template(self._fits(grid_shape(self.stats, **options), save_best_model))
+        return fits.best_template(self._fits(grid_shape(self.stats, **options), self.templates, save_best_model, fast))
+
+    def power(self, freqs, save_best_model: bool = True, fast: bool = False) -> DataFrame:
+        """(series_id, k, freq, power) at given frequencies, a number or an array of any shape: k is the place in it, flattened.
 
-    def power(self, freqs: list[float], save_best_model: bool = True) -> DataFrame:
+        fast takes the sums by fast transforms, for which the frequencies must be an even grid of multiples of their step.
+        """
         self._ready()
-        return fits.best_template(self._fits(user_grid(self.obs.sparkSession, freqs), save_best_model))
+        return fits.best_template(self._fits(self._grid(freqs, fast), self.templates, save_best_model, fast))
 
-    def power_from_single_template(self, freqs: list[float], template: Template) -> DataFrame:
-        return MultiTemplateSearch([template], self.allow_negative).fit(self.obs).power(freqs, save_best_model=False)
+    def power_from_single_template(self, freqs, template: Template, fast: bool = False, save_best_model: bool = True) -> DataFrame:
+        """``power`` of one template, which need not be among the search's own."""
+        self._data()
+        return fits.best_template(self._fits(self._grid(freqs, fast), [template], save_best_model, fast))
 
     def fit_model(self, freq: float) -> DataFrame:
         """The best template's parameters of each series at one frequency."""
         self._ready()
         if not isinstance(freq, float):
             raise ValueError("freq must be a float")
-        return fits.best(self._fits(user_grid(self.obs.sparkSession, [freq]), False))
+        return fits.best(self._fits(user_grid(self.obs.sparkSession, [freq]), self.templates, False, False))
 
 
 class TemplateSearch(MultiTemplateSearch):
@@ -91,19 +128,20 @@ class TemplateSearch(MultiTemplateSearch):
 
 
 class GridTemplateSearch:
-    """The plain search on a grid of phases, with unweighted linear fits; for comparison."""
+    """The plain search over phases, with unweighted linear fits; for comparison. refine goes on from the best phases to the least."""
 
-    def __init__(self, template: Template, phases: int = 20):
-        self.template, self.phases, self.obs = template, phases, None
+    def __init__(self, template: Template, phases: int = 20, refine: bool = True):
+        self.template, self.phases, self.refine, self.obs = template, phases, refine, None
 
     def fit(self, obs: DataFrame) -> GridTemplateSearch:
         self.obs, self.stats = obs, series_stats(obs)
         return self
 
-    def power(self, freqs: list[float]) -> DataFrame:
+    def power(self, freqs) -> DataFrame:
         if self.obs is None:
             raise ValueError("call fit first")
-        return fits.slow_power(self.obs, user_grid(self.obs.sparkSession, freqs), self.template, self.stats, self.phases)
+        slow = fits.refined_slow_power if self.refine else fits.slow_power
+        return slow(self.obs, user_grid(self.obs.sparkSession, freqs), self.template, self.stats, self.phases)
 
 
 def merge_best(old: DataFrame, new: DataFrame, obs: DataFrame, stats: DataFrame, templates: list[Template]) -> DataFrame:

@@ -7,16 +7,20 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .operators import fit, grid, prepare, sums, templates
 from .operators.templates import Template
-from .sources.observations import event_observations
+from .plans import MultiTemplateSearch, TemplateSearch
+from .sources.observations import days, event_observations, observations
 
 #: The test templates, as (c, s) by harmonic.
 FIRST = Template((-0.181, -0.1, -0.020), (-0.110, 0.0, 0.030), "first")
 SECOND = Template((0.2, 0.0, 0.2), (0.2, 0.2, 0.0), "second")
 STEP, STEPS, PHASES, ONE = 0.05, 40, 50, 0.75
 DIGITS = 1e6
+#: Digits of a share at a phase that was sought.
+FITTED = 1e5
 
 
 def rounded(c: str | Column, digits: float = DIGITS) -> Column:
@@ -119,8 +123,6 @@ def m7_power_from_fit(spark, sf_dir):
 
 def _samples(spark, sf_dir) -> DataFrame:
     """A shape a series: its values in order of their number, as samples."""
-    from pyspark.sql.window import Window
-
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
     idx = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")) - 1
     return events.select(F.col("user_id").alias("template_id"), idx.alias("idx"), F.col("value").alias("val"))
@@ -171,24 +173,107 @@ def l4_slow_power(spark, sf_dir):
     return _round(fit.slow_power(obs, _grid(spark), FIRST, stats, 10), "freq", "power")
 
 
+def l3_refined_slow_power(spark, sf_dir):
+    obs, stats, _ = _data(spark, sf_dir)
+    got = fit.refined_slow_power(obs, _grid(spark), FIRST, stats)
+    return got.select("series_id", "k", rounded("freq").alias("freq"), rounded("power", 1e4).alias("power"))
+
+
 def m2_exact_power_h3(spark, sf_dir):
     obs, stats, _ = _data(spark, sf_dir)
-    return fit.exact_power(obs, _grid(spark), [FIRST], stats=stats)
+    got = fit.exact_power(obs, _grid(spark), [FIRST], stats=stats)
+    return got.select("series_id", "k", rounded("freq").alias("freq"), rounded("power", FITTED).alias("power"))
 
 
 def e6_autopower(spark, sf_dir):
     obs, stats, _ = _data(spark, sf_dir)
-    return fit.exact_power(obs, grid.grid_shape(stats), [FIRST], stats=stats).select("series_id", "k", "freq", "power")
+    got = fit.exact_power(obs, grid.grid_shape(stats), [FIRST], stats=stats)
+    return got.select("series_id", "k", rounded("freq").alias("freq"), rounded("power", FITTED).alias("power"))
+
+
+def _model(found: DataFrame) -> DataFrame:
+    """Models to the digits that two ways of finding the phase share."""
+    return found.select("series_id", F.col("ordinal").cast("long").alias("ordinal"), rounded("freq").alias("freq"), rounded("power", FITTED).alias("power"), *(rounded(x, 1e3).alias(x) for x in ("a", "b", "c", "theta")))
 
 
 def e8_best_models(spark, sf_dir):
     obs, stats, _ = _data(spark, sf_dir)
-    return fit.best(fit.exact_power(obs, grid.grid_shape(stats), [FIRST], stats=stats))
+    return _model(fit.best(fit.exact_power(obs, grid.grid_shape(stats), [FIRST], stats=stats)))
+
+
+def x2_fit_model(spark, sf_dir):
+    search = MultiTemplateSearch([FIRST, SECOND]).fit(event_observations(spark, sf_dir))
+    return _model(search.fit_model(ONE))
 
 
 def x3_multi_autopower(spark, sf_dir):
     obs, stats, _ = _data(spark, sf_dir)
-    return fit.best_template(fit.exact_power(obs, grid.grid_shape(stats), [FIRST, SECOND], stats=stats))
+    got = fit.best_template(fit.exact_power(obs, grid.grid_shape(stats), [FIRST, SECOND], stats=stats))
+    return got.select("series_id", "k", rounded("freq").alias("freq"), rounded("power", FITTED).alias("power"))
+
+
+def e8_save_best_model(spark, sf_dir):
+    """Of two given models a series, the one that is kept: the later one only where it explains strictly more."""
+    search = MultiTemplateSearch([FIRST]).fit(event_observations(spark, sf_dir))
+    search.known = [FIRST]
+    old = _params(spark, sf_dir).withColumn("ordinal", F.lit(0))
+    search.save_best_model(old)
+    search.save_best_model(old.withColumn("a", F.lit(40.0) + F.col("series_id") % 5).withColumn("b", F.lit(-0.2)))
+    kept = search.best_model.select("series_id", "a", "b")
+    search.close()
+    return kept
+
+
+def s4_fast_sums(spark, sf_dir):
+    """The sums of s1 by fast transforms."""
+    obs, stats, _ = _data(spark, sf_dir)
+    even = stats.select("series_id", F.lit(STEP).alias("df"), F.lit(1).cast("long").alias("nf0"), F.lit(STEPS).cast("long").alias("nf"))
+    got = sums.fast_sums(obs, even, 1, stats)
+    return _round(got, *got.columns[1:])
+
+
+def p9_uneven_grid(spark, sf_dir):
+    """The check of a grid whose steps grow."""
+    ids = event_observations(spark, sf_dir).select("series_id").distinct()
+    uneven = ids.crossJoin(spark.range(8).select(F.col("id").alias("k"))).withColumn("freq", F.lit(0.5) + 0.1 * F.col("k") + 0.01 * F.col("k") * F.col("k"))
+    return _round(grid.inspect_grid(uneven), "df")
+
+
+def p10_missing_errors(spark, sf_dir):
+    """Moments where every third error is missing."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    err = F.when(F.col("event_id") % 3 > 0, F.lit(1.0) + F.lit(0.25) * (F.col("event_id") % 5))
+    stats = prepare.series_stats(observations(events, "user_id", days("ts"), "value", err))
+    return _round(stats.select("series_id", "n", "wsum", "ybar", rounded("yy", 1e3).alias("yy")), "wsum", "ybar")
+
+
+def t6_reversed_samples(spark, sf_dir):
+    """Templates of shapes read backwards."""
+    backwards = Window.partitionBy("user_id").orderBy(F.desc("event_id"))
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    samples = events.select(F.col("user_id").alias("template_id"), (F.row_number().over(backwards) - 1).alias("idx"), F.col("value").alias("val"))
+    return _round(templates.from_sampled(samples, 5).withColumn("n", F.col("n").cast("long")), "c", "s")
+
+
+def _injected(spark, sf_dir, noise: float) -> DataFrame:
+    obs = event_observations(spark, sf_dir)
+    signal = 3.0 + 2.0 * templates.value_at(prepare.phase("t", F.lit(ONE)) - 0.2, FIRST)
+    return obs.withColumn("y", signal + noise * F.sin(F.col("t") * 1000.0))
+
+
+def g1_inject_signal(spark, sf_dir):
+    return _round(_injected(spark, sf_dir, 0.1).select("series_id", "t", "y"), "t", "y")
+
+
+def g4_inject_and_recover(spark, sf_dir):
+    """The model of a signal without noise, at its own frequency."""
+    return _model(TemplateSearch(FIRST).fit(_injected(spark, sf_dir, 0.0)).fit_model(ONE).params)
+
+
+def g5_folded_overlay(spark, sf_dir):
+    """Phases of the observations, with the model's curve beside them."""
+    got = fit.predict(event_observations(spark, sf_dir), _params(spark, sf_dir), FIRST)
+    return _round(got.select("series_id", prepare.phase("t", F.lit(ONE)).alias("phase"), "y", "yfit"), "phase", "yfit")
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -199,7 +284,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         p1_observations, p2_weights, p3_weighted_stats, p5_order_violations, p9_grid_check, p11_phase_fold, f1_autofrequency, f1_autofrequency_minmax_compat, s1_direct_sums, s4_covariance_matrices,
         m2_exact_power_h3, m3_floating_mean_power, m4_phase_grid_power_h3, m7_power_from_fit, m8_amplitude_offset, m9_chi2, e2_model_eval, e6_autopower, e8_best_models,
-        t1_normalise, t2_from_sampled, t3_auto_harmonics, t4_eval, g3_shifted_template, w1_best_frequency, x3_multi_autopower, x5_multi_template_max, l2_slow_chi2_grid, l4_slow_power,
+        t1_normalise, t2_from_sampled, t3_auto_harmonics, t4_eval, t6_reversed_samples, g1_inject_signal, g3_shifted_template, g4_inject_and_recover, g5_folded_overlay, w1_best_frequency, x2_fit_model, x3_multi_autopower, x5_multi_template_max,
+        l2_slow_chi2_grid, l3_refined_slow_power, l4_slow_power, p9_uneven_grid, p10_missing_errors, s4_fast_sums, e8_save_best_model,
     )
     return {f.__name__: f for f in found}
 
@@ -261,6 +347,63 @@ def _closed() -> str:
       (ss11 * yc1 * yc1 + cc11 * ys1 * ys1 - 2 * cs11 * yc1 * ys1) / (yy * (cc11 * ss11 - cs11 * cs11)) END AS power FROM cv JOIN st ON cv.series_id = st.series_id)"""
 
 
+def _definition(h: int, grid: str, name: str) -> str:
+    """name(series_id, k, freq, yy, ybar, ...): covariances and means from their definition, at the rows of grid (a relation of series_id, k, freq)."""
+    x = f"{_D(repr(2 * math.pi))} * freq * t"
+    waves = [f"{f}({x} * {j}) AS {n}{j}" for j in range(1, h + 1) for f, n in (("cos", "c"), ("sin", "s"))]
+    out = [f"sum(w * {p}{j} * {q}{k}) - sum(w * {p}{j}) * sum(w * {q}{k}) AS {p}{q}{j}{k}" for j in range(1, h + 1) for k in range(1, h + 1) for p, q in ("cc", "cs", "ss")]
+    out += [f"sum(w * yc * {p}{j}) AS y{p}{j}, sum(w * {p}{j}) AS m{p}{j}" for j in range(1, h + 1) for p in "cs"]
+    return f"""{name} AS (SELECT q.*, st.yy, st.ybar FROM (SELECT series_id, k, freq, {", ".join(out)} FROM
+      (SELECT wt.series_id, g.k, g.freq, w, yc, {", ".join(waves)} FROM wt JOIN {grid} g ON wt.series_id = g.series_id) GROUP BY series_id, k, freq) q JOIN st ON q.series_id = st.series_id)"""
+
+
+def _best_phase(t: Template, cov: str, name: str, points: int = 96) -> str:
+    """name(series_id, k, freq, power, a, b, c, theta): the best phase of a template, by a scan and parabolas through its three highest peaks."""
+    h = len(t.c)
+    turned = ", ".join(f"{_D(repr(c))} * cos({n} * th) - {_D(repr(s))} * sin({n} * th) AS a{n}, {_D(repr(c))} * sin({n} * th) + {_D(repr(s))} * cos({n} * th) AS b{n}" for n, (c, s) in enumerate(zip(t.c, t.s), 1))
+    ym = " + ".join(f"a{n} * yc{n} + b{n} * ys{n}" for n in range(1, h + 1))
+    mean = " + ".join(f"a{n} * mc{n} + b{n} * ms{n}" for n in range(1, h + 1))
+    mm = " + ".join(f"a{j} * a{k} * cc{j}{k} + 2 * a{j} * b{k} * cs{j}{k} + b{j} * b{k} * ss{j}{k}" for j in range(1, h + 1) for k in range(1, h + 1))
+    at = lambda rows: f"""(SELECT *, CASE WHEN mm > 1e-12 AND yy > 0 THEN ym * ym / (mm * yy) END AS p FROM (SELECT *, {ym} AS ym, {mm} AS mm, {mean} AS mean FROM (SELECT *, {turned} FROM {rows})))"""
+    step = repr(2 * math.pi / points)
+    parts = [
+        f"{name}_s AS (SELECT series_id, k, list(p ORDER BY i) AS l FROM {at(f'(SELECT {cov}.*, i, i * {_D(step)} AS th FROM {cov} CROSS JOIN range(0, {points}) r(i))')} GROUP BY series_id, k)",
+        f"{name}_p AS (SELECT series_id, k, l, unnest(range(1, {points + 1})) AS i FROM {name}_s)",
+        f"""{name}_0 AS (SELECT series_id, k, i, (i - 1) * {_D(step)} AS th FROM {name}_p WHERE l[i] >= l[CASE WHEN i = 1 THEN {points} ELSE i - 1 END] AND l[i] >= l[i % {points} + 1]
+          QUALIFY row_number() OVER (PARTITION BY series_id, k ORDER BY l[i] DESC, i) <= 3)""",
+    ]
+    for n in range(4):
+        d = _D(repr(2 * math.pi / points / 4**n))
+        parts.append(f"""{name}_{n + 1} AS (SELECT series_id, k, i, any_value(th0) + {d} * coalesce(greatest(-1, least(1, (max(p) FILTER (e = -1) - max(p) FILTER (e = 1)) / 2 /
+          nullif(max(p) FILTER (e = -1) - 2 * max(p) FILTER (e = 0) + max(p) FILTER (e = 1), 0))), 0) AS th
+          FROM {at(f"(SELECT {cov}.*, z.i, z.th AS th0, e, z.th + e * {d} AS th FROM {name}_{n} z JOIN {cov} ON z.series_id = {cov}.series_id AND z.k = {cov}.k CROSS JOIN (VALUES (-1), (0), (1)) v(e))")} GROUP BY series_id, k, i)""")
+    final = f"(SELECT {cov}.*, z.th FROM {cov} LEFT JOIN {name}_4 z ON z.series_id = {cov}.series_id AND z.k = {cov}.k)"
+    parts.append(f"""{name} AS (SELECT series_id, k, freq, p AS power, CASE WHEN p IS NOT NULL THEN ym / mm END AS a, CASE WHEN p IS NOT NULL THEN cos(th) END AS b, CASE WHEN p IS NOT NULL THEN ybar - ym / mm * mean END AS c,
+      CASE WHEN p IS NOT NULL THEN th - {_D(repr(2 * math.pi))} * floor(th / {_D(repr(2 * math.pi))}) END AS theta FROM {at(final)} QUALIFY row_number() OVER (PARTITION BY series_id, k ORDER BY p DESC NULLS LAST, th) = 1)""")
+    return ", ".join(parts)
+
+
+def _least_slow(t: Template, points: int = 36) -> str:
+    """ls(series_id, k, chi2): the least residuals of unweighted fits, by a scan and parabolas through its three lowest valleys, from the observations."""
+    at = lambda rows: f"""(SELECT sl.series_id, sl.k, sl.i, sl.e, any_value(th0) AS th0, sum(om * (y - a * m - c) * (y - a * m - c)) AS p FROM
+      (SELECT z.*, y, 1 / (dy * dy) AS om, {_value('t * freq - floor(t * freq) - th', t)} AS m FROM {rows} z JOIN obs ON obs.series_id = z.series_id) sl JOIN
+      (SELECT series_id, k, i, e, regr_slope(y, m) AS a, regr_intercept(y, m) AS c FROM (SELECT z.*, y, {_value('t * freq - floor(t * freq) - th', t)} AS m FROM {rows} z JOIN obs ON obs.series_id = z.series_id) GROUP BY series_id, k, i, e) co
+      ON sl.series_id = co.series_id AND sl.k = co.k AND sl.i = co.i AND sl.e = co.e GROUP BY sl.series_id, sl.k, sl.i, sl.e)"""
+    parts = [
+        f"ls_s AS (SELECT series_id, k, list(p ORDER BY i) AS l FROM {at(f'(SELECT st.series_id, k, freq, i, 0 AS e, 0 AS th0, i / {_D(points)} AS th FROM st CROSS JOIN gr CROSS JOIN range(0, {points}) r(i))')} GROUP BY series_id, k)",
+        f"ls_p AS (SELECT series_id, k, l, unnest(range(1, {points + 1})) AS i FROM ls_s)",
+        f"""ls_0 AS (SELECT ls_p.series_id, ls_p.k, freq, i, (i - 1) / {_D(points)} AS th FROM ls_p JOIN gr ON ls_p.k = gr.k WHERE l[i] <= l[CASE WHEN i = 1 THEN {points} ELSE i - 1 END] AND l[i] <= l[i % {points} + 1]
+          QUALIFY row_number() OVER (PARTITION BY ls_p.series_id, ls_p.k ORDER BY l[i], i) <= 3)""",
+    ]
+    for n in range(5):
+        d = _D(repr(1 / points / 4**n))
+        rows = f"(SELECT series_id, k, freq, i, e, th AS th0, th + e * {d} AS th FROM ls_{n} CROSS JOIN (VALUES (-1), (0), (1)) v(e))"
+        parts.append(f"""ls_{n + 1} AS (SELECT q.series_id, q.k, gr.freq, i, th FROM (SELECT series_id, k, i, any_value(th0) + {d} * coalesce(greatest(-1, least(1, (max(p) FILTER (e = -1) - max(p) FILTER (e = 1)) / 2 /
+          nullif(max(p) FILTER (e = -1) - 2 * max(p) FILTER (e = 0) + max(p) FILTER (e = 1), 0))), 0) AS th FROM {at(rows)} GROUP BY series_id, k, i) q JOIN gr ON q.k = gr.k)""")
+    parts.append(f"ls AS (SELECT series_id, k, min(p) AS chi2 FROM {at('(SELECT series_id, k, freq, i, 0 AS e, th AS th0, th FROM ls_5)')} GROUP BY series_id, k)")
+    return ", ".join(parts)
+
+
 def oracle_sql() -> dict[str, str]:
     with_ = lambda *parts: "WITH " + ", ".join((_OBS, *parts)) + " "
     fold = lambda t, f: f"({t}) * {f} - floor(({t}) * {f})"
@@ -282,7 +425,36 @@ def oracle_sql() -> dict[str, str]:
       ch AS (SELECT sl.series_id, sl.freq, sl.p, sum(om * (y - a * m - c) * (y - a * m - c)) AS chi2 FROM sl JOIN co ON sl.series_id = co.series_id AND sl.freq = co.freq AND sl.p = co.p GROUP BY ALL)"""
     s1 = ", ".join(f"{_r(c)} AS {c}" for c in ("freq", "c1", "s1", "c2", "s2", "yc1", "ys1"))
     s4 = ", ".join(f"{_r(n)} AS {n}" for n in sums.covariances(2))
+    every = "au AS (SELECT series_id, k, df * CAST(1 + k AS DOUBLE) AS freq FROM (SELECT series_id, df, unnest(range(0, CAST(floor({0} * n) AS BIGINT))) AS k FROM ({1})))".format(_D("12.5"), auto)
+    same = "ag AS (SELECT st.series_id, gr.k, gr.freq FROM st CROSS JOIN gr)"
+    single = f"a1 AS (SELECT series_id, 0 AS k, {_D(ONE)} AS freq FROM st)"
+    power = f"series_id, k, {_r('freq')} AS freq, {_r('power', '1e5')} AS power"
+    params = ", ".join(f"{_r(x, '1e3')} AS {x}" for x in ("a", "b", "c", "theta"))
+    model = f"series_id, CAST(ordinal AS BIGINT) AS ordinal, {_r('freq')} AS freq, {_r('power', '1e5')} AS power, {params}"
+    first = f"{_D(3)} + {_D(2)} * ({_value(fold('t', _D(ONE)) + ' - ' + _D('0.2'), FIRST)})"
+    kept = lambda name, a, b: f"""{name} AS (SELECT series_id, {a} AS a, 1 - sum((y - yfit) * (y - yfit) / (dy * dy)) / max(chi2_ref) AS power FROM (SELECT series_id, t, y, dy, chi2_ref,
+      {a} * ({_value(f"(t * {_D(ONE)} - sh) - floor(t * {_D(ONE)} - sh)", FIRST)}) + ybar AS yfit FROM (SELECT obs.*, ybar, chi2_ref,
+      (CASE WHEN obs.series_id % 2 = 0 THEN acos({_D(b)}) ELSE {_D(repr(2 * math.pi))} - acos({_D(b)}) END) / {_D(repr(2 * math.pi))} AS sh FROM obs JOIN st ON obs.series_id = st.series_id)) GROUP BY series_id)"""
     return {
+        "m2_exact_power_h3": with_(same, _definition(3, "ag", "cq"), _best_phase(FIRST, "cq", "f1")) + f"SELECT {power} FROM f1",
+        "e6_autopower": with_(every, _definition(3, "au", "cq"), _best_phase(FIRST, "cq", "f1")) + f"SELECT {power} FROM f1",
+        "e8_best_models": with_(every, _definition(3, "au", "cq"), _best_phase(FIRST, "cq", "f1")) + f"SELECT {model} FROM (SELECT *, 0 AS ordinal FROM f1 QUALIFY row_number() OVER (PARTITION BY series_id ORDER BY power DESC NULLS LAST, freq) = 1)",
+        "x2_fit_model": with_(single, _definition(3, "a1", "cq"), _best_phase(FIRST, "cq", "f1"), _best_phase(SECOND, "cq", "f2"))
+        + f"SELECT {model} FROM (SELECT * FROM (SELECT *, 0 AS ordinal FROM f1 UNION ALL SELECT *, 1 FROM f2) QUALIFY row_number() OVER (PARTITION BY series_id ORDER BY power DESC NULLS LAST, ordinal) = 1)",
+        "x3_multi_autopower": with_(every, _definition(3, "au", "cq"), _best_phase(FIRST, "cq", "f1"), _best_phase(SECOND, "cq", "f2"))
+        + f"SELECT {power} FROM (SELECT f1.series_id, f1.k, f1.freq, greatest(f1.power, f2.power) AS power FROM f1 JOIN f2 ON f1.series_id = f2.series_id AND f1.k = f2.k)",
+        "e8_save_best_model": with_(kept("o", f"({_D(50)} + CAST(series_id % 7 AS DOUBLE))", "0.3"), kept("q", f"({_D(40)} + CAST(series_id % 5 AS DOUBLE))", "-0.2"))
+        + f"SELECT o.series_id, CASE WHEN q.power > o.power THEN q.a ELSE o.a END AS a, CASE WHEN q.power > o.power THEN {_D('-0.2')} ELSE {_D('0.3')} END AS b FROM o JOIN q ON o.series_id = q.series_id",
+        "l3_refined_slow_power": with_(_least_slow(FIRST)) + f"SELECT ls.series_id, ls.k, {_r('freq')} AS freq, {_r('1 - chi2 / chi2_ref', '1e4')} AS power FROM ls JOIN st ON ls.series_id = st.series_id JOIN gr ON ls.k = gr.k",
+        "s4_fast_sums": with_(_sums(1)) + f"SELECT series_id, {s1} FROM su",
+        "p9_uneven_grid": f"""SELECT series_id, CAST(8 AS BIGINT) AS nf, {_r(_D('0.61') + ' - ' + _D('0.5'))} AS df, CAST(floor({_D('0.5')} / ({_D('0.61')} - {_D('0.5')}) + {_D('0.5')}) AS BIGINT) AS dnf, false AS regular FROM (SELECT DISTINCT user_id AS series_id FROM events)""",
+        "p10_missing_errors": f"""WITH x AS (SELECT user_id AS series_id, value AS y, CASE WHEN event_id % 3 > 0 THEN {_D(1)} + {_D('0.25')} * CAST(event_id % 5 AS DOUBLE) ELSE {_D(1)} END AS dy FROM events WHERE ts IS NOT NULL AND value IS NOT NULL),
+          m AS (SELECT series_id, count(*) AS n, sum(1 / (dy * dy)) AS wsum, sum(y / (dy * dy)) / sum(1 / (dy * dy)) AS ybar FROM x GROUP BY series_id)
+          SELECT m.series_id, any_value(n) AS n, {_r('any_value(wsum)')} AS wsum, {_r('any_value(ybar)')} AS ybar, {_r('sum((y - ybar) * (y - ybar) / (dy * dy)) / any_value(wsum)', '1e3')} AS yy FROM x JOIN m ON x.series_id = m.series_id GROUP BY m.series_id""",
+        "t6_reversed_samples": f"WITH {sam.replace('ORDER BY event_id', 'ORDER BY event_id DESC')}, {fou} SELECT template_id, n, {_r('c / nn')} AS c, {_r('s / nn')} AS s FROM (SELECT *, sqrt(sum(c * c + s * s) OVER (PARTITION BY template_id)) AS nn FROM fo WHERE n <= 5)",
+        "g1_inject_signal": with_() + f"SELECT series_id, {_r('t')} AS t, {_r(f'{first} + {_D(0.1)} * sin(t * {_D(1000)})')} AS y FROM obs",
+        "g4_inject_and_recover": with_() + f"SELECT series_id, CAST(0 AS BIGINT) AS ordinal, {_D(ONE)} AS freq, {_D(1)} AS power, {_D(2)} AS a, {_r(f'cos({_D(repr(0.4 * math.pi))})', '1e3')} AS b, {_D(3)} AS c, {_r(_D(repr(0.4 * math.pi)), '1e3')} AS theta FROM st",
+        "g5_folded_overlay": with_(pred) + f"SELECT series_id, {_r(fold('t', _D(ONE)))} AS phase, y, {_r('yfit')} AS yfit FROM pr",
         "p1_observations": with_() + f"SELECT series_id, {_r('t')} AS t, y, dy FROM obs",
         "p2_weights": with_() + f"SELECT series_id, {_r('t')} AS t, {_r('w')} AS w, {_r('yc')} AS yc FROM wt",
         "p3_weighted_stats": with_() + f"SELECT series_id, n, {', '.join(f'{_r(c)} AS {c}' for c in ('tmin', 'tmax', 'ybar'))}, {_r('yy', '1e3')} AS yy, {_r('chi2_ref', '1e3')} AS chi2_ref FROM st",

@@ -1,17 +1,20 @@
-"""Observations: series_id, t (days), y, dy, all double but the id."""
+"""Observations: series_id (of any type; integers become long), t (days), y, dy, all double but the id."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def observations(df: DataFrame, series: str | Column, t: str | Column, y: str | Column, dy: str | Column | None = None) -> DataFrame:
-    """Rows without t or y are dropped; a missing dy counts as 1."""
+    """Rows without id, t or y are dropped, and those whose dy is zero or no number, as they have no weight; a missing dy counts as 1."""
     col = lambda c: F.col(c) if isinstance(c, str) else c
     err = F.lit(1.0) if dy is None else F.coalesce(col(dy).cast("double"), F.lit(1.0))
-    out = df.select(col(series).cast("long").alias("series_id"), col(t).cast("double").alias("t"), col(y).cast("double").alias("y"), err.alias("dy"))
-    return out.where("t is not null and y is not null and not isnan(t) and not isnan(y)")
+    key = df.select(col(series).alias("series_id")).schema[0].dataType
+    own = col(series).cast("long") if isinstance(key, T.IntegralType) else col(series)
+    out = df.select(own.alias("series_id"), col(t).cast("double").alias("t"), col(y).cast("double").alias("y"), err.alias("dy"))
+    return out.where("series_id is not null and t is not null and y is not null and not isnan(t) and not isnan(y) and dy <> 0 and not isnan(dy)")
 
 
 def days(ts: str, origin: str = "2024-01-01") -> Column:
