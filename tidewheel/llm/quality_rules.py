@@ -15,6 +15,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import unused
+
 #: What separates words, and the symbols that are counted.
 SPACE = r"[\x20\x09-\x0D]+"
 SPACE_CHARS = " \t\n\x0b\x0c\r"
@@ -61,33 +63,37 @@ COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
 
 def measure(docs: DataFrame) -> DataFrame:
     """docs(text, ...) with the counts of COUNTS, all long."""
-    own = [c for c in docs.columns if c not in COUNTS]
-    t = docs.select(*own, F.coalesce("text", F.lit("")).alias("__t"))
+    own = [c for c in docs.columns if c.lower() not in COUNTS]
+    text, words, lines, count, hashes, sorted_, size, places = unused([*own, *COUNTS], "t", "w", "l", "n", "h", "s", "m", "p")
+    t = docs.select(*own, F.coalesce("text", F.lit("")).alias(text))
     stop = sorted({w for words in STOP_WORDS.values() for w in words})
-    t = t.select("*", F.array_remove(F.split("__t", SPACE), "").alias("__w"), F.filter(F.split("__t", "\n"), lambda x: F.btrim(x, F.lit(SPACE_CHARS)) != "").alias("__l"))
+    t = t.select("*", F.array_remove(F.split(text, SPACE), "").alias(words), F.filter(F.split(text, "\n"), lambda x: F.btrim(x, F.lit(SPACE_CHARS)) != "").alias(lines))
     t = t.select(
         "*",
-        F.size("__w").alias("__n"),
-        F.when(F.size("__w") > WINDOW, F.transform(F.sequence(F.lit(1), F.size("__w") - (WINDOW - 1)), lambda i: F.xxhash64(F.slice("__w", i, WINDOW)))).alias("__h"),
+        F.size(words).alias(count),
+        F.when(F.size(words) > WINDOW, F.transform(words, lambda w: F.xxhash64(w))).alias(hashes),
     )
+    # A window is hashed by the hashes of its words.
+    window = F.transform(F.sequence(F.lit(1), F.col(count) - (WINDOW - 1)), lambda i: F.xxhash64(F.slice(hashes, i, WINDOW)))
+    t = t.withColumn(hashes, F.when(F.col(hashes).isNotNull(), window))
     # Only texts in which some window repeats pay for the sort that finds where.
-    repeats = F.size(F.array_distinct("__h")) < F.size("__h")
-    t = t.select("*", F.when(repeats, F.array_sort(F.transform("__h", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))).alias("__s"))
-    t = t.drop("__h").withColumn("__m", F.size("__s"))
-    at = lambda k: F.get("__s", k)["h"]
-    found = F.filter("__s", lambda x, k: x["h"].eqNullSafe(at(k - 1)) | x["h"].eqNullSafe(at(k + 1)))
-    t = t.withColumn("__p", F.when(F.col("__m") > 0, F.array_sort(F.transform(found, lambda x: x["i"]))))
+    repeats = F.size(F.array_distinct(hashes)) < F.size(hashes)
+    t = t.select("*", F.when(repeats, F.array_sort(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))).alias(sorted_))
+    t = t.drop(hashes).withColumn(size, F.size(sorted_))
+    at = lambda k: F.get(sorted_, k)["h"]
+    found = F.filter(sorted_, lambda x, k: x["h"].eqNullSafe(at(k - 1)) | x["h"].eqNullSafe(at(k + 1)))
+    t = t.withColumn(places, F.when(F.col(size) > 0, F.array_sort(F.transform(found, lambda x: x["i"]))))
     step = lambda acc, p: F.struct((p + WINDOW).alias("end"), (acc["n"] + WINDOW - F.greatest(acc["end"] - p, F.lit(0))).alias("n"))
-    covered = F.aggregate("__p", F.struct(F.lit(0).alias("end"), F.lit(0).alias("n")), step, lambda acc: acc["n"])
-    lower = F.transform("__w", lambda w: F.lower(w))
+    covered = F.aggregate(places, F.struct(F.lit(0).alias("end"), F.lit(0).alias("n")), step, lambda acc: acc["n"])
+    lower = F.transform(words, lambda w: F.lower(w))
     return t.select(
         *own,
-        F.col("__n").cast("long").alias("n_words"),
-        F.length(F.translate("__t", SPACE_CHARS, "")).cast("long").alias("word_chars"),
-        (F.length("__t") - F.length(F.translate("__t", SYMBOLS, ""))).cast("long").alias("n_symbols"),
-        (F.size("__l") - F.size(F.array_distinct("__l"))).cast("long").alias("n_dup_lines"),
+        F.col(count).cast("long").alias("n_words"),
+        F.length(F.translate(text, SPACE_CHARS, "")).cast("long").alias("word_chars"),
+        (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long").alias("n_symbols"),
+        (F.size(lines) - F.size(F.array_distinct(lines))).cast("long").alias("n_dup_lines"),
         F.coalesce(covered, F.lit(0)).cast("long").alias("n_repeat_words"),
-        F.size("__l").cast("long").alias("n_lines"),
+        F.size(lines).cast("long").alias("n_lines"),
         F.size(F.filter(lower, lambda w: w.isin(stop))).cast("long").alias("n_stop_words"),
     )
 
@@ -106,7 +112,7 @@ def verdict(rules: tuple[Rule, ...] = RULES) -> Column:
 
 def apply_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """docs with COUNTS, base_failed, kept and failed (names of the rules against the document)."""
-    out = measure(docs.drop("base_failed", "kept", "failed"))
+    out = measure(docs.select(*(c for c in docs.columns if c.lower() not in ("base_failed", "kept", "failed"))))
     failed = F.array(*(F.when(~r.passes(), F.lit(r.name)) for r in rules))
     return out.select("*", base_failed().alias("base_failed"), verdict(rules).alias("kept"), F.filter(failed, lambda x: x.isNotNull()).alias("failed"))
 
@@ -114,8 +120,9 @@ def apply_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
 def filter_documents(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """The documents that every rule keeps, with their own columns."""
     # Not a filter: the optimiser would push it, with a copy of every count in it, below the projections.
-    one = F.array(F.struct(*(F.col(c) for c in docs.columns)))
-    return apply_rules(docs, rules).select(F.inline(F.when(F.col("kept"), one)))
+    (whole,) = unused([*docs.columns, *COUNTS], "row")
+    found = apply_rules(docs.select("text", F.struct(*(F.col(c) for c in docs.columns)).alias(whole)), rules)
+    return found.select(F.inline(F.when(F.col("kept"), F.array(whole))))
 
 
 def oracle() -> str:
