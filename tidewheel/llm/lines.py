@@ -30,6 +30,7 @@ from .common import GOLDEN, U64, Scratch, map_arrow, mix, partitions, unused
 from .links import PACKED, SKETCHES, Dealer, key_of, similarity_components, size_class, sketch
 from .quality_rules import SPACE_CHARS
 
+#: Characters of a shingle, which ``grams_of`` puts together from two pairs and one more.
 SHINGLE = 5
 NUM, DEN = 80, 100
 BINS, BAND = 174, 6
@@ -40,7 +41,7 @@ CHUNK = 1 << 16
 #: Hashes of lines that a task remembers, so that it signs copies once.
 SEEN = 1_000_000
 
-_PLACE = mix(np.arange(100, 100 + SHINGLE, dtype=np.uint64)) | U64(1)
+_PLACE = mix(np.arange(100, 103, dtype=np.uint64)) | U64(1)
 _SALTS = mix(np.arange(1, 9, dtype=np.uint64) * GOLDEN) | U64(1)
 _BANDS = mix(np.arange(500, 500 + BAND, dtype=np.uint64)) | U64(1)
 
@@ -57,9 +58,9 @@ def grams_of(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """(shingle hashes of all lines one after the other, number of shingles of each line), repeated ones included."""
     sizes = np.array([len(x) for x in lines], np.int64)
     padded = np.frombuffer("".join(x + "\0" * SHINGLE for x in lines).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
-    grams = np.zeros(len(padded) - SHINGLE + 1, np.uint64)
-    for k in range(SHINGLE):
-        grams += padded[k : k + len(grams)] * _PLACE[k]
+    pairs = padded[:-1] * _PLACE[0] + padded[1:]
+    fours = pairs[:-2] * _PLACE[1] + pairs[2:]
+    grams = fours[:-1] * _PLACE[2] + padded[4:]
     starts = np.cumsum(sizes + SHINGLE) - (sizes + SHINGLE)
     counts = np.maximum(sizes - SHINGLE + 1, 1)
     at = np.repeat(starts - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
@@ -71,7 +72,7 @@ def once(grams: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     line = np.repeat(np.arange(len(counts), dtype=np.uint64), counts)
     own = np.sort((line << U64(48)) | (grams >> U64(16)))
     own = own[np.concatenate([[True], own[1:] != own[:-1]])]
-    return mix(own & U64((1 << 48) - 1)), np.bincount((own >> U64(48)).astype(np.int64), minlength=len(counts))
+    return own << U64(16), np.bincount((own >> U64(48)).astype(np.int64), minlength=len(counts))
 
 
 def minhash(grams: np.ndarray, counts: np.ndarray, draws: int) -> np.ndarray:
@@ -208,6 +209,7 @@ def dedupe(docs: DataFrame, num: int = NUM, den: int = DEN) -> DataFrame:
     every = texts.select("doc_id", "row", F.posexplode(F.split("text", "\n")).alias("no", "line")).where(F.btrim("line", F.lit(SPACE_CHARS)) != "")
     lines = scratch.keep(every.select(F.xxhash64("line").alias("id"), F.struct(F.col("doc_id").alias("doc"), "row", "no").alias("at")))
     exact = scratch.keep(lines.groupBy("id").agg(F.min("at").alias("first"), F.count("*").alias("n")))
+    scratch.sweep()
     fetched: list[DataFrame] = []
 
     def sketches_of(keys: DataFrame) -> DataFrame:
@@ -219,9 +221,11 @@ def dedupe(docs: DataFrame, num: int = NUM, den: int = DEN) -> DataFrame:
         return fetched[0].select("id", "payload", key_of("id").alias("key")).join(wanted, "key").select("g", "id", "payload")
 
     labels = similarity_components(_packed(texts, buckets), buckets, sketches_of, payload_of, line_sets, num, den, scratch)
-    classes = exact.join(labels, "id", "left").select("id", "first", "n", F.coalesce("component", "id").alias("c"))
-    keepers = classes.groupBy("c").agg(F.min("first").alias("keeper"), F.sum("n").alias("total")).where("total > 1").select("c", "keeper")
-    repeated = scratch.keep(classes.join(keepers, "c").select("id", "keeper"))
+    labels = scratch.keep(labels, True)
+    similar = scratch.keep(exact.join(labels, "id").select("id", "first", "component"), True)
+    keepers = similar.groupBy("component").agg(F.min("first").alias("keeper"))
+    alone = exact.where("n > 1").join(labels, "id", "left_anti").select("id", F.col("first").alias("keeper"))
+    repeated = scratch.keep(similar.join(keepers, "component").select("id", "keeper").union(alone))
     removed = lines.join(repeated, "id").where("at <> keeper").select("at.*").groupBy("doc", "row").agg(F.collect_set("no").alias("no"))
     doc, at = unused([*docs.columns, gone], "doc", "at")
     removed = scratch.keep(removed).select(F.col("doc").alias(doc), F.col("row").alias(at), F.col("no").alias(gone)).hint("shuffle_hash")
