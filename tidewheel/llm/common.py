@@ -6,6 +6,8 @@ Every operator reads its rows through Spark and keeps intermediate tables in the
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import gc
 import tempfile
 import uuid
@@ -72,6 +74,9 @@ class Scratch:
         df.write.option("compression", "zstd").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch = path
+        if not small:
+            del df
+            self.sweep()
         return out
 
     def drop(self, *tables: DataFrame) -> None:
@@ -99,9 +104,29 @@ def parquet_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterable[pa.RecordBatch]], schema: str) -> DataFrame:
+#: Functions cached a worker process; Spark gives a worker tasks of any operator, one after the other.
+CACHES: list = []
+
+
+def trim() -> None:
+    """Gives free memory back to the system, which a worker that waits for its next task would hold."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library than glibc
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterable[pa.RecordBatch]], schema, cached: bool = False) -> DataFrame:
+    """df.mapInArrow; only tasks of functions that say so keep what earlier tasks of their worker have cached."""
     arrow(df.sparkSession)
-    return df.mapInArrow(fn, schema)
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not cached:
+            for cache in CACHES:
+                cache.cache_clear()
+        yield from fn(batches)
+        trim()
+
+    return df.mapInArrow(task, schema)
 
 
 def unused(columns: list[str], *names: str) -> list[str]:

@@ -187,7 +187,8 @@ def set_hash(items: np.ndarray) -> int:
 def link_components(docs: DataFrame, words: int = WORDS, num: int = NUM, den: int = DEN) -> DataFrame:
     """(doc_id, n_shingles, component_id): component_id is the smallest doc_id that links reach."""
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("row"))
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    docs = docs.select("doc_id", "text", F.xxhash64("text").alias("row"))
     buckets = 4 * partitions(spark)
 
     def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -215,7 +216,7 @@ def link_components(docs: DataFrame, words: int = WORDS, num: int = NUM, den: in
                         yield dealer.rows()
         yield dealer.rows()
 
-    table = scratch.keep(map_arrow(docs, members, "doc_id long, row long, n_shingles long, id long, sketch binary"))
+    table = scratch.keep(map_arrow(docs, members, f"doc_id {kind}, row long, n_shingles long, id long, sketch binary"))
     linked = table.where("id is not null")
     firsts = linked.groupBy("id").agg(F.min(F.struct("doc_id", "row")).alias("first"), F.count("*").alias("copies"))
 

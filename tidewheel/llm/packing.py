@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from .chunks import ChunkMemo, gather, listed, split
-from .common import Scratch, map_arrow, utf8
+from .common import CACHES, Scratch, map_arrow, utf8
 
 CAPACITY = 4096
 END_ID = 1
@@ -113,11 +113,13 @@ def word_tokenizer(path: str) -> WordTokenizer:
     return WordTokenizer(path)
 
 
+CACHES.append(word_tokenizer)
+
+
 def tokenize(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, part, nth[, ids]): nth counts the pieces of this length in the task before."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, part int, nth long" + ", ids array<long>" * with_ids
-    id_type = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -125,20 +127,19 @@ def tokenize(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end
         words, part, seen = word_tokenizer(tokenizer_path), TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
         end = np.array([end_id], np.uint32)
         for batch in batches:
-            ids = batch.column(0).to_pylist()
             rows: list[tuple] = []
-            for doc, tokens in zip(ids, words.encode(utf8(batch.column(1)))):
+            for doc, tokens in enumerate(words.encode(utf8(batch.column(1)))):
                 tokens = np.concatenate([tokens, end]).astype("<u4")
                 for piece, start in enumerate(range(0, len(tokens), capacity)):
                     own = tokens[start : start + capacity]
                     rows.append((doc, piece, start, len(own), zlib.crc32(own.tobytes()), part, int(seen[len(own)]), *([own.astype(np.int64)] if with_ids else [])))
                     seen[len(own)] += 1
-            types = [id_type, pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int64())]
+            types = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int64())]
             names = ["doc_id", "piece", "start", "length", "ids_crc32", "part", "nth", "ids"]
-            columns = list(zip(*rows)) or [()] * (7 + with_ids)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names[: len(columns)])
+            at, *columns = list(zip(*rows)) or [()] * (7 + with_ids)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), *(pa.array(c, t) for c, t in zip(columns, types))], names[: len(columns) + 1])
 
-    return map_arrow(docs.select("doc_id", "text"), run, schema)
+    return map_arrow(docs.select("doc_id", "text"), run, schema, cached=True)
 
 
 def fullest(counts: dict[int, int], room: int) -> list[tuple[int, int]]:
@@ -220,4 +221,4 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id:
             own = [batch.column(n) for n in names]
             yield pa.RecordBatch.from_arrays([*own, pa.array(where["sequence"][at] + rank - first), pa.array(where["offset"][at]), *([batch.column("ids")] if with_ids else [])], out.names)
 
-    return ranked.mapInArrow(put, out)
+    return map_arrow(ranked, put, out)

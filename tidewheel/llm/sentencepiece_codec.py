@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .chunks import ChunkMemo, gather, listed
-from .common import map_arrow
+from .common import CACHES, map_arrow
 
 #: Fixed values of the format: the marker, and the kinds of pieces and models.
 MARK = "▁"
@@ -239,6 +239,9 @@ def codec_of(data: bytes) -> Codec:
     return Codec(data)
 
 
+CACHES.append(codec_of)
+
+
 def encode_documents(docs: DataFrame, model_path: str, decode: bool = True) -> DataFrame:
     """(doc_id, ids array<int>, decoded): decoded is the text that the ids give back, null without ``decode``."""
     model = _model(docs, model_path)
@@ -252,7 +255,7 @@ def encode_documents(docs: DataFrame, model_path: str, decode: bool = True) -> D
             texts = pa.array([codec.decode(x) for x in found] if decode else [None] * len(found), pa.string())
             yield pa.RecordBatch.from_arrays([batch.column(0), lists, texts], ["doc_id", "ids", "decoded"])
 
-    return map_arrow(docs.select("doc_id", "text"), run, f"doc_id {kind}, ids array<int>, decoded string")
+    return map_arrow(docs.select("doc_id", "text"), run, f"doc_id {kind}, ids array<int>, decoded string", cached=True)
 
 
 def digest(docs: DataFrame, model_path: str) -> DataFrame:
@@ -269,7 +272,7 @@ def digest(docs: DataFrame, model_path: str) -> DataFrame:
             crc = [zlib.crc32(x.astype("<u4").tobytes()) for x in found]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in found], pa.int64()), pa.array(crc, pa.int64()), pa.array(same, pa.bool_())], ["doc_id", "n_tokens", "ids_crc32", "round_trip"])
 
-    return map_arrow(docs.select("doc_id", "text"), run, f"doc_id {kind}, n_tokens long, ids_crc32 long, round_trip boolean")
+    return map_arrow(docs.select("doc_id", "text"), run, f"doc_id {kind}, n_tokens long, ids_crc32 long, round_trip boolean", cached=True)
 
 
 def _model(docs: DataFrame, path: str) -> bytes:
