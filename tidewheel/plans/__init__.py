@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..operators import fit as fits
 from ..operators.grid import autofrequency, even_grid, grid_shape, user_grid
 from ..operators.prepare import series_stats
+from ..operators.storage import settled
 from ..operators.templates import Template
 
 
@@ -33,7 +34,8 @@ class TemplateModel:
 class MultiTemplateSearch:
     """Searches all series of a table for the period at which the best of some templates fits best.
 
-    Fits that a best model is taken from are persisted, so that power and model are computed once; ``close`` lets go of them.
+    Fits that a best model is taken from are persisted, so that power and model are computed once; ``close`` lets go of
+    them. The best model itself is a written table, so searches that follow each other neither repeat its fits nor grow its plan.
     """
 
     def __init__(self, templates: list[Template] | None = None, allow_negative_amplitudes: bool = True):
@@ -74,7 +76,7 @@ class MultiTemplateSearch:
         """new: (series_id, ordinal, freq, a, b, c, sgn, ...) replaces the best model of each series that it explains strictly better."""
         if self.best_model is not None and not overwrite:
             new = merge_best(self.best_model, new, self.obs, self.stats, self.known)
-        self.best_model = self._hold(new)
+        self.best_model = settled(new)
 
     def _fits(self, grid: DataFrame, templates: list[Template], save: bool, fast: bool) -> DataFrame:
         found = fits.exact_power(self.obs, grid, templates, self.allow_negative, self.stats, fast)
