@@ -211,22 +211,29 @@ def repeated_starts(docs: DataFrame, scratch: Scratch) -> DataFrame:
 
 
 def dedupe(docs: DataFrame, with_kept: bool = True) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256[, kept binary, spans array<struct<start, end>>])."""
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept_bytes, kept_chars, text[, kept binary, spans array<struct<start, end>>]).
+
+    text is what is left, with a replacement character where a cut goes through a character; kept are its bytes.
+    """
     scratch = Scratch(docs.sparkSession)
-    kind = docs.schema["doc_id"].dataType.simpleString()
     docs = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("row"))
     spans = scratch.keep(repeated_starts(docs, scratch).groupBy("row").agg(F.collect_set(F.struct("start", "n")).alias("found")))
     scratch.sweep()
-    both = docs.join(spans, "row", "left").select("doc_id", "text", "found")
-    schema = f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary, spans array<struct<start:long,end:long>>" * with_kept
-    names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "spans"]
+    both = docs.join(spans.hint("shuffle_hash"), "row", "left").select("doc_id", "text", "found")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    schema = f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_bytes long, kept_chars long, text string" + ", kept binary, spans array<struct<start:long,end:long>>" * with_kept
+    names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_bytes", "kept_chars", "text", "kept", "spans"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = utf8(batch.column(1))
             gone = [removed(len(t), s) for t, s in zip(texts, batch.column(2).to_pylist())]
             kept = [cut(t, s) for t, s in zip(texts, gone)]
-            columns = [batch.column(0), pa.array([len(t) for t in texts], pa.int64()), pa.array([len(t) - len(k) for t, k in zip(texts, kept)], pa.int64()), pa.array([len(s) for s in gone], pa.int64()), pa.array([hashlib.sha256(k).hexdigest() for k in kept], pa.string())]
+            left = [k.decode("utf-8", "replace") for k in kept]
+            sizes = [len(k) for k in kept]
+            numbers = ([len(t) for t in texts], [len(t) - n for t, n in zip(texts, sizes)], [len(s) for s in gone])
+            columns = [batch.column(0), *(pa.array(x, pa.int64()) for x in numbers), pa.array([hashlib.sha256(k).hexdigest() for k in kept], pa.string())]
+            columns += [pa.array(sizes, pa.int64()), pa.array([len(x) for x in left], pa.int64()), pa.array(left, pa.string())]
             if with_kept:
                 span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
                 columns += [pa.array(kept, pa.binary()), pa.array([[{"start": a, "end": b} for a, b in s] for s in gone], span)]
