@@ -9,7 +9,6 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import gc
-import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
@@ -19,6 +18,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.storage import shared_dir
+
 #: Rows and bytes of an Arrow batch: documents may be long, so a batch stays at some MB.
 BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
 
@@ -37,18 +38,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where the session names none (local tests)."""
-    sc = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-    if not named:
-        named = sc.getCheckpointDir()
-    if not named:
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="tidewheel-"))
-        named = sc.getCheckpointDir()
-    return named
-
-
 class Scratch:
     """Tables written to the shared folder, which cut lineage and survive lost executors."""
 
@@ -68,10 +57,12 @@ class Scratch:
         return f"{self.root}/{uuid.uuid4().hex}"
 
     def keep(self, df: DataFrame, small: bool = False) -> DataFrame:
-        """Write df, read it again. A table that is small beside the input goes to an eighth of the files."""
-        path = self.new()
-        df = df.coalesce(max(8, partitions(self.spark) // 8)) if small else df
-        df.write.option("compression", "zstd").parquet(path)
+        """Write df, read it again. It goes to a third as many files as there are shuffle partitions, to an eighth if it is small beside the input.
+
+        Every file costs a store some calls, and a local one some processes, which outweighs the tasks' start.
+        """
+        path, n = self.new(), partitions(self.spark)
+        df.coalesce(max(8, n // 8) if small else max(12, n // 3)).write.option("compression", "zstd").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch = path
         if not small:

@@ -225,10 +225,10 @@ def dedupe(docs: DataFrame, num: int = NUM, den: int = DEN) -> DataFrame:
     similar = scratch.keep(exact.join(labels, "id").select("id", "first", "component"), True)
     keepers = similar.groupBy("component").agg(F.min("first").alias("keeper"))
     alone = exact.where("n > 1").join(labels, "id", "left_anti").select("id", F.col("first").alias("keeper"))
-    repeated = scratch.keep(similar.join(keepers, "component").select("id", "keeper").union(alone))
+    repeated = scratch.keep(similar.join(keepers, "component").select("id", "keeper").union(alone), True)
     removed = lines.join(repeated, "id").where("at <> keeper").select("at.*").groupBy("doc", "row").agg(F.collect_set("no").alias("no"))
     doc, at = unused([*docs.columns, gone], "doc", "at")
-    removed = scratch.keep(removed).select(F.col("doc").alias(doc), F.col("row").alias(at), F.col("no").alias(gone)).hint("shuffle_hash")
+    removed = scratch.keep(removed, True).select(F.col("doc").alias(doc), F.col("row").alias(at), F.col("no").alias(gone)).hint("shuffle_hash")
     scratch.drop(*fetched)
     found = docs.join(removed, F.col("doc_id").eqNullSafe(F.col(doc)) & (F.col(row) == F.col(at)), "left")
     parts = F.when(F.col("text").isNotNull(), F.split("text", "\n")).alias(split)

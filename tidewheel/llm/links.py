@@ -414,33 +414,33 @@ def similarity_components(packed: DataFrame, buckets: int, sketches_of: Callable
     found = scratch.keep(candidates(packed, buckets, num, den))
     scratch.sweep()
     pairs, hot = found.where("kind = 0").select("a", "b").distinct(), found.where("kind = 1").select(F.col("a").alias("g"), F.col("b").alias("key"))
-    pairs = scratch.keep(pairs)
+    pairs = scratch.keep(pairs, True)
     keys = pairs.select(F.explode(F.array("a", "b")).alias("key")).union(hot.select("key")).distinct()
     sketches = scratch.keep(sketches_of(keys))
     scratch.sweep()
-    near = scratch.keep(plausible(pairs, sketches, num, den))
+    near = scratch.keep(plausible(pairs, sketches, num, den), True)
     if not hot.isEmpty():
         compare, weight = by_sketch(num, den), F.length("sketch").cast("long").alias("weight")
         # Each key in its largest group: as most of a cluster's groups hold the same keys, this joins nearly all.
         sizes = hot.groupBy("g").agg(F.count("*").alias("m"))
         largest = hot.join(sizes, "g").groupBy("key").agg(F.max(F.struct("m", "g")).alias("top")).select(F.col("top.g").alias("g"), "key")
-        once = scratch.keep(largest.join(sketches, "key").select("g", F.col("key").alias("id"), F.col("key").alias("label"), "size", "sketch", weight))
+        once = scratch.keep(largest.join(sketches, "key").select("g", F.col("key").alias("id"), F.col("key").alias("label"), "size", "sketch", weight), True)
         links = near.union(joined(once, compare, SKETCH_BLOCK, scratch)[0])
-        labels = scratch.keep(components(links, scratch))
+        labels = scratch.keep(components(links, scratch), True)
         # One exchange brings a key's label to its places in all groups.
         none = F.lit(None).cast("long")
         places = hot.select("g", "key", none.alias("component")).union(labels.select(none, "node", "component"))
         known = places.select("g", "key", F.coalesce(F.max("component").over(Window.partitionBy("key")), "key").alias("label")).where("g is not null")
-        known = scratch.keep(known)
+        known = scratch.keep(known, True)
         apart = known.groupBy("g").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("g")
         rows = known.join(apart, "g", "left_semi").join(sketches, "key").select("g", F.col("key").alias("id"), "label", "size", "sketch", weight)
-        rows = scratch.keep(rows)
+        rows = scratch.keep(rows, True)
         more = joined(rows, compare, SKETCH_BLOCK, scratch)[0]
         if not more.isEmpty():
-            labels = scratch.keep(components(labels.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more), scratch))
+            labels = scratch.keep(components(labels.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more), scratch), True)
         scratch.drop(once, known, rows)
     else:
-        labels = scratch.keep(components(near, scratch))
+        labels = scratch.keep(components(near, scratch), True)
     scratch.drop(found, pairs, sketches, near)
     items = payload_of(labels.select(F.col("node").alias("key"), F.col("component").alias("g")))
     items = scratch.keep(items.select("g", "id", F.col("id").alias("label"), F.length("payload").cast("long").alias("weight"), "payload"))
