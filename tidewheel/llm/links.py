@@ -6,7 +6,7 @@ hash's upper ``KEY_BITS``: signatures carry keys only, and the few items that sh
 1. Signatures are dealt to tasks by packed rows. A signature that up to ``SMALL_GROUP`` keys share gives all their pairs.
 2. Sketches, small counts of a set's elements, turn away pairs that cannot be similar enough.
 3. The keys of a larger group are compared by sketches in blocks of bounded size, and only links that join what was
-   apart come out, one less than there are keys at most: first in the largest group of each key, then in all groups
+   apart come out, fewer than there are keys in a block: first in the largest group of each key, then in all groups
    whose keys are not joined by then.
 4. What plausible pairs join is a cluster. Whole sets meet once, cluster by cluster, and are compared exactly.
 
