@@ -219,3 +219,25 @@ def test_search_probes_some_cells_and_reranks_some_rows(spark):
 def test_kept_sha_of_an_empty_text(spark):
     got = lines.digest(lines.dedupe(spark.createDataFrame([(1, None), (2, "")], "doc_id long, text string"))).collect()
     assert {r["kept_sha256"] for r in got} == {hashlib.sha256(b"").hexdigest()}
+
+
+def test_refinement_of_buckets_against_a_count():
+    from collections import Counter
+
+    rng = np.random.default_rng(6)
+    for length, letters, size in ((400, 1, 1500), (400, 2, 3000), (17, 3, 400), (33, 2, 700), (400, 200, 2000)):
+        data = rng.integers(0, letters, size, dtype=np.uint8)
+        data[size // 2 : size // 2 + length + 30] = data[: length + 30] if size // 2 > length + 30 else data[size // 2 : size // 2 + length + 30]
+        starts = np.sort(rng.choice(size - length + 1, (size - length) // 2, replace=False))
+        raw = data.tobytes()
+        count = Counter(raw[k : k + length] for k in starts)
+        assert suffix.repeated_places(data, starts, length).tolist() == [count[raw[k : k + length]] > 1 for k in starts]
+
+
+def test_names_with_many_runs_are_dealt_out(spark, monkeypatch):
+    shared = prose(11, 90)
+    rows = [(k, prose(200 + k, 3) + " " + shared[: 500 - k] + " " + prose(300 + k, 40)) for k in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    whole = sorted(tuple(r) for r in suffix.dedupe(docs, False).collect())
+    monkeypatch.setattr(suffix, "RUNS", 4)
+    assert sorted(tuple(r) for r in suffix.dedupe(docs, False).collect()) == whole and sum(r[2] for r in whole) > 10_000

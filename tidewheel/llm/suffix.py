@@ -1,17 +1,21 @@
 """Suffix-array dedup by bucket-pointer refinement: remove every byte of a LENGTH-byte string that starts twice.
 
-Suffixes are put into buckets by their first 8 bytes, and buckets are refined by the bucket identifiers of later
-offsets: a suffix's bucket at depth 2d is given by its bucket at depth d and that of the suffix d further on, whose
-refined identifier is used again for the next doubling, up to LENGTH. Identifiers are 64-bit fingerprints, so suffixes
-of all documents share them without a global numbering.
+Refining every suffix of a corpus together would move them all, so runs of starts meet first. Each window of LENGTH
+bytes names the least fingerprint of ANCHOR bytes in it; consecutive windows that name the same one are a run, and equal
+strings lie in runs of the same name. Runs whose strings all equal another run's, by the fingerprint of all of them, are
+settled as a whole.
 
-Refining every suffix of a corpus together would move them all. So each window of LENGTH bytes first names its least
-bucket at depth ANCHOR; consecutive windows that name the same one are a run, and equal strings lie in runs of the same
-name. Runs whose strings all equal another run's are settled as a whole. Only where runs share a name but not their
-strings are single suffixes sorted into buckets of depth LENGTH: runs of one name meet in one task, dealt further by
-bucket where a name has many different runs.
+Where runs share a name but not their strings, their texts meet in one task, and their suffixes are sorted by
+bucket-pointer refinement: buckets of the first two bytes are refined by sorting on the bucket of the suffix two
+further on, which gives buckets of four bytes, and so on to LENGTH, each refinement using the identifiers that the one
+before has updated. A suffix that is alone in its bucket is not sorted again. Suffixes that still share a bucket at
+LENGTH are equal, whatever fingerprints say.
 
-Fingerprints of different strings are equal with a chance of about n^2 / 2^65 for n strings compared.
+A name with more than ``RUNS`` different runs would not fit one task: its single starts are dealt out by their
+fingerprints and meet by these instead.
+
+Fingerprints, by which runs get names and are settled as a whole, are 64-bit; those of different strings are equal with
+a chance of about n^2 / 2^65 for n strings compared.
 
 Edge cases: a null or empty text has no bytes; texts under LENGTH bytes lose nothing; a string that repeats within one
 document counts; repeated rows are two places. A null doc_id is carried along. Texts of any length are read whole;
@@ -34,14 +38,16 @@ LENGTH, ANCHOR = 400, 128
 #: Windows that lie in one string of LENGTH bytes.
 SPAN = LENGTH - ANCHOR + 1
 CHUNK = 1 << 17
-#: Different runs of one name that a task compares.
+#: Different runs of one name whose texts meet in one task.
 RUNS = 20_000
+#: Bytes of runs that are refined together.
+TOGETHER = 1 << 20
 
 _FACTOR = mix(np.arange(40, 48, dtype=np.uint64)) | U64(1)
 
 
 def refined(data: np.ndarray, upto: int) -> dict[int, np.ndarray]:
-    """Bucket identifiers of the suffixes of data at depths 8, 16, ... upto; shorter arrays at greater depths."""
+    """Fingerprints of the strings of 8, 16, ... upto bytes at each place of data; shorter arrays at greater depths."""
     n = len(data) - 7
     at = {8: mix(np.ndarray((n,), "<u8", data, strides=(1,)) * GOLDEN)} if n > 0 else {8: np.empty(0, np.uint64)}
     d, k = 8, 0
@@ -53,7 +59,7 @@ def refined(data: np.ndarray, upto: int) -> dict[int, np.ndarray]:
 
 
 def at_length(ids: dict[int, np.ndarray], length: int = LENGTH) -> np.ndarray:
-    """Identifiers at depth length, out of the two overlapping pieces of the greatest power below it."""
+    """Fingerprints at depth length, out of the two overlapping pieces of the greatest power below it."""
     d = max(ids)
     x, back = ids[d], length - d
     return mix(x[:-back] * _FACTOR[7] + x[back:]) if len(x) > back else np.empty(0, np.uint64)
@@ -124,8 +130,97 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(rows[text]), pa.array(first), pa.array(counts), pa.array(names.view(np.int64)), pa.array(prints.view(np.int64)), pa.array(again)], ["row", "first", "n", "name", "print", "again"])
 
 
+def buckets_of(first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(order, whether a bucket of first begins, whether one of both begins): places sorted by first, then second."""
+    n, top = len(first), int(max(first.max(), second.max())).bit_length()
+    low = n.bit_length()
+    if 2 * top + low <= 63:  # one sort of whole words
+        packed = np.sort((((first << top) | second) << low) | np.arange(n))
+        order = packed & ((1 << low) - 1)
+    else:
+        order = np.lexsort((second, first))
+    x, y = first[order], second[order]
+    outer = np.concatenate([[True], x[1:] != x[:-1]])
+    return order, outer, outer | np.concatenate([[True], y[1:] != y[:-1]])
+
+
+def repeated_places(data: np.ndarray, starts: np.ndarray, length: int = LENGTH) -> np.ndarray:
+    """For each of the starts, whether its length bytes also begin at another of them.
+
+    A bucket's identifier is the number of suffixes before it, so refining it leaves all others as they are.
+    """
+    if not len(starts):
+        return np.empty(0, bool)
+    pairs = (data[:-1].astype(np.int64) << 8) | data[1:]
+    order = np.argsort(pairs.astype(np.uint16), kind="stable")
+    own = pairs[order]
+    begins = np.concatenate([[True], own[1:] != own[:-1]])
+    bucket = np.empty(len(pairs), np.int64)
+    bucket[order] = np.flatnonzero(begins)[np.cumsum(begins) - 1]
+    alone = begins & np.concatenate([begins[1:], [True]])
+    active = np.sort(order[~alone])
+    depth = 2
+    while 2 * depth < length:
+        active = active[active + depth < len(bucket)]
+        if len(active):
+            first = bucket[active]
+            order, outer, inner = buckets_of(first, bucket[active + depth])
+            place = np.arange(len(order))
+            since = place[inner][np.cumsum(inner) - 1] - place[outer][np.cumsum(outer) - 1]
+            places = active[order]
+            bucket[places] = first[order] + since
+            active = np.sort(places[~(inner & np.concatenate([inner[1:], [True]]))])
+        depth *= 2
+    order, _, inner = buckets_of(bucket[starts], bucket[starts + length - depth])
+    out = np.empty(len(starts), bool)
+    out[order] = ~(inner & np.concatenate([inner[1:], [True]]))
+    return out
+
+
+def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(name, print, n, data): the bytes of some runs."""
+    for batch in batches:
+        rows = [(run["name"], run["print"], run["n"], text[run["first"] : run["first"] + run["n"] + LENGTH - 1]) for text, runs in zip(utf8(batch.column(0)), batch.column(1).to_pylist()) for run in runs]
+        types = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*rows)) or [()] * 4, types)], ["name", "print", "n", "data"])
+
+
+def _stretches(run: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(run, first, number) of consecutive places at of the same run."""
+    cut = np.flatnonzero(np.concatenate([[True], (np.diff(at) != 1) | (np.diff(run) != 0)])) if len(at) else np.empty(0, np.int64)
+    return run[cut], at[cut], np.diff(np.append(cut, len(at)))
+
+
+def _settled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(name, print, start, n): stretches of starts whose strings occur twice among the runs of a name. Names come one after the other."""
+    held: list[tuple[int, int, int, bytes]] = []
+    size = 0
+
+    def refined_together(rows: list[tuple[int, int, int, bytes]]) -> pa.RecordBatch:
+        counts = np.array([r[2] for r in rows], np.int64)
+        ends = np.cumsum([len(r[3]) for r in rows])
+        run = np.repeat(np.arange(len(rows)), counts)
+        at = np.arange(len(run)) - np.repeat(np.cumsum(counts) - counts, counts)
+        begins = ends - np.array([len(r[3]) for r in rows], np.int64)
+        # Equal strings have equal names, so runs of several names may be refined as one text.
+        twice = repeated_places(np.frombuffer(b"".join(r[3] for r in rows), np.uint8), begins[run] + at)
+        run, first, n = _stretches(run[twice], at[twice])
+        names, prints = (np.array([r[k] for r in rows], np.int64)[run] for k in (0, 1))
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (names, prints, first, n)], ["name", "print", "start", "n"])
+
+    for batch in batches:
+        for row in zip(*(c.to_pylist() for c in batch.columns)):
+            if size >= TOGETHER and row[0] != held[-1][0]:
+                yield refined_together(held)
+                held, size = [], 0
+            held.append(row)
+            size += len(row[3])
+    if held:
+        yield refined_together(held)
+
+
 def _strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Identifiers at depth LENGTH of the starts of some runs: (name, salt, print, at, ids)."""
+    """Fingerprints at depth LENGTH of the starts of some runs: (name, salt, print, at, ids)."""
     for batch in batches:
         names, salts, prints, places, ids = [], [], [], [], []
         for text, runs in zip(utf8(batch.column(0)), batch.column(1).to_pylist()):
@@ -156,13 +251,9 @@ def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             same = ids[order][1:] == ids[order][:-1]
             twice = np.zeros(len(ids), bool)
             twice[order] = np.concatenate([[False], same]) | np.concatenate([same, [False]])
-            run, at = run[twice], at[twice]
-            if len(at):
-                cut = np.flatnonzero(np.concatenate([[True], (np.diff(at) != 1) | (np.diff(run) != 0)]))
-                sizes = np.diff(np.concatenate([cut, [len(at)]]))
-                for k, n in zip(cut, sizes):
-                    for column, value in zip(out, (name, runs[run[k]]["print"], int(at[k]), int(n))):
-                        column.append(value)
+            for k, first, n in zip(*_stretches(run[twice], at[twice])):
+                for column, value in zip(out, (name, runs[k]["print"], int(first), int(n))):
+                    column.append(value)
         yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], ["name", "print", "start", "n"])
 
 
@@ -199,12 +290,21 @@ def repeated_starts(docs: DataFrame, scratch: Scratch) -> DataFrame:
     groups = kinds.groupBy("name").agg(F.min("copies").alias("least"), F.count("*").alias("kinds"), F.max("again").alias("again")).where("least = 1 and (kinds > 1 or again)")
     todo = kinds.join(groups.select("name", F.ceil(F.col("kinds") / RUNS).cast("int").alias("salts")), "name").select("name", "print", "copies", "salts", "one.*")
     todo = scratch.keep(todo)
-    asked = todo.groupBy("row").agg(F.collect_list(F.struct("name", "print", "salts", "first", "n")).alias("runs"))
-    texts = docs.select("row", "text").join(asked, "row").dropDuplicates(["row"]).select("text", "runs")
-    strings = map_arrow(texts, _strings, "name long, salt int, print long, at binary, ids binary")
-    meeting = strings.groupBy("name", "salt").agg(F.collect_list(F.struct("print", "at", "ids")).alias("runs")).select("name", "runs")
-    parts = scratch.keep(map_arrow(meeting, _repeated, "name long, print long, start long, n long"))
+    schema = "name long, print long, start long, n long"
+
+    def meeting(some: DataFrame) -> DataFrame:
+        """(text, runs) of the documents that hold the runs."""
+        asked = some.groupBy("row").agg(F.collect_list(F.struct("name", "print", "salts", "first", "n")).alias("runs"))
+        return docs.select("row", "text").join(asked.hint("shuffle_hash"), "row").dropDuplicates(["row"]).select("text", "runs")
+
+    texts = map_arrow(meeting(todo.where("salts = 1")), _texts, "name long, print long, n long, data binary")
+    parts = scratch.keep(map_arrow(texts.repartition("name").sortWithinPartitions("name"), _settled, schema))
     scratch.sweep()
+    many = todo.where("salts > 1")
+    if not many.isEmpty():
+        strings = map_arrow(meeting(many), _strings, "name long, salt int, print long, at binary, ids binary")
+        dealt = strings.groupBy("name", "salt").agg(F.collect_list(F.struct("print", "at", "ids")).alias("runs")).select("name", "runs")
+        parts = scratch.keep(parts.union(map_arrow(dealt, _repeated, schema)))
     single = todo.where("copies = 1").select("name", "print", "row", "first")
     part = parts.join(single, ["name", "print"]).select("row", (F.col("first") + F.col("start")).alias("start"), "n")
     return whole.union(part)
