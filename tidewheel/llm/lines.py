@@ -242,3 +242,25 @@ def dedupe(docs: DataFrame, num: int = NUM, den: int = DEN) -> DataFrame:
 def digest(found: DataFrame) -> DataFrame:
     """(doc_id, n_lines, n_removed, kept_sha256)."""
     return found.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
+
+
+def oracle() -> str:
+    """The digest of ``op4_line_dedup`` in DuckDB's SQL, with all pairs of lines that share a shingle; a doc_id has one row."""
+    blank = r"[^\x20\x09-\x0D]"
+    return rf"""
+WITH RECURSIVE d AS (SELECT doc_id, text, string_split(text, chr(10)) AS parts FROM documents),
+l AS (SELECT doc_id, no, parts[no] AS line FROM (SELECT doc_id, parts, unnest(range(1, len(parts) + 1)) AS no FROM d) WHERE regexp_matches(parts[no], '{blank}')),
+u AS (SELECT line, row_number() OVER (ORDER BY min((doc_id, no))) AS id FROM l GROUP BY line),
+g AS (SELECT DISTINCT id, substr(line, i, {SHINGLE}) AS g FROM (SELECT id, line, unnest(range(1, greatest(length(line) - {SHINGLE - 2}, 2))) AS i FROM u)),
+n AS (SELECT id, count(*) AS n FROM g GROUP BY id),
+s AS (SELECT g.id, g.g, n.n FROM g JOIN n ON g.id = n.id),
+k AS (SELECT x.id AS a, y.id AS b FROM s x JOIN s y ON x.g = y.g AND x.id < y.id AND {DEN} * least(x.n, y.n) >= {NUM} * greatest(x.n, y.n)
+      GROUP BY x.id, y.id, x.n, y.n HAVING {DEN} * count(*) >= {NUM} * (x.n + y.n - count(*))),
+e AS (SELECT a, b FROM k UNION ALL SELECT b, a FROM k),
+r AS (SELECT a AS id, a AS c FROM (SELECT DISTINCT a FROM e) UNION SELECT e.b, r.c FROM r JOIN e ON r.id = e.a AND r.c < e.b),
+c AS (SELECT u.line, coalesce(min(r.c), u.id) AS c FROM u LEFT JOIN r ON u.id = r.id GROUP BY u.line, u.id),
+f AS (SELECT doc_id, no, row_number() OVER (PARTITION BY c ORDER BY doc_id NULLS FIRST, no) > 1 AS gone FROM l JOIN c ON l.line = c.line),
+o AS (SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_removed, list(no) FILTER (gone) AS nos FROM f GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_lines, 0)::BIGINT AS n_lines, coalesce(n_removed, 0)::BIGINT AS n_removed,
+       sha256(coalesce(CASE WHEN coalesce(n_removed, 0) = 0 THEN text ELSE array_to_string([parts[i] FOR i IN range(1, len(parts) + 1) IF NOT list_contains(nos, i)], chr(10)) END, '')) AS kept_sha256
+FROM d LEFT JOIN o ON d.doc_id = o.doc_id"""

@@ -63,4 +63,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_ngram_jaccard_join": jaccard.oracle(), "op7_quality_rules": quality_rules.oracle(), "op8_warc": warc.oracle()}
+    return {"op2_ngram_jaccard_join": jaccard.oracle(), "op4_line_dedup": lines.oracle(), "op5_suffix_dedup": suffix.oracle(), "op7_quality_rules": quality_rules.oracle(), "op8_warc": warc.oracle()}

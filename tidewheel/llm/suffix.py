@@ -277,6 +277,13 @@ def cut(text: bytes, spans: list[tuple[int, int]]) -> bytes:
     return b"".join([*parts, text[at:]])
 
 
+def decoded(text: bytes) -> str | None:
+    try:
+        return text.decode()
+    except UnicodeDecodeError:
+        return None
+
+
 def repeated_starts(docs: DataFrame, scratch: Scratch) -> DataFrame:
     """(row, start, n): stretches of starts of repeated strings; row is the hash of doc_id and text."""
     runs = scratch.keep(map_arrow(docs.select("row", "text"), _runs, "row long, first long, n long, name long, print long, again boolean"))
@@ -313,7 +320,7 @@ def repeated_starts(docs: DataFrame, scratch: Scratch) -> DataFrame:
 def dedupe(docs: DataFrame, with_kept: bool = True) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept_bytes, kept_chars, text[, kept binary, spans array<struct<start, end>>]).
 
-    text is what is left, with a replacement character where a cut goes through a character; kept are its bytes.
+    text is what is left and kept_chars its characters, null where a cut goes through a character; kept are its bytes.
     """
     scratch = Scratch(docs.sparkSession)
     docs = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("row"))
@@ -329,14 +336,29 @@ def dedupe(docs: DataFrame, with_kept: bool = True) -> DataFrame:
             texts = utf8(batch.column(1))
             gone = [removed(len(t), s) for t, s in zip(texts, batch.column(2).to_pylist())]
             kept = [cut(t, s) for t, s in zip(texts, gone)]
-            left = [k.decode("utf-8", "replace") for k in kept]
+            left = [decoded(k) for k in kept]
             sizes = [len(k) for k in kept]
             numbers = ([len(t) for t in texts], [len(t) - n for t, n in zip(texts, sizes)], [len(s) for s in gone])
             columns = [batch.column(0), *(pa.array(x, pa.int64()) for x in numbers), pa.array([hashlib.sha256(k).hexdigest() for k in kept], pa.string())]
-            columns += [pa.array(sizes, pa.int64()), pa.array([len(x) for x in left], pa.int64()), pa.array(left, pa.string())]
+            columns += [pa.array(sizes, pa.int64()), pa.array([None if x is None else len(x) for x in left], pa.int64()), pa.array(left, pa.string())]
             if with_kept:
                 span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
                 columns += [pa.array(kept, pa.binary()), pa.array([[{"start": a, "end": b} for a, b in s] for s in gone], span)]
             yield pa.RecordBatch.from_arrays(columns, names[: len(columns)])
 
     return map_arrow(both, run, schema)
+
+
+def oracle() -> str:
+    """The rows of ``op5_suffix_dedup`` in DuckDB's SQL; a doc_id has one row."""
+    return f"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, strlen(coalesce(text, '')) AS n FROM documents),
+w AS (SELECT doc_id, i, md5_number(substr(h, 2 * i + 1, {2 * LENGTH})) AS x FROM (SELECT doc_id, h, unnest(range(0, n - {LENGTH - 1})) AS i FROM d WHERE n >= {LENGTH})),
+r AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY x) AS c FROM w) WHERE c > 1),
+b AS (SELECT doc_id, i, coalesce(i > lag(i) OVER (PARTITION BY doc_id ORDER BY i) + {LENGTH}, true) AS fresh FROM r),
+s AS (SELECT doc_id, min(i) AS a, max(i) + {LENGTH} AS z FROM (SELECT doc_id, i, count(*) FILTER (fresh) OVER (PARTITION BY doc_id ORDER BY i) AS k FROM b) GROUP BY doc_id, k),
+p AS (SELECT doc_id, a, z, coalesce(lag(z) OVER (PARTITION BY doc_id ORDER BY a), 0) AS since FROM s),
+k AS (SELECT p.doc_id, sum(z - a) AS n_removed, count(*) AS n_spans, string_agg(substr(h, 2 * since + 1, 2 * (a - since)), '' ORDER BY a) || substr(any_value(h), 2 * max(z) + 1) AS left_over FROM p JOIN d ON p.doc_id = d.doc_id GROUP BY p.doc_id)
+SELECT doc_id, n::BIGINT AS n_bytes, n_removed::BIGINT AS n_removed, n_spans::BIGINT AS n_spans, sha256(kept) AS kept_sha256,
+       (n - n_removed)::BIGINT AS kept_bytes, length(text)::BIGINT AS kept_chars, text
+FROM (SELECT *, TRY(decode(kept)) AS text FROM (SELECT d.doc_id, n, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, unhex(coalesce(left_over, h)) AS kept FROM d LEFT JOIN k ON d.doc_id = k.doc_id))"""
