@@ -115,3 +115,10 @@ def test_streams_of_observations(spark, tmp_path):
     late.awaitTermination(120)
     closed = streaming.fits_of(spark.table("windows"), Template((1.0,), (0.0,))).collect()
     assert closed and all(0 <= r["power"] <= 1 for r in closed)
+
+
+def test_order_of_times(spark):
+    obs = spark.createDataFrame([("a", 1.0, 1.0, 1.0, 0), ("a", 1.0, 2.0, 1.0, 1), ("a", 3.0, 0.0, 1.0, 2)], SCHEMA + ", i int")
+    TemplateSearch(FIRST).fit(obs, "i")
+    with pytest.raises(ValueError):
+        TemplateSearch(FIRST).fit(obs.withColumn("t", -F.col("t")), "i")

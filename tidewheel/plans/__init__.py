@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators import fit as fits
 from ..operators.grid import autofrequency, even_grid, grid_shape, user_grid
-from ..operators.prepare import series_stats
+from ..operators.prepare import order_violations, series_stats
 from ..operators.storage import settled
 from ..operators.templates import Template
 
@@ -45,8 +45,13 @@ class MultiTemplateSearch:
         self.known: list[Template] = []
         self._held: list[DataFrame] = []
 
-    def fit(self, obs: DataFrame) -> MultiTemplateSearch:
-        """obs: (series_id, t, y, dy). An earlier best model stays until a better one is found."""
+    def fit(self, obs: DataFrame, ordinal: str | None = None) -> MultiTemplateSearch:
+        """obs: (series_id, t, y, dy). An earlier best model stays until a better one is found.
+
+        Sums need no order; with ordinal, a column that numbers the rows of a series, times that go back are an error.
+        """
+        if ordinal is not None and not order_violations(obs, ordinal).where("n_violations > 0").isEmpty():
+            raise ValueError("times must not decrease")
         self.obs, self.stats = obs, series_stats(obs)
         return self
 

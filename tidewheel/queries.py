@@ -206,6 +206,29 @@ def x2_fit_model(spark, sf_dir):
     return _model(search.fit_model(ONE))
 
 
+def e5_fit_model(spark, sf_dir):
+    return _model(TemplateSearch(FIRST).fit(event_observations(spark, sf_dir)).fit_model(ONE).params)
+
+
+def e7_power(spark, sf_dir):
+    """Power at frequencies in an array of two dimensions."""
+    got = TemplateSearch(FIRST).fit(event_observations(spark, sf_dir)).power([[0.5, 0.7, 0.9], [1.1, 1.3, 1.5]], save_best_model=False)
+    return got.select("series_id", "k", rounded("freq").alias("freq"), rounded("power", FITTED).alias("power"))
+
+
+def x4_single_template(spark, sf_dir):
+    """Power of a template that is not among the search's own, on an even grid by fast sums."""
+    search = MultiTemplateSearch([FIRST]).fit(event_observations(spark, sf_dir))
+    got = search.power_from_single_template([STEP * k for k in range(1, STEPS + 1)], SECOND, fast=True, save_best_model=False)
+    return got.select("series_id", "k", rounded("freq").alias("freq"), rounded("power", FITTED).alias("power"))
+
+
+def g2_mixed_template(spark, sf_dir):
+    """The coefficients of a mixture of two templates."""
+    got = templates.template_table(spark, [templates.mixed(FIRST, SECOND, 0.3, 3)])
+    return _round(got.select(F.col("n").cast("long").alias("n"), "c", "s"), "c", "s")
+
+
 def x3_multi_autopower(spark, sf_dir):
     obs, stats, _ = _data(spark, sf_dir)
     got = fit.best_template(fit.exact_power(obs, grid.grid_shape(stats), [FIRST, SECOND], stats=stats))
@@ -285,7 +308,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         p1_observations, p2_weights, p3_weighted_stats, p5_order_violations, p9_grid_check, p11_phase_fold, f1_autofrequency, f1_autofrequency_minmax_compat, s1_direct_sums, s4_covariance_matrices,
         m2_exact_power_h3, m3_floating_mean_power, m4_phase_grid_power_h3, m7_power_from_fit, m8_amplitude_offset, m9_chi2, e2_model_eval, e6_autopower, e8_best_models,
         t1_normalise, t2_from_sampled, t3_auto_harmonics, t4_eval, t6_reversed_samples, g1_inject_signal, g3_shifted_template, g4_inject_and_recover, g5_folded_overlay, w1_best_frequency, x2_fit_model, x3_multi_autopower, x5_multi_template_max,
-        l2_slow_chi2_grid, l3_refined_slow_power, l4_slow_power, p9_uneven_grid, p10_missing_errors, s4_fast_sums, e8_save_best_model,
+        l2_slow_chi2_grid, l3_refined_slow_power, l4_slow_power, p9_uneven_grid, p10_missing_errors, s4_fast_sums, e8_save_best_model, e5_fit_model, e7_power, x4_single_template, g2_mixed_template,
     )
     return {f.__name__: f for f in found}
 
@@ -439,6 +462,11 @@ def oracle_sql() -> dict[str, str]:
         "m2_exact_power_h3": with_(same, _definition(3, "ag", "cq"), _best_phase(FIRST, "cq", "f1")) + f"SELECT {power} FROM f1",
         "e6_autopower": with_(every, _definition(3, "au", "cq"), _best_phase(FIRST, "cq", "f1")) + f"SELECT {power} FROM f1",
         "e8_best_models": with_(every, _definition(3, "au", "cq"), _best_phase(FIRST, "cq", "f1")) + f"SELECT {model} FROM (SELECT *, 0 AS ordinal FROM f1 QUALIFY row_number() OVER (PARTITION BY series_id ORDER BY power DESC NULLS LAST, freq) = 1)",
+        "e5_fit_model": with_(single, _definition(3, "a1", "cq"), _best_phase(FIRST, "cq", "f1")) + f"SELECT {model} FROM (SELECT *, 0 AS ordinal FROM f1)",
+        "e7_power": with_(f"ar AS (SELECT series_id, k, {_D('0.5')} + {_D('0.2')} * CAST(k AS DOUBLE) AS freq FROM st CROSS JOIN range(0, 6) r(k))", _definition(3, "ar", "cq"), _best_phase(FIRST, "cq", "f1")) + f"SELECT {power} FROM f1",
+        "x4_single_template": with_(same, _definition(3, "ag", "cq"), _best_phase(SECOND, "cq", "f2")) + f"SELECT {power} FROM f2",
+        "g2_mixed_template": "WITH m AS (SELECT * FROM (VALUES " + ", ".join(f"({n}, {_D(repr(0.3 * a + 0.7 * c))}, {_D(repr(0.3 * b + 0.7 * d))})" for n, (a, b, c, d) in enumerate(zip(FIRST.c, FIRST.s, SECOND.c, SECOND.s), 1)) + f""") v(n, c, s))
+          SELECT CAST(n AS BIGINT) AS n, {_r('c / nn')} AS c, {_r('s / nn')} AS s FROM (SELECT *, sqrt(sum(c * c + s * s) OVER ()) AS nn FROM m)""",
         "x2_fit_model": with_(single, _definition(3, "a1", "cq"), _best_phase(FIRST, "cq", "f1"), _best_phase(SECOND, "cq", "f2"))
         + f"SELECT {model} FROM (SELECT * FROM (SELECT *, 0 AS ordinal FROM f1 UNION ALL SELECT *, 1 FROM f2) QUALIFY row_number() OVER (PARTITION BY series_id ORDER BY power DESC NULLS LAST, ordinal) = 1)",
         "x3_multi_autopower": with_(every, _definition(3, "au", "cq"), _best_phase(FIRST, "cq", "f1"), _best_phase(SECOND, "cq", "f2"))
