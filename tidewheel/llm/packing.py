@@ -18,20 +18,21 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .chunks import ChunkMemo, gather, listed, split
-from .common import CACHES, Scratch, map_arrow, utf8
+from .chunks import ChunkMemo, gather, listed, split, strings_of
+from .common import CACHES, Scratch, map_arrow
 
 CAPACITY = 4096
 END_ID = 1
 #: Plain words that are encoded in one string.
 TOGETHER = 512
-#: Different chunks, and words within them, that a worker remembers.
-CHUNKS, STEMS = 600_000, 600_000
+#: Different words and marks that a worker remembers.
+STEMS = 600_000
 #: What may follow a plain word and is cut from it: ASCII marks but the apostrophe, which can begin a suffix.
 MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 LATIN = [chr(c) for c in range(0x80, 0x100) if chr(c).isalpha()]
@@ -56,7 +57,6 @@ class WordTokenizer:
         self.bytes = {ord(c): level.pre_tokenize_str(c)[0][0] for c in LATIN}
         self.model = Tokenizer(self.tokenizer.model)
         self.model.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
-        self.memo = ChunkMemo(self.encode_new, CHUNKS)
         self.stems = ChunkMemo(self.encode_stems, STEMS)
         self.plain = self._plain_agrees()
 
@@ -93,18 +93,35 @@ class WordTokenizer:
         back = np.argsort(np.argsort(~plain, kind="stable"), kind="stable")
         return sizes[back], gather(flat, (np.cumsum(sizes) - sizes)[back], sizes[back])
 
-    def pieces(self, chunk: bytes) -> list[str]:
-        text = chunk.decode()
-        word = text.rstrip(MARKS)
-        if self.plain and word.isalpha() and (word.isascii() or max(word) <= "\xff"):
-            return [word.lower(), text[len(word) :]] if len(word) < len(text) else [word.lower()]
-        return [text]
-
-    def encode_new(self, chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        return self.stems.flat([self.pieces(c) for c in chunks])
-
-    def encode(self, texts: list[bytes]) -> list[np.ndarray]:
-        return self.memo.encode([t.split() for t in texts])
+    def chunk_ids(self, chunks: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(sizes, ids one after the other) of different chunks: a plain word in lower case and the marks after it, others whole."""
+        first, marks = chunks, np.zeros(len(chunks), np.int64)
+        if self.plain and len(chunks):
+            word = pc.utf8_rtrim(chunks, MARKS)
+            alpha = pc.utf8_is_alpha(word).to_numpy(zero_copy_only=False)
+            beyond = np.flatnonzero(alpha & ~pc.string_is_ascii(word).to_numpy(zero_copy_only=False))
+            alpha[beyond] = [max(w) <= "\xff" for w in strings_of(word.take(pa.array(beyond)))]
+            first = pc.if_else(pa.array(alpha), pc.utf8_lower(word), chunks)
+            marks = np.where(alpha, (pc.binary_length(chunks).to_numpy() - pc.binary_length(word).to_numpy()), 0)
+        ends = np.frombuffer(chunks.buffers()[1], np.int32)[chunks.offset + 1 : chunks.offset + len(chunks) + 1].astype(np.int64)
+        data = np.frombuffer(chunks.buffers()[2] or b"", np.uint8)
+        offsets = np.concatenate([[0], np.cumsum(marks)]).astype(np.int32)
+        tails = pa.StringArray.from_buffers(len(chunks), pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(gather(data, ends - marks, marks))))
+        both = pa.concat_arrays([first, tails]).dictionary_encode()
+        return self.stems.flat_of(strings_of(both.dictionary), both.indices.to_numpy().reshape(2, -1).T.ravel(), np.full(len(chunks), 2))
+
+    def encode(self, texts: pa.Array) -> list[np.ndarray]:
+        """The ids of each text of a string array.
+
+        Chunks, and the words in them, are cut and told apart by Arrow, so each word is looked up once a batch. At a
+        text's ends a chunk may be empty, which has no ids.
+        """
+        cut = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+        words = cut.flatten().dictionary_encode()
+        sizes, ids = self.chunk_ids(words.dictionary)
+        at, own = words.indices.to_numpy(), np.diff(cut.offsets.to_numpy())
+        upto = np.concatenate([[0], np.cumsum(sizes[at])])[np.concatenate([[0], np.cumsum(own)])]
+        return split(np.diff(upto), gather(ids, (np.cumsum(sizes) - sizes)[at], sizes[at]))
 
 
 @lru_cache(maxsize=1)
@@ -128,7 +145,7 @@ def tokenize(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end
         end = np.array([end_id], np.uint32)
         for batch in batches:
             rows: list[tuple] = []
-            for doc, tokens in enumerate(words.encode(utf8(batch.column(1)))):
+            for doc, tokens in enumerate(words.encode(batch.column(1))):
                 tokens = np.concatenate([tokens, end]).astype("<u4")
                 for piece, start in enumerate(range(0, len(tokens), capacity)):
                     own = tokens[start : start + capacity]
