@@ -2,6 +2,7 @@
 
 import hashlib
 import string
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -216,6 +217,22 @@ def test_search_probes_some_cells_and_reranks_some_rows(spark):
     assert got["query_id"].nunique() == 60 and hits >= 0.9 * 600
 
 
+def test_search_fits_in_little_memory():
+    x = np.random.default_rng(5).standard_normal((6000, 512)).astype(np.float32)
+    tracemalloc.start()
+    coder = ann.Quantiser.fit(x, 512)
+    _, most = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert most < 2 * x.nbytes and coder.centroids.shape == (512, 512)
+    x, rng = x[:1300, :8].astype(float), np.random.default_rng(0)
+    want = x[rng.choice(len(x), 20, replace=False)]
+    for _ in range(12):
+        own = ((x[:, None] - want[None]) ** 2).sum(axis=2).argmin(axis=1)
+        want = np.stack([x[own == k].mean(axis=0) for k in range(20)])
+    assert np.allclose(ann.kmeans(x, 20), want)
+    assert ann.sample_rows(10_000, 64, "float") == 10_000 and all(ann.sample_rows(10_000, d, t) * d * b <= ann.SAMPLE_BYTES for d in (1536, 8192, 100_000) for t, b in (("float", 4), ("double", 8)))
+
+
 def test_kept_sha_of_an_empty_text(spark):
     got = lines.digest(lines.dedupe(spark.createDataFrame([(1, None), (2, "")], "doc_id long, text string"))).collect()
     assert {r["kept_sha256"] for r in got} == {hashlib.sha256(b"").hexdigest()}

@@ -1,7 +1,8 @@
 """Approximate nearest neighbours: an inverted file of coarse centroids with product-quantised residuals.
 
-Centroids and codebooks are fitted on a bounded sample (``sample`` rows, those with the smallest hashes) on the driver.
-Every row is indexed. A search probes the nearest cells, ranks their rows by asymmetric distance tables and reranks the
+Centroids and codebooks are fitted on a bounded sample (``sample`` rows, those with the smallest hashes, but at most
+``SAMPLE_BYTES`` of vectors in the table's own float type) on the driver, which works through it in blocks and so holds
+little besides the sample. Every row is indexed. A search probes the nearest cells, ranks their rows by asymmetric distance tables and reranks the
 best by the exact distance in double precision. Rows of a cell lie in blocks of bounded size, and each task joins a
 block of rows with a block of queries, so a cell that holds a third of all rows is spread over many tasks.
 
@@ -27,7 +28,9 @@ from pyspark.sql.window import Window
 
 from .common import Scratch, least_hashes, map_arrow
 
-SAMPLE = 10_000
+SAMPLE, SAMPLE_BYTES = 10_000, 64 << 20
+#: Rows of the sample that are compared with the centroids at once.
+FIT_ROWS = 512
 MAX_CELLS = 1024
 SUBSPACES = 16
 CODES = 256
@@ -36,22 +39,31 @@ ROWS, QUERIES, PROBED, LEAST_PROBES, RERANK = 4096, 256, 0.6, 32, 25
 
 
 def kmeans(x: np.ndarray, k: int, rounds: int = 12, seed: int = 0) -> np.ndarray:
-    """Lloyd's centroids; an empty cell takes the point farthest from its own."""
+    """Lloyd's centroids; an empty cell takes the point farthest from its own. Besides x, only blocks and centroids are held."""
     rng = np.random.default_rng(seed)
-    c = x[rng.choice(len(x), min(k, len(x)), replace=False)].copy()
+    c = x[rng.choice(len(x), min(k, len(x)), replace=False)].astype(np.float64)
+    far = np.empty(len(x))
     for _ in range(rounds):
-        d = nearest_table(x, c)
-        own, far = d.argmin(axis=1), d.min(axis=1)
-        n = np.bincount(own, minlength=len(c))
-        order = np.argsort(own, kind="stable")
-        cut = np.searchsorted(own[order], np.arange(len(c)))
-        sums = np.add.reduceat(np.vstack([x[order], np.zeros((1, x.shape[1]))]), np.minimum(cut, len(x)), axis=0)
+        n, sums = np.zeros(len(c), np.int64), np.zeros(c.shape)
+        for a in range(0, len(x), FIT_ROWS):
+            some = x[a : a + FIT_ROWS].astype(np.float64)
+            d = nearest_table(some, c)
+            own, far[a : a + FIT_ROWS] = d.argmin(axis=1), d.min(axis=1)
+            order = np.argsort(own, kind="stable")
+            cells, cut, counts = np.unique(own[order], return_index=True, return_counts=True)
+            sums[cells] += np.add.reduceat(some[order], cut)
+            n[cells] += counts
         c = np.where(n[:, None] > 0, sums / np.maximum(n, 1)[:, None], c)
         empty = np.flatnonzero(n == 0)
         c[empty] = x[np.argsort(-far, kind="stable")[: len(empty)]]
     return c
 
 
+def cells_of(x: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """The nearest c of every x, block by block."""
+    return np.concatenate([nearest_table(x[a : a + FIT_ROWS].astype(np.float64), c).argmin(axis=1) for a in range(0, len(x), FIT_ROWS)])
+
+
 def nearest_table(x: np.ndarray, c: np.ndarray) -> np.ndarray:
     """Squared distances of every x to every c."""
     return (x**2).sum(axis=1)[:, None] - 2 * (x @ c.T) + (c**2).sum(axis=1)[None, :]
@@ -66,9 +78,9 @@ class Quantiser:
     @staticmethod
     def fit(x: np.ndarray, cells: int) -> Quantiser:
         centroids = kmeans(x, cells)
-        left = x - centroids[nearest_table(x, centroids).argmin(axis=1)]
+        own = cells_of(x, centroids)
         parts = np.array_split(np.arange(x.shape[1]), min(SUBSPACES, x.shape[1]))
-        return Quantiser(centroids, parts, [kmeans(left[:, p], CODES, 8) for p in parts])
+        return Quantiser(centroids, parts, [kmeans(x[:, p] - centroids[:, p][own], CODES, 8) for p in parts])
 
     def encode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(cell, codes) of every row."""
@@ -91,10 +103,16 @@ def usable(vector: str, size: int) -> Column:
     return v.isNotNull() & (F.size(v) == size) & finite & F.exists(v, lambda x: x != 0)
 
 
+def sample_rows(sample: int, dim: int, kind: str) -> int:
+    """Rows that the quantisers are fitted on: sample, or as many as SAMPLE_BYTES hold."""
+    return max(1, min(sample, SAMPLE_BYTES // (dim * (4 if kind == "float" else 8))))
+
+
 def search(rows: DataFrame, is_query: Column, k: int = 10, vector: str = "embedding", sample: int = SAMPLE, probed: float = PROBED, rerank: int = RERANK, least_probes: int = LEAST_PROBES) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest other rows of each row that is_query holds for."""
     spark, scratch = rows.sparkSession, Scratch(rows.sparkSession)
     empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    kind = "float" if rows.schema[vector].dataType.elementType.simpleString() == "float" else "double"
     rows = rows.where(F.col("vec_id").isNotNull() & F.col(vector).isNotNull()).select(F.col("vec_id").cast("long").alias("vec_id"), F.transform(vector, lambda x: x.cast("double")).alias("v"), is_query.alias("is_query"))
     sizes = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").limit(1).collect()
     if not sizes or not sizes[0]["d"]:
@@ -104,8 +122,10 @@ def search(rows: DataFrame, is_query: Column, k: int = 10, vector: str = "embedd
     total = rows.count()
     if not total:
         return empty
-    points = _matrix(least_hashes(rows.select("vec_id", "v"), sample, total, "vec_id").select("v").toArrow().column(0).combine_chunks())
+    chosen = least_hashes(rows.select("vec_id", "v"), sample_rows(sample, dim, kind), total, "vec_id")
+    points = _matrix(chosen.select(F.transform("v", lambda x: x.cast(kind))).toArrow().column(0).combine_chunks())
     coder = Quantiser.fit(points, int(min(MAX_CELLS, max(1, math.sqrt(total)))))
+    del points
 
     # Of equal vectors the k + 1 smallest ids are enough; the window's limit is taken before the shuffle as well.
     ranked = rows.select("vec_id", "v").distinct().withColumn("n", F.row_number().over(Window.partitionBy("v").orderBy("vec_id"))).where(F.col("n") <= k + 1)
