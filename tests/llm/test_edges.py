@@ -1,6 +1,7 @@
 """Columns with names that operators use themselves, unusual ids, empty tables, long lines; and plain versions to compare with."""
 
 import hashlib
+import re
 import string
 import tracemalloc
 
@@ -217,6 +218,21 @@ def test_search_probes_some_cells_and_reranks_some_rows(spark):
     assert got["query_id"].nunique() == 60 and hits >= 0.9 * 600
 
 
+def test_search_broadcasts_no_probes(spark):
+    """Queries are copied to each cell that they probe, which no size of a file foretells; blocks of a hot cell meet them all."""
+    rng = np.random.default_rng(6)
+    x = np.float32(np.concatenate([rng.normal(size=(300, 8)), 9 + rng.normal(size=(9000, 8)) / 1000]))
+    table = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<float>")
+    found = ann.search(table, F.col("vec_id") % 500 == 0, probed=1.0, rerank=900)
+    got = found.collect()
+    assert not re.search(r"Broadcast\w*Join \[(cell|query)#", found._jdf.queryExecution().executedPlan().toString())
+    x = x.astype(float)
+    for q in range(0, len(x), 500):
+        d = np.sqrt(((x - x[q]) ** 2).sum(axis=1))
+        d[q] = np.inf
+        assert [r["vec_id"] for r in sorted(got, key=lambda r: r["rank"]) if r["query_id"] == q] == np.lexsort((np.arange(len(x)), d))[:10].tolist()
+
+
 def test_search_fits_in_little_memory():
     x = np.random.default_rng(5).standard_normal((6000, 512)).astype(np.float32)
     tracemalloc.start()

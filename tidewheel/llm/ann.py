@@ -3,8 +3,9 @@
 Centroids and codebooks are fitted on a bounded sample (``sample`` rows, those with the smallest hashes, but at most
 ``SAMPLE_BYTES`` of vectors in the table's own float type) on the driver, which works through it in blocks and so holds
 little besides the sample. Every row is indexed. A search probes the nearest cells, ranks their rows by asymmetric distance tables and reranks the
-best by the exact distance in double precision. Rows of a cell lie in blocks of bounded size, and each task joins a
-block of rows with a block of queries, so a cell that holds a third of all rows is spread over many tasks.
+best by the exact distance in double precision. Rows of a cell lie in blocks of about ``ROWS``, so a cell that holds a
+third of all rows is spread over many tasks. A block and the queries that probe its cell are sorted into one task, the
+rows first: Python gets each block once and the queries stream past it, so neither is broadcast or gathered in a row.
 
 Equal vectors share their distances: of each, the k + 1 smallest vec_ids are indexed, which is all that a search for k
 neighbours other than the query can return, and equal queries are searched once.
@@ -34,8 +35,8 @@ FIT_ROWS = 512
 MAX_CELLS = 1024
 SUBSPACES = 16
 CODES = 256
-#: Rows of a block, queries of a block, share of cells probed (at least LEAST_PROBES), rows reranked for each neighbour.
-ROWS, QUERIES, PROBED, LEAST_PROBES, RERANK = 4096, 256, 0.6, 32, 25
+#: Rows of a block, share of cells probed (at least LEAST_PROBES), rows reranked for each neighbour.
+ROWS, PROBED, LEAST_PROBES, RERANK = 4096, 0.6, 32, 25
 
 
 def kmeans(x: np.ndarray, k: int, rounds: int = 12, seed: int = 0) -> np.ndarray:
@@ -132,15 +133,15 @@ def search(rows: DataFrame, is_query: Column, k: int = 10, vector: str = "embedd
     index = scratch.keep(_encoded(ranked.select("vec_id", "v"), coder))
     cells = {r["cell"]: r["n"] for r in index.groupBy("cell").agg(F.count("*").alias("n")).collect()}
     salts = F.element_at(F.create_map(*(F.lit(x) for c, n in cells.items() for x in (c, -(-n // ROWS)))), F.col("cell"))
-    blocks = index.withColumn("salt", F.pmod(F.xxhash64("vec_id"), salts)).groupBy("cell", "salt").agg(F.collect_list(F.struct("vec_id", "codes", "vec")).alias("rows"))
+    held = index.select("cell", F.pmod(F.xxhash64("vec_id"), salts).cast("int").alias("salt"), F.lit(False).alias("asks"), F.col("vec_id").alias("id"), "codes", "vec")
 
     asked = rows.where("is_query").select("vec_id", "v").distinct()
     distinct = scratch.keep(asked.groupBy("v").agg(F.min("vec_id").alias("query")), True)
     probes = _probes(distinct, coder, cells, k, probed, least_probes)
-    lists = probes.groupBy("cell", F.pmod(F.xxhash64("query"), F.lit(max(1, total // (50 * QUERIES)))).alias("part")).agg(F.collect_list(F.struct("query", "vec")).alias("queries"))
-    near = _near(blocks.join(lists, "cell").select("cell", "rows", "queries"), coder, dim, k + 1, rerank)
+    meeting = held.union(probes.select("cell", "salt", F.lit(True), "query", F.lit(None).cast("binary"), "vec")).repartition("cell", "salt").sortWithinPartitions("cell", "salt", "asks")
+    near = _near(meeting, coder, k + 1, rerank)
     best = near.withColumn("n", F.row_number().over(Window.partitionBy("query").orderBy("score", "vec_id"))).where(F.col("n") <= k + 1)
-    found = asked.join(distinct, "v").select(F.col("vec_id").alias("query_id"), "query").join(best.select("query", "vec_id", "score"), "query").where("query_id <> vec_id")
+    found = asked.join(distinct, "v").select(F.col("vec_id").alias("query_id"), "query").join(best.select("query", "vec_id", "score").hint("merge"), "query").where("query_id <> vec_id")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
     return found.select("query_id", rank.alias("rank"), "vec_id", "score").where(F.col("rank") <= k)
 
@@ -161,7 +162,7 @@ def _encoded(rows: DataFrame, coder: Quantiser) -> DataFrame:
 
 
 def _probes(queries: DataFrame, coder: Quantiser, cells: dict[int, int], k: int, probed: float, least_probes: int) -> DataFrame:
-    """(cell, query, vec): each query's nearest cells, until enough are probed and they hold some times k rows."""
+    """(cell, salt, query, vec): all blocks of each query's nearest cells, until enough are probed and they hold some times k rows."""
     counts = np.array([cells.get(c, 0) for c in range(len(coder.centroids))])
     least = max(least_probes, int(np.ceil(probed * len(counts))))
 
@@ -172,35 +173,50 @@ def _probes(queries: DataFrame, coder: Quantiser, cells: dict[int, int], k: int,
                 order = np.argsort(nearest_table(x, coder.centroids), axis=1, kind="stable")
                 held = np.cumsum(counts[order], axis=1) - counts[order]
                 use = ((np.arange(len(counts)) < least) | (held < 5 * (k + 1))) & (counts[order] > 0)
-                q, c = np.nonzero(use)
-                vec = [v.tobytes() for v in x]
-                yield pa.RecordBatch.from_arrays([pa.array(order[q, c].astype(np.int32)), pa.array(ids[q]), pa.array([vec[k] for k in q], pa.binary())], ["cell", "query", "vec"])
+                vecs = pa.array([v.tobytes() for v in x], pa.binary())
+                for q, own in enumerate(use):
+                    cell = order[q, own]
+                    salts = -(-counts[cell] // ROWS)
+                    salt = np.arange(salts.sum()) - np.repeat(np.cumsum(salts) - salts, salts)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(cell, salts).astype(np.int32)), pa.array(salt.astype(np.int32)), pa.array(np.full(len(salt), ids[q])), vecs.take(pa.array(np.full(len(salt), q)))], ["cell", "salt", "query", "vec"])
 
-    return map_arrow(queries, run, "cell int, query long, vec binary")
+    return map_arrow(queries, run, "cell int, salt int, query long, vec binary")
 
 
-def _near(pairs: DataFrame, coder: Quantiser, dim: int, k: int, rerank: int) -> DataFrame:
-    """(query, vec_id, score): the k nearest rows of each block for each query of a block."""
+def _near(meeting: DataFrame, coder: Quantiser, k: int, rerank: int) -> DataFrame:
+    """(query, vec_id, score): the k nearest rows of each block for each query that probes it. Rows come before queries."""
+
+    def vectors(column: pa.Array, kind: type) -> np.ndarray:
+        return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(len(column), -1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held, block = None, [], None
         for batch in batches:
-            for at in range(batch.num_rows):
-                cell, rows, queries = (batch.column(c)[at] for c in range(3))
-                rows, queries = rows.values, queries.values
-                ids = rows.field("vec_id").to_numpy()
-                codes = np.frombuffer(b"".join(rows.field("codes").to_pylist()), np.uint8).reshape(len(ids), -1)
-                x = np.frombuffer(b"".join(rows.field("vec").to_pylist()), np.float64).reshape(len(ids), dim)
-                out = []
-                for query, vec in zip(queries.field("query").to_numpy(), queries.field("vec").to_pylist()):
-                    q = np.frombuffer(vec, np.float64)
-                    rough = coder.distances(q, cell.as_py(), codes)
-                    some = np.argpartition(rough, rerank * k)[: rerank * k] if len(ids) > rerank * k else np.arange(len(ids))
-                    score = np.sqrt(((x[some] - q) ** 2).sum(axis=1))
-                    best = np.lexsort((ids[some], score))[:k]
-                    out.append((np.full(len(best), query), ids[some][best], score[best]))
-                q, v, s = (np.concatenate(z) for z in zip(*out))
-                yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(v), pa.array(s)], ["query", "vec_id", "score"])
-
-    pairs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "8")
-    return pairs.mapInArrow(run, "query long, vec_id long, score double")
-
+            if not batch.num_rows:
+                continue
+            kinds = np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in range(3)], axis=1)
+            cut = np.concatenate([[0], np.flatnonzero((kinds[1:] != kinds[:-1]).any(axis=1)) + 1, [len(kinds)]])
+            for a, b in zip(cut[:-1], cut[1:]):
+                cell, salt, asks = kinds[a].tolist()
+                if (cell, salt) != key:
+                    key, held, block = (cell, salt), [], None
+                ids, codes, vec = (batch.column(c).slice(a, b - a) for c in (3, 4, 5))
+                if not asks:
+                    held.append((ids.to_numpy(), vectors(codes, np.uint8), vectors(vec, np.float64)))
+                elif held:
+                    if block is None:
+                        block = tuple(np.concatenate(x) for x in zip(*held))
+                        held = [block]
+                    yield of_block(cell, *block, ids.to_numpy(), vectors(vec, np.float64))
+
+    def of_block(cell: int, ids: np.ndarray, codes: np.ndarray, x: np.ndarray, queries: np.ndarray, vecs: np.ndarray) -> pa.RecordBatch:
+        out = []
+        for query, q in zip(queries, vecs):
+            rough = coder.distances(q, cell, codes)
+            some = np.argpartition(rough, rerank * k)[: rerank * k] if len(ids) > rerank * k else np.arange(len(ids))
+            score = np.sqrt(((x[some] - q) ** 2).sum(axis=1))
+            best = np.lexsort((ids[some], score))[:k]
+            out.append((np.full(len(best), query), ids[some][best], score[best]))
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(z)) for z in zip(*out)], ["query", "vec_id", "score"])
+
+    return map_arrow(meeting, run, "query long, vec_id long, score double")
