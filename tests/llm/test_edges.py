@@ -233,6 +233,18 @@ def test_search_broadcasts_no_probes(spark):
         assert [r["vec_id"] for r in sorted(got, key=lambda r: r["rank"]) if r["query_id"] == q] == np.lexsort((np.arange(len(x)), d))[:10].tolist()
 
 
+def test_search_copies_queries_to_groups(spark):
+    x = np.random.default_rng(8).normal(size=(400, 4))
+    coder, cells = ann.Quantiser.fit(x, 20), {c: 1 + 3000 * c for c in range(20)}
+    asked = spark.createDataFrame([(v.tolist(), k) for k, v in enumerate(x[:5])], "v array<double>, query long")
+    got = ann._probes(asked, coder, cells, 3, 11, 1.0, 1).collect()
+    want = sorted((c, s) for c, n in cells.items() for s in range(-(-n // ann.ROWS)))
+    for q in range(5):
+        own = {r["part"]: np.frombuffer(r["blocks"], np.int32).reshape(-1, 2) for r in got if r["query"] == q}
+        assert len(own) == 3 and sorted(map(tuple, np.concatenate(list(own.values())).tolist())) == want
+        assert all((b.sum(axis=1) % 3 == part).all() for part, b in own.items())
+
+
 def test_search_fits_in_little_memory():
     x = np.random.default_rng(5).standard_normal((6000, 512)).astype(np.float32)
     tracemalloc.start()

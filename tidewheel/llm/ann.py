@@ -4,8 +4,9 @@ Centroids and codebooks are fitted on a bounded sample (``sample`` rows, those w
 ``SAMPLE_BYTES`` of vectors in the table's own float type) on the driver, which works through it in blocks and so holds
 little besides the sample. Every row is indexed. A search probes the nearest cells, ranks their rows by asymmetric distance tables and reranks the
 best by the exact distance in double precision. Rows of a cell lie in blocks of about ``ROWS``, so a cell that holds a
-third of all rows is spread over many tasks. A block and the queries that probe its cell are sorted into one task, the
-rows first: Python gets each block once and the queries stream past it, so neither is broadcast or gathered in a row.
+third of all rows is spread over many tasks. Blocks are dealt out to groups of about ``GROUP_BYTES``; the blocks of a
+group and the queries that probe any of them are sorted into one task, the rows first, and the queries stream past. So a
+query is copied to groups rather than cells, and neither side is broadcast or gathered in a row.
 
 Equal vectors share their distances: of each, the k + 1 smallest vec_ids are indexed, which is all that a search for k
 neighbours other than the query can return, and equal queries are searched once.
@@ -37,6 +38,8 @@ SUBSPACES = 16
 CODES = 256
 #: Rows of a block, share of cells probed (at least LEAST_PROBES), rows reranked for each neighbour.
 ROWS, PROBED, LEAST_PROBES, RERANK = 4096, 0.6, 32, 25
+#: Bytes of a group's vectors and codes, and groups at least.
+GROUP_BYTES, GROUPS = 64 << 20, 64
 
 
 def kmeans(x: np.ndarray, k: int, rounds: int = 12, seed: int = 0) -> np.ndarray:
@@ -133,13 +136,15 @@ def search(rows: DataFrame, is_query: Column, k: int = 10, vector: str = "embedd
     index = scratch.keep(_encoded(ranked.select("vec_id", "v"), coder))
     cells = {r["cell"]: r["n"] for r in index.groupBy("cell").agg(F.count("*").alias("n")).collect()}
     salts = F.element_at(F.create_map(*(F.lit(x) for c, n in cells.items() for x in (c, -(-n // ROWS)))), F.col("cell"))
-    held = index.select("cell", F.pmod(F.xxhash64("vec_id"), salts).cast("int").alias("salt"), F.lit(False).alias("asks"), F.col("vec_id").alias("id"), "codes", "vec")
+    salt = F.pmod(F.xxhash64("vec_id"), salts).cast("int")
+    groups = max(GROUPS, -(-sum(cells.values()) * (8 * dim + 32) // GROUP_BYTES))
+    held = index.select(F.pmod(F.col("cell") + salt, F.lit(groups)).alias("part"), F.lit(False).alias("asks"), "cell", salt.alias("salt"), F.col("vec_id").alias("id"), "codes", "vec")
 
     asked = rows.where("is_query").select("vec_id", "v").distinct()
     distinct = scratch.keep(asked.groupBy("v").agg(F.min("vec_id").alias("query")), True)
-    probes = _probes(distinct, coder, cells, k, probed, least_probes)
-    meeting = held.union(probes.select("cell", "salt", F.lit(True), "query", F.lit(None).cast("binary"), "vec")).repartition("cell", "salt").sortWithinPartitions("cell", "salt", "asks")
-    near = _near(meeting, coder, k + 1, rerank)
+    probes = _probes(distinct, coder, cells, groups, k, probed, least_probes)
+    asking = probes.select("part", F.lit(True), F.lit(0), F.lit(0), "query", "blocks", "vec")
+    near = _near(held.union(asking).repartition("part").sortWithinPartitions("part", "asks", "cell", "salt"), coder, k + 1, rerank)
     best = near.withColumn("n", F.row_number().over(Window.partitionBy("query").orderBy("score", "vec_id"))).where(F.col("n") <= k + 1)
     found = asked.join(distinct, "v").select(F.col("vec_id").alias("query_id"), "query").join(best.select("query", "vec_id", "score").hint("merge"), "query").where("query_id <> vec_id")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
@@ -161,8 +166,8 @@ def _encoded(rows: DataFrame, coder: Quantiser) -> DataFrame:
     return map_arrow(rows, run, "cell int, vec_id long, codes binary, vec binary")
 
 
-def _probes(queries: DataFrame, coder: Quantiser, cells: dict[int, int], k: int, probed: float, least_probes: int) -> DataFrame:
-    """(cell, salt, query, vec): all blocks of each query's nearest cells, until enough are probed and they hold some times k rows."""
+def _probes(queries: DataFrame, coder: Quantiser, cells: dict[int, int], groups: int, k: int, probed: float, least_probes: int) -> DataFrame:
+    """(part, query, blocks, vec): by group, the (cell, salt) of all blocks of each query's nearest cells, until enough are probed and they hold some times k rows."""
     counts = np.array([cells.get(c, 0) for c in range(len(coder.centroids))])
     least = max(least_probes, int(np.ceil(probed * len(counts))))
 
@@ -178,45 +183,49 @@ def _probes(queries: DataFrame, coder: Quantiser, cells: dict[int, int], k: int,
                     cell = order[q, own]
                     salts = -(-counts[cell] // ROWS)
                     salt = np.arange(salts.sum()) - np.repeat(np.cumsum(salts) - salts, salts)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(cell, salts).astype(np.int32)), pa.array(salt.astype(np.int32)), pa.array(np.full(len(salt), ids[q])), vecs.take(pa.array(np.full(len(salt), q)))], ["cell", "salt", "query", "vec"])
+                    blocks = np.stack([np.repeat(cell, salts), salt], axis=1).astype(np.int32)
+                    part = blocks.sum(axis=1) % groups
+                    own = np.unique(part)
+                    yield pa.RecordBatch.from_arrays([pa.array(own.astype(np.int32)), pa.array(np.full(len(own), ids[q])), pa.array([blocks[part == g].tobytes() for g in own], pa.binary()), vecs.take(pa.array(np.full(len(own), q)))], ["part", "query", "blocks", "vec"])
 
-    return map_arrow(queries, run, "cell int, salt int, query long, vec binary")
+    return map_arrow(queries, run, "part int, query long, blocks binary, vec binary")
 
 
 def _near(meeting: DataFrame, coder: Quantiser, k: int, rerank: int) -> DataFrame:
-    """(query, vec_id, score): the k nearest rows of each block for each query that probes it. Rows come before queries."""
+    """(query, vec_id, score): the k nearest rows of each group for each query that probes it. Rows come before queries."""
 
     def vectors(column: pa.Array, kind: type) -> np.ndarray:
         return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(len(column), -1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, held, block = None, [], None
+        part, held = None, {}
         for batch in batches:
             if not batch.num_rows:
                 continue
-            kinds = np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in range(3)], axis=1)
+            kinds = np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in range(4)], axis=1)
             cut = np.concatenate([[0], np.flatnonzero((kinds[1:] != kinds[:-1]).any(axis=1)) + 1, [len(kinds)]])
             for a, b in zip(cut[:-1], cut[1:]):
-                cell, salt, asks = kinds[a].tolist()
-                if (cell, salt) != key:
-                    key, held, block = (cell, salt), [], None
-                ids, codes, vec = (batch.column(c).slice(a, b - a) for c in (3, 4, 5))
-                if not asks:
-                    held.append((ids.to_numpy(), vectors(codes, np.uint8), vectors(vec, np.float64)))
-                elif held:
-                    if block is None:
-                        block = tuple(np.concatenate(x) for x in zip(*held))
-                        held = [block]
-                    yield of_block(cell, *block, ids.to_numpy(), vectors(vec, np.float64))
-
-    def of_block(cell: int, ids: np.ndarray, codes: np.ndarray, x: np.ndarray, queries: np.ndarray, vecs: np.ndarray) -> pa.RecordBatch:
-        out = []
-        for query, q in zip(queries, vecs):
-            rough = coder.distances(q, cell, codes)
-            some = np.argpartition(rough, rerank * k)[: rerank * k] if len(ids) > rerank * k else np.arange(len(ids))
-            score = np.sqrt(((x[some] - q) ** 2).sum(axis=1))
-            best = np.lexsort((ids[some], score))[:k]
-            out.append((np.full(len(best), query), ids[some][best], score[best]))
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(z)) for z in zip(*out)], ["query", "vec_id", "score"])
+                ids, codes, vec = (batch.column(c).slice(a, b - a) for c in (4, 5, 6))
+                if kinds[a, 0] != part:
+                    part, held = kinds[a, 0], {}
+                if not kinds[a, 1]:
+                    held.setdefault((int(kinds[a, 2]), int(kinds[a, 3])), []).append((ids.to_numpy(), vectors(codes, np.uint8), vectors(vec, np.float64)))
+                    continue
+                for key, pieces in held.items():
+                    if len(pieces) > 1:
+                        held[key] = [tuple(np.concatenate(x) for x in zip(*pieces))]
+                found = [nearest(query, q, [(key[0], *held[key][0]) for key in map(tuple, np.frombuffer(blocks, np.int32).reshape(-1, 2).tolist()) if key in held]) for query, q, blocks in zip(ids.to_numpy(), vectors(vec, np.float64), codes.to_pylist())]
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(z)) for z in zip(*found)], ["query", "vec_id", "score"])
+
+    def nearest(query: int, q: np.ndarray, blocks: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        out = [(np.empty(0, np.int64), np.empty(0))]
+        for cell, ids, codes, x in blocks:
+            some = np.arange(len(ids))
+            if len(ids) > rerank * k:
+                some = np.argpartition(coder.distances(q, cell, codes), rerank * k)[: rerank * k]
+            out.append((ids[some], np.sqrt(((x[some] - q) ** 2).sum(axis=1))))
+        ids, score = (np.concatenate(z) for z in zip(*out))
+        best = np.lexsort((ids, score))[:k]
+        return np.full(len(best), query), ids[best], score[best]
 
     return map_arrow(meeting, run, "query long, vec_id long, score double")
