@@ -80,18 +80,40 @@ def shifted(c: np.ndarray, s: np.ndarray, theta: np.ndarray) -> np.ndarray:
     return np.concatenate([c * np.cos(x) - s * np.sin(x), c * np.sin(x) + s * np.cos(x)], axis=-1)
 
 
+def waves(theta: np.ndarray, degree: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Cosine and sine of 1, 2, ... degree times theta, by turning on."""
+    turn = np.exp(1j * theta)
+    out, now = [], turn
+    for _ in range(degree):
+        out.append((now.real.copy(), now.imag.copy()))
+        now = now * turn
+    return out
+
+
 class Harmonics:
     """Real trigonometric polynomials, one a row, by their values on an even grid; exact if the grid has more points than twice their degree."""
 
     def __init__(self, values: np.ndarray, degree: int):
-        self.c = np.fft.rfft(values, axis=1)[:, : degree + 1] / values.shape[1]
-        self.c[:, 1:] *= 2
-        self.ik = 1j * np.arange(degree + 1)
+        c = np.fft.rfft(values, axis=1)[:, : degree + 1] / values.shape[1]
+        self.first = c[:, :1].real.copy()
+        self.parts = [(2 * c[:, k : k + 1].real, 2 * c[:, k : k + 1].imag) for k in range(1, degree + 1)]
+
+    def value(self, turns: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """The value; turns: ``waves`` of the phases."""
+        out = np.broadcast_to(self.first, turns[0][0].shape).copy()
+        for (a, b), (cos, sin) in zip(self.parts, turns):
+            out += a * cos - b * sin
+        return out
 
-    def at(self, turns: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Value and first two derivatives; turns: e^(i theta) to the powers 0, 1, ... along the last axis."""
-        x = self.c[:, None, :] * turns[:, :, : self.c.shape[1]]
-        return x.real.sum(axis=2), (x * self.ik).real.sum(axis=2), (x * self.ik**2).real.sum(axis=2)
+    def at(self, turns: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Value and first two derivatives."""
+        out, one, two = np.broadcast_to(self.first, turns[0][0].shape).copy(), np.zeros(turns[0][0].shape), np.zeros(turns[0][0].shape)
+        for k, ((a, b), (cos, sin)) in enumerate(zip(self.parts, turns), 1):
+            even = a * cos - b * sin
+            out += even
+            one -= k * (a * sin + b * cos)
+            two -= k * k * even
+        return out, one, two
 
 
 #: Phases that are refined for each frequency, and steps of refinement, which halve a bracket at least.
@@ -125,11 +147,10 @@ def best_phase(sums: np.ndarray, c, s, ybar, yy, allow_negative: bool = True) ->
     best = np.argpartition(-peak, PEAKS - 1, axis=1)[:, :PEAKS]
     at = grid[np.take_along_axis(best, np.argsort(-np.take_along_axis(peak, best, axis=1), axis=1, kind="stable"), axis=1)]
     top, below = Harmonics(ym, h), Harmonics(mm, 2 * h)
-    powers = np.arange(2 * h + 1)
     lo, hi, theta = at - 2 * np.pi / size, at + 2 * np.pi / size, at
     moved = hi - lo
     for _ in range(STEPS):
-        turns = np.exp(1j * theta[:, :, None] * powers)
+        turns = waves(theta, 2 * h)
         (y, y1, y2), (m, m1, m2) = top.at(turns), below.at(turns)
         slope, bend = 2 * y1 * m - y * m1, 2 * y2 * m + y1 * m1 - y * m2
         rising = slope * y > 0
@@ -138,8 +159,8 @@ def best_phase(sums: np.ndarray, c, s, ybar, yy, allow_negative: bool = True) ->
         new = np.where((new >= lo) & (new <= hi) & (np.abs(new - theta) < np.maximum(moved, 1e-6)), new, (lo + hi) / 2)
         moved, theta = np.abs(new - theta), new
     theta = np.concatenate([theta, at], axis=1)
-    turns = np.exp(1j * theta[:, :, None] * powers)
-    p = share(top.at(turns)[0], below.at(turns)[0])
+    turns = waves(theta, 2 * h)
+    p = share(top.value(turns), below.value(turns))
     row, best = np.arange(len(p)), p.argmax(axis=1)
     theta = theta[row, best] % (2 * np.pi)
     v = shifted(c, s, theta)
@@ -157,33 +178,44 @@ def best_phase(sums: np.ndarray, c, s, ybar, yy, allow_negative: bool = True) ->
     return out
 
 
-def least_slow_chi2(sums: np.ndarray, plain: np.ndarray, c, s, shift: float, yy: float, phases: int = 20) -> np.ndarray:
+def slow_chi2_polynomials(sums: np.ndarray, plain: np.ndarray, c, s, size: int) -> list[np.ndarray]:
+    """At size even phases, what ``slow_chi2`` takes: (freq, size) each of cov(m, y), var(m), mean(m) less its plain one, and plain cov(m, y) and var(m)."""
+    h = len(c)
+    (cov, with_y, mean), (own, own_y, own_mean) = matrices(sums, h), matrices(plain, h)
+    v = shifted(np.asarray(c, float), np.asarray(s, float), 2 * np.pi * np.arange(size) / size)
+    both = (v[:, :, None] * v[:, None, :]).reshape(size, -1).T
+    return [with_y @ v.T, cov.reshape(len(cov), -1) @ both, (mean - own_mean) @ v.T, own_y @ v.T, own.reshape(len(own), -1) @ both]
+
+
+def slow_chi2(parts: list[np.ndarray], shift: np.ndarray, yy: np.ndarray) -> np.ndarray:
+    """Weighted residuals, over the sum of the weights, of unweighted linear fits; NaN where no fit is defined."""
+    with_y, var, mean, own_y, own = parts
+    a = own_y / np.where(own > LEAST, own, np.nan)
+    # y - a m - b, about the weighted means of y and m: b is chosen for the plain means.
+    return yy - 2 * a * with_y + a**2 * var + (shift - a * mean) ** 2
+
+
+def least_slow_chi2(sums: np.ndarray, plain: np.ndarray, c, s, shift, yy, phases: int = 20) -> np.ndarray:
     """Over the reference, the least weighted residuals of unweighted linear fits over all phases; NaN where no fit is defined.
 
     sums are weighted, plain those of unit errors, each with its own mean of y taken off; shift is the weighted mean
-    less the plain one.
+    less the plain one. shift and yy are numbers or one a row.
     """
-    c, s = np.asarray(c, float), np.asarray(s, float)
-    h = len(c)
-    if not yy > 0:
-        return np.full(len(sums), np.nan)
-    (cov, with_y, mean), (own, own_y, own_mean) = matrices(sums, h), matrices(plain, h)
+    h, n = len(c), len(sums)
+    shift, yy = (np.broadcast_to(np.asarray(x, float), n)[:, None] for x in (shift, yy))
+    yy = np.where(yy > 0, yy, np.nan)
+    size = max(phases, 12 * h)
+    values = slow_chi2_polynomials(sums, plain, c, s, size)
+    polynomials = [Harmonics(x, degree) for x, degree in zip(values, (h, 2 * h, h, h, 2 * h))]
 
     def chi2(theta: np.ndarray) -> np.ndarray:
-        v = shifted(c, s, theta)
-        dot = lambda x: np.einsum("f...i,fi->f...", v, x)
-        quad = lambda x: np.einsum("f...i,fij,f...j->f...", v, x, v, optimize=True)
-        spread = quad(own)
-        a = dot(own_y) / np.where(spread > LEAST, spread, np.nan)
-        # y - a m - b, about the weighted means of y and m: b is chosen for the plain means.
-        off = shift - a * (dot(mean) - dot(own_mean))
-        return (yy - 2 * a * dot(with_y) + a**2 * quad(cov) + off**2) / yy
+        turns = waves(theta, 2 * h)
+        return slow_chi2([x.value(turns) for x in polynomials], shift, yy) / yy
 
-    size = max(phases, 12 * h)
-    grid = np.broadcast_to(2 * np.pi * np.arange(size) / size, (len(sums), size))
-    p = chi2(grid)
+    p = slow_chi2(values, shift, yy) / yy
     held = np.where((p <= np.roll(p, 1, axis=1)) & (p <= np.roll(p, -1, axis=1)), p, np.inf)
-    at = np.take_along_axis(grid, np.argsort(held, axis=1, kind="stable")[:, :PEAKS], axis=1)
+    best = np.argsort(held, axis=1, kind="stable")[:, :PEAKS]
+    at = 2 * np.pi * best / size
     lo, hi = at - 2 * np.pi / size, at + 2 * np.pi / size
     gold = (np.sqrt(5) - 1) / 2
     x, y = hi - gold * (hi - lo), lo + gold * (hi - lo)
@@ -194,5 +226,26 @@ def least_slow_chi2(sums: np.ndarray, plain: np.ndarray, c, s, shift: float, yy:
         new = np.where(left, hi - gold * (hi - lo), lo + gold * (hi - lo))
         pn = chi2(new)
         x, y, px, py = np.where(left, new, y), np.where(left, x, new), np.where(left, pn, py), np.where(left, px, pn)
-    best = np.concatenate([px, py, np.take_along_axis(p, np.argsort(held, axis=1, kind="stable")[:, :1], axis=1)], axis=1)
+    best = np.concatenate([px, py, np.take_along_axis(p, best[:, :1], axis=1)], axis=1)
     return np.where(np.isnan(best).all(axis=1), np.nan, np.nanmin(np.where(np.isnan(best), np.inf, best), axis=1))
+
+
+def direct_slow_chi2(t: np.ndarray, w: np.ndarray, y: np.ndarray, times: np.ndarray, freqs: np.ndarray, c, s, phases: int) -> np.ndarray:
+    """(freq, phases): ``slow_chi2`` at even phases from the observations themselves, times of each; no small variance is lost to a difference of sums."""
+    out = np.empty((len(freqs), phases))
+    v = shifted(np.asarray(c, float), np.asarray(s, float), 2 * np.pi * np.arange(phases) / phases)
+    n = times.sum()
+    dy = y - times @ y / n
+    step = max(1, 400_000 // (phases * len(t)))
+    for a in range(0, len(freqs), step):
+        turns = np.outer(freqs[a : a + step], t)
+        held = waves(2 * np.pi * (turns - np.floor(turns)), len(c))
+        m = v @ np.stack([x[0] for x in held] + [x[1] for x in held], axis=1)
+        m -= (m @ times / n)[:, :, None]
+        own = (m * m) @ times
+        slope = m @ (times * dy) / np.where(own > 1e-30 * n, own, np.nan)
+        m *= -slope[:, :, None]
+        m += dy
+        m *= m
+        out[a : a + step] = m @ w
+    return out

@@ -57,20 +57,18 @@ def with_covariances(sums: DataFrame, harmonics: int) -> DataFrame:
 
 def fast_sums(obs: DataFrame, grid: DataFrame, harmonics: int, stats: DataFrame) -> DataFrame:
     """``direct_sums`` at the even grids of ``grid_shape``, by fast transforms: harmonics * (n + nf log nf) steps a series instead of harmonics * n * nf."""
-    from .fit import chunked_sums
+    from .fit import Block, Held, block_sums, by_block, spread
 
     names = [f"{x}{h}" for h in range(1, 2 * harmonics + 1) for x in "cs"] + [f"y{x}{h}" for h in range(1, harmonics + 1) for x in "cs"]
     place = {"c": 0, "s": 2 * harmonics, "yc": 4 * harmonics, "ys": 5 * harmonics}
     order = [place[n.rstrip("0123456789")] + int(n.lstrip("ycs")) - 1 for n in names]
-    rows = chunked_sums(obs, grid, harmonics, stats, always=True)
-    out = T.StructType([rows.schema["series_id"], T.StructField("freq", T.DoubleType()), *(T.StructField(n, T.DoubleType()) for n in names)])
-
-    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at, (block, size, df, nf0, nf, sums) in enumerate(zip(*batch.columns[1:])):
-                start = block.as_py() * size.as_py()
-                f = df.as_py() * (nf0.as_py() + np.arange(start, min(start + size.as_py(), nf.as_py())))
-                total = sum(np.frombuffer(x.as_buffer()) for x in sums.values).reshape(len(f), -1)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.full(len(f), at))), pa.array(f), *(pa.array(total[:, k]) for k in order)], out.names)
-
-    return rows.select("series_id", "block", "size", "df", "nf0", "nf", "sums").mapInArrow(listed, out)
+    out = T.StructType([obs.schema["series_id"], T.StructField("freq", T.DoubleType()), *(T.StructField(n, T.DoubleType()) for n in names)])
+
+    def take(block: Block, t: np.ndarray, w: np.ndarray, yc: np.ndarray, times: np.ndarray) -> np.ndarray:
+        return block_sums(block, t, w, yc, harmonics, always=True)
+
+    def emit(series: pa.Array, held: Held) -> Iterator[pa.RecordBatch]:
+        at, _, f, total, *_ = spread(held)
+        yield pa.RecordBatch.from_arrays([series.take(pa.array(at)), pa.array(f), *(pa.array(total[:, k]) for k in order)], out.names)
+
+    return by_block(obs, grid, stats, out, take, emit)

@@ -181,13 +181,13 @@ def l3_refined_slow_power(spark, sf_dir):
 
 def m2_exact_power_h3(spark, sf_dir):
     obs, stats, _ = _data(spark, sf_dir)
-    got = fit.exact_power(obs, _grid(spark), [FIRST], stats=stats)
+    got = fit.exact_power(obs, _grid(spark), [FIRST], stats=stats, keep="power")
     return got.select("series_id", "k", rounded("freq").alias("freq"), rounded("power", FITTED).alias("power"))
 
 
 def e6_autopower(spark, sf_dir):
     obs, stats, _ = _data(spark, sf_dir)
-    got = fit.exact_power(obs, grid.grid_shape(stats), [FIRST], stats=stats)
+    got = fit.exact_power(obs, grid.grid_shape(stats), [FIRST], stats=stats, keep="power")
     return got.select("series_id", "k", rounded("freq").alias("freq"), rounded("power", FITTED).alias("power"))
 
 
