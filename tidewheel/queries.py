@@ -198,7 +198,7 @@ def _model(found: DataFrame) -> DataFrame:
 
 def e8_best_models(spark, sf_dir):
     obs, stats, _ = _data(spark, sf_dir)
-    return _model(fit.best(fit.exact_power(obs, grid.grid_shape(stats), [FIRST], stats=stats)))
+    return _model(fit.exact_power(obs, grid.grid_shape(stats), [FIRST], stats=stats, keep="best"))
 
 
 def x2_fit_model(spark, sf_dir):
