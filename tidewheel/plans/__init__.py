@@ -83,14 +83,14 @@ class MultiTemplateSearch:
             new = merge_best(self.best_model, new, self.obs, self.stats, self.known)
         self.best_model = settled(new)
 
-    def _fits(self, grid: DataFrame, templates: list[Template], save: bool, fast: bool) -> DataFrame:
-        found = fits.exact_power(self.obs, grid, templates, self.allow_negative, self.stats, fast)
-        if save:
-            found = self._hold(found)
-            self.known += [t for t in templates if t not in self.known]
-            place = F.element_at(F.array(*(F.lit(self.known.index(t)) for t in templates)), F.col("ordinal") + 1)
-            self.save_best_model(fits.best(found).withColumn("ordinal", place))
-        return found
+    def _power(self, grid: DataFrame, templates: list[Template], save: bool, fast: bool) -> DataFrame:
+        if not save:
+            return fits.exact_power(self.obs, grid, templates, self.allow_negative, self.stats, fast, "power")
+        found = self._hold(fits.exact_power(self.obs, grid, templates, self.allow_negative, self.stats, fast))
+        self.known += [t for t in templates if t not in self.known]
+        place = F.element_at(F.array(*(F.lit(self.known.index(t)) for t in templates)), F.col("ordinal") + 1)
+        self.save_best_model(fits.best(found).withColumn("ordinal", place))
+        return fits.best_template(found)
 
     def _grid(self, freqs, fast: bool) -> DataFrame:
         if not fast:
@@ -101,7 +101,7 @@ class MultiTemplateSearch:
     def autopower(self, save_best_model: bool = True, fast: bool = True, **options) -> DataFrame:
         """(series_id, k, freq, power) on the automatic grid."""
         self._ready()
-        return fits.best_template(self._fits(grid_shape(self.stats, **options), self.templates, save_best_model, fast))
+        return self._power(grid_shape(self.stats, **options), self.templates, save_best_model, fast)
 
     def power(self, freqs, save_best_model: bool = True, fast: bool = False) -> DataFrame:
         """(series_id, k, freq, power) at given frequencies, a number or an array of any shape: k is the place in it, flattened.
@@ -109,19 +109,19 @@ class MultiTemplateSearch:
         fast takes the sums by fast transforms, for which the frequencies must be an even grid of multiples of their step.
         """
         self._ready()
-        return fits.best_template(self._fits(self._grid(freqs, fast), self.templates, save_best_model, fast))
+        return self._power(self._grid(freqs, fast), self.templates, save_best_model, fast)
 
     def power_from_single_template(self, freqs, template: Template, fast: bool = False, save_best_model: bool = True) -> DataFrame:
         """``power`` of one template, which need not be among the search's own."""
         self._data()
-        return fits.best_template(self._fits(self._grid(freqs, fast), [template], save_best_model, fast))
+        return self._power(self._grid(freqs, fast), [template], save_best_model, fast)
 
     def fit_model(self, freq: float) -> DataFrame:
         """The best template's parameters of each series at one frequency."""
         self._ready()
         if not isinstance(freq, float):
             raise ValueError("freq must be a float")
-        return fits.best(self._fits(user_grid(self.obs.sparkSession, [freq]), self.templates, False, False))
+        return fits.exact_power(self.obs, user_grid(self.obs.sparkSession, [freq]), self.templates, self.allow_negative, self.stats, False, "best")
 
 
 class TemplateSearch(MultiTemplateSearch):
