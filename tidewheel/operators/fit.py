@@ -283,15 +283,15 @@ def unweighted_chi2(obs: DataFrame, grid: DataFrame, template: Template, phases:
     """(series_id, freq, p, chi2): weighted residuals of an unweighted linear fit at each phase p / phases.
 
     Amplitude and offset come from ordinary least squares, but residuals are weighted: not the weighted optimum for
-    unequal errors, so its power is at most that of ``exact_power``. One pass over five sums and three more.
+    unequal errors, so its power is at most that of ``exact_power``.
     """
-    spark = obs.sparkSession
-    shifts = spark.range(phases).select(F.col("id").cast("int").alias("p"))
-    rows = obs.crossJoin(for_all(grid.select("freq"))).crossJoin(F.broadcast(shifts))
-    m = rows.select("series_id", "freq", "p", "y", inverse_variance().alias("om"), value_at(phase("t", "freq") - F.col("p") / F.lit(float(phases)), template).alias("m"))
-    s = lambda e: F.sum(F.expr(e))
-    got = m.groupBy("series_id", "freq", "p").agg(F.regr_slope("y", "m").alias("a"), F.regr_intercept("y", "m").alias("c"), s("om * y * y").alias("yy"), s("om * m * m").alias("mm"), s("om * y * m").alias("my"), s("om * y").alias("y1"), s("om * m").alias("m1"), s("om").alias("w"))
-    return got.select("series_id", "freq", "p", F.expr("yy + a * a * mm + c * c * w - 2 * a * my - 2 * c * y1 + 2 * a * c * m1").alias("chi2"))
+
+    def emit(names: list[str], series: pa.Array, held: Held) -> Iterator[pa.RecordBatch]:
+        at, _, f, chi2, wsum, _, _ = spread(held)
+        p = np.tile(np.arange(phases, dtype=np.int32), len(f))
+        yield pa.RecordBatch.from_arrays([series.take(pa.array(np.repeat(at, phases))), pa.array(np.repeat(f, phases)), pa.array(p), pa.array((chi2 * wsum[:, None]).ravel(), pa.float64(), from_pandas=True)], names)
+
+    return _slow(obs, grid, template, series_stats(obs), "freq double, p int, chi2 double", emit, phases)
 
 
 def slow_power(obs: DataFrame, grid: DataFrame, template: Template, stats: DataFrame, phases: int = 20) -> DataFrame:
