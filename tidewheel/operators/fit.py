@@ -296,8 +296,13 @@ def unweighted_chi2(obs: DataFrame, grid: DataFrame, template: Template, phases:
 
 def slow_power(obs: DataFrame, grid: DataFrame, template: Template, stats: DataFrame, phases: int = 20) -> DataFrame:
     """(series_id, freq, power) by the least of ``unweighted_chi2`` over the phases."""
-    least = unweighted_chi2(obs, grid, template, phases).groupBy("series_id", "freq").agg(F.min("chi2").alias("chi2"))
-    return least.join(stats, "series_id").select("series_id", "freq", F.when(F.col("chi2_ref") > 0, F.lit(1.0) - F.col("chi2") / F.col("chi2_ref")).alias("power"))
+
+    def emit(names: list[str], series: pa.Array, held: Held) -> Iterator[pa.RecordBatch]:
+        at, _, f, chi2, _, _, yy = spread(held)
+        power = 1 - np.fmin.reduce(chi2, axis=1) / np.where(yy > 0, yy, np.nan)
+        yield pa.RecordBatch.from_arrays([series.take(pa.array(at)), pa.array(f), pa.array(power, pa.float64(), from_pandas=True)], names)
+
+    return _slow(obs, grid, template, stats, "freq double, power double", emit, phases)
 
 
 def refined_slow_power(obs: DataFrame, grid: DataFrame, template: Template, stats: DataFrame, phases: int = 20) -> DataFrame:
