@@ -23,7 +23,7 @@ OBSERVATIONS, FREQUENCIES, MOST_FREQUENCIES = 1 << 17, 1 << 11, 1 << 16
 #: Most observations of a series that one task takes from sums to fits, so that its sums are not shuffled.
 WHOLE = 1 << 15
 #: Frequencies that are solved at once, and bytes of an Arrow batch.
-TOGETHER, BATCH_BYTES = 1 << 14, 16 << 20
+TOGETHER, BATCH_BYTES = 1 << 12, 4 << 20
 LEAST = 1e-12
 FIT = "ordinal int, k long, freq double, power double, a double, b double, c double, sgn double, theta double"
 
